@@ -35,3 +35,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def slices(texts: list[str], most_chars: int = 2_000_000):
+    """Index ranges of consecutive texts with about ``most_chars`` characters each, one text at least."""
+    begin = held = 0
+    for k, text in enumerate(texts):
+        if held and held + len(text) > most_chars:
+            yield begin, k
+            begin, held = k, 0
+        held += len(text)
+    if begin < len(texts):
+        yield begin, len(texts)

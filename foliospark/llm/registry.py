@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import chat, token_counts, token_files
+from foliospark.llm import chat, exact_dedup, language_id, license_scan, mixing, token_counts, token_files
 from foliospark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,9 +30,55 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", "ids_crc32", F.col("shard"), F.col("segment"))
 
 
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    placed = docs.select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row_no"))
+    return exact_dedup.exact_dedup(placed, locator=[F.col("file"), F.col("row_no")])
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), repetition_limit=2.0)
+    return mixed.select("doc_id", "source", "mix_tokens", "mix_weight", "mix_epoch", "mix_block", "mix_block_mark", "mix_mark")
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = """
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+FROM d
+"""
+
+
+def op9_sql() -> str:
+    known = ", ".join(f"('{s}', '{i}')" for s, i in license_scan.SENTENCES.items())
+    rules = ", ".join(f"('{name}', '{license_scan._pattern(ids)}')" for name, ids in license_scan.RULES)
+    return f"""
+WITH known(sentence, id) AS (VALUES {known}),
+rules(name, pattern) AS (VALUES {rules}),
+cut AS (
+  SELECT doc_id, string_split(lower(regexp_replace(regexp_replace(coalesce(text, ''), '([.!?;:])[ \t\r\n\f]+', '\1\n', 'g'), '[^A-Za-z0-9\n]+', ' ', 'g')), chr(10)) AS s
+  FROM documents
+),
+parts AS (SELECT doc_id, list_filter(list_transform(s, lambda x: trim(x)), lambda x: x <> '') AS s FROM cut),
+numbered AS (SELECT doc_id, unnest(s) AS sentence, generate_subscripts(s, 1) AS k FROM parts),
+hits AS (SELECT n.doc_id, string_agg(id, ' ' ORDER BY k) AS ids FROM numbered n JOIN known USING (sentence) GROUP BY 1),
+met AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses FROM hits JOIN rules ON regexp_matches(' ' || ids || ' ', pattern) GROUP BY 1)
+SELECT p.doc_id, CAST(len(p.s) AS BIGINT) AS n_sentences, coalesce(h.ids, '') AS sentence_ids, coalesce(m.licenses, '') AS licenses
+FROM parts p LEFT JOIN hits h USING (doc_id) LEFT JOIN met m USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {"op3_chat_format": op3_chat_format, "op4_token_counts": op4_token_counts, "op6_token_files": op6_token_files}
+    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit() and not name.endswith("_sql")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_exact_dedup": OP7_SQL, "op9_license_scan": op9_sql()}

@@ -23,6 +23,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from foliospark.llm.common import slices
+
 MARK = "▁"  # what sentencepiece writes for a space
 NONE = np.iinfo(np.int32).max
 #: Distinct words that a worker remembers, and the longest word that it remembers.
@@ -172,8 +174,8 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
         for batch in batches:
             texts = ["" if t is None else t for t in batch["text"].tolist()]
             tokens: list[int] = []
-            for k in range(0, len(texts), 500):
-                tokens += counter.count(texts[k : k + 500])
+            for begin, end in slices(texts):
+                tokens += counter.count(texts[begin:end])
             yield pd.DataFrame(
                 {
                     "doc_id": batch["doc_id"],

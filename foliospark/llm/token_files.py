@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import scratch_path
+from foliospark.llm.common import scratch_path, slices
 
 MAGIC = b"DAC1"
 BITS = 512  # between two entries of a rank directory
@@ -141,10 +141,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: i
             return pd.DataFrame({"shard": [shard], "segment": [number], "n_ids": [len(whole)], "doc_ids": [list(doc_ids)], "lengths": [[len(x) for x in ids]], "code": [encode_ids(whole)]})
 
         for batch in batches:
-            for k in range(0, len(batch), 500):
-                part = batch.iloc[k : k + 500]
-                encoded = encoder.encode(["" if t is None else t for t in part["text"].tolist()])
-                for doc_id, one in zip(part["doc_id"].tolist(), encoded, strict=True):
+            texts = ["" if t is None else t for t in batch["text"].tolist()]
+            for begin, upto in slices(texts):
+                for doc_id, one in zip(batch["doc_id"].tolist()[begin:upto], encoder.encode(texts[begin:upto]), strict=True):
                     doc_ids.append(None if pd.isna(doc_id) else int(doc_id))
                     ids.append(np.r_[one, end])
                     held += len(ids[-1])
