@@ -15,6 +15,7 @@ ordered by text; a null doc_id comes first; an empty table gives no segments; ot
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from array import array
@@ -32,7 +33,7 @@ from foliospark.llm.common import scratch_path, slices
 MAGIC = b"DAC1"
 BITS = 512  # between two entries of a rank directory
 SEGMENT_IDS = 1 << 18
-REMEMBERED = 500_000  # words in a worker's memory
+REMEMBERED = 800_000  # words in a worker's memory
 SEGMENT = "shard int, segment int, n_ids long, doc_ids array<long>, lengths array<long>, code binary"
 
 
@@ -99,28 +100,49 @@ def tokenizer_of(path: str):
     return Tokenizer.from_file(path)
 
 
+#: Characters on which Python's patterns and case rules agree with the tokenizer's, and which its normaliser keeps.
+PLAIN = frozenset("".join(map(chr, range(32, 127))) + "\t\n\r" + "".join(chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7)))
+_LETTERS = "a-z\xdf-\xf6\xf8-\xff"
+_PRE_TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^ \t\n\r0-9{_LETTERS}]+")
+
+
 class WordEncoder:
-    """Encodes texts word by word and remembers frequent words.
+    """Encodes texts pre-token by pre-token and remembers frequent ones.
 
-    For tokenizers whose normaliser and pre-tokenizer never join characters across a space or line feed,
-    and give nothing for these themselves: there the ids of a text are those of its words.
+    For lower-casing byte-level BPE tokenizers. Texts of plain characters without special strings are cut
+    here and the library's model encodes the new pre-tokens; other texts go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
         self.tokenizer, self.known = tokenizer_of(path), {}
+        self.model = self.tokenizer.model
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # Byte-level alphabets write printable Latin-1 bytes as themselves and the others from U+0100 on.
+        kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        moved = [b for b in range(256) if b not in kept]
+        letter = {**{b: chr(b) for b in kept}, **{b: chr(256 + k) for k, b in enumerate(moved)}}
+        self.letters = {ord(c): "".join(letter[b] for b in c.encode()) for c in PLAIN}
+
+    def _ids(self, word: str) -> bytes:
+        ids = array("I", [t.id for t in self.model.tokenize(word.translate(self.letters))]).tobytes()
+        if len(word) <= 64:
+            self.known[word] = ids
+        return ids
+
+    def _plain(self, text: str) -> np.ndarray:
+        words = _PRE_TOKEN.findall(text.lower())
+        ids = list(map(self.known.get, words))
+        if None in ids:
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+            ids = [self.known.get(w) or self._ids(w) if i is None else i for w, i in zip(words, ids, strict=True)]
+        return np.frombuffer(b"".join(ids), dtype="<u4")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [[w for w in t.replace("\n", " ").split(" ") if w] for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list(set().union(*split) - self.known.keys()) if split else []
-        passing = {}
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                (self.known if len(word) <= 64 else passing)[word] = array("I", e.ids).tobytes()
-        get = self.known.__getitem__ if not passing else {**self.known, **passing}.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)), dtype="<u4") for words in split]
+        return [
+            self._plain(t) if set(t) <= PLAIN and not any(s in t for s in self.special) else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4")
+            for t in texts
+        ]
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 1) -> None:
