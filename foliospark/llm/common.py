@@ -47,3 +47,15 @@ def slices(texts: list[str], most_chars: int = 2_000_000):
         held += len(text)
     if begin < len(texts):
         yield begin, len(texts)
+
+
+#: Rows of a few numbers each that may be broadcast; larger sides are shuffled.
+BROADCAST_ROWS = 500_000
+
+
+def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """``df`` (written, rows of a few numbers), marked for broadcast where counting shows at most ``most`` rows, and whether it is."""
+    from pyspark.sql import functions as F
+
+    small = df.limit(most + 1).count() <= most
+    return (F.broadcast(df) if small else df), small
