@@ -164,17 +164,16 @@ def training_sample(docs: DataFrame, trainable: Column, per_language: int = 150,
     return [r["text"] for r in rows], [r["lang"] for r in rows]
 
 
-def predict(docs: DataFrame, model: LanguageModel | None, keep: list[str] | None = None) -> DataFrame:
-    """doc_id (and the columns ``keep``), lang_pred, score and n_words of every row. One pass without a shuffle."""
-    keep = ["doc_id"] if keep is None else keep
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+def _label(model: LanguageModel | None):
+    """A function of a pandas series of texts: lang_pred, score and n_words of each."""
     languages = [] if model is None else model.languages
 
-    def labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+    def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
         table = np.zeros((0, len(languages)), dtype=np.float32)
         for batch in batches:
-            texts = ["" if t is None else t for t in batch["__text"].tolist()]
+            texts = ["" if t is None else t for t in batch.tolist()]
             names, scores, counts = [UND] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
             for begin, end in slices(texts) if languages else ():
                 split = [words_of(t) for t in texts[begin:end]]
@@ -197,9 +196,21 @@ def predict(docs: DataFrame, model: LanguageModel | None, keep: list[str] | None
                 best = means.argmax(axis=1)
                 for k, b, s in zip(full.tolist(), best.tolist(), means.max(axis=1).tolist(), strict=True):
                     names[begin + k], scores[begin + k] = languages[b], min(1.0, s)
-            yield batch.drop(columns="__text").assign(lang_pred=names, score=scores, n_words=counts)
+            yield pd.DataFrame({"lang_pred": names, "score": scores, "n_words": counts})
+
+    return F.pandas_udf(label, "lang_pred string, score double, n_words long")
+
+
+def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
+    """doc_id, lang_pred, score and n_words of every row. One pass without a shuffle."""
+    found = docs.select("doc_id", _label(model)("text").alias("found"))
+    return found.select("doc_id", "found.*")
+
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInPandas(labelled, f"{fields}, lang_pred string, score double, n_words long")
+def keep_known(docs: DataFrame, model: LanguageModel | None, least_score: float) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is known with at least that score."""
+    found = _label(model)("text")
+    return docs.where((found["lang_pred"] != UND) & (found["score"] >= least_score))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
