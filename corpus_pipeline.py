@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from foliospark.llm import decontaminate, jaccard_join, language_id, mixing, token_files
 from foliospark.llm.common import table, written
+from foliospark.session import ship_package
 
 LEAST_SCORE = 0.35
 MOST_REPEATS = 2.0
@@ -52,12 +53,16 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return token_files.token_output(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def _ready(stage: Callable) -> Callable:
+    return lambda spark, docs, sf_dir: stage(ship_package(spark), docs, sf_dir)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language_id", language_stage),
-    ("near_duplicates", near_duplicate_stage),
-    ("decontaminate", decontamination_stage),
-    ("mix", mixing_stage),
-    ("token_files", token_stage),
+    ("language_id", _ready(language_stage)),
+    ("near_duplicates", _ready(near_duplicate_stage)),
+    ("decontaminate", _ready(decontamination_stage)),
+    ("mix", _ready(mixing_stage)),
+    ("token_files", _ready(token_stage)),
 ]
 
 #: The language model and the token ids can't be expressed in SQL; tests hold the stages against brute force.
