@@ -38,8 +38,8 @@ from foliospark.llm.components import components
 from foliospark.llm.suffix_dedup import mixed, prefix_hashes, range_hash
 
 BANDS, ROWS = 8, 2
-#: Shingles that this many prefixes hold count as frequent; at most so many are told to the tasks.
-FREQUENT, MOST_FREQUENT = 32, 1_000_000
+#: Shingles that this many prefixes hold count as frequent; those of largest count, at most so many, are told to the tasks (16 MB).
+FREQUENT, MOST_FREQUENT = 2, 1_000_000
 _MULTIPLIERS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -133,14 +133,17 @@ def frequent_shingles(docs: DataFrame, width: int, percent: int, buckets: int) -
     return rows.sort_values(["n", "hash"])["hash"].to_numpy(dtype=np.int64).view(np.uint64)
 
 
-def _split(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pd.DataFrame:
-    """One row for each bucket, with that bucket's entries of every column as bytes."""
+def _split(bucket: np.ndarray, columns: dict[str, np.ndarray], steps: str = "") -> pd.DataFrame:
+    """One row for each bucket, with that bucket's entries of every column as bytes; of column ``steps`` the differences, which compress."""
     order = np.argsort(bucket, kind="stable")
     value, opens = np.unique(bucket[order], return_index=True)
     ends = np.r_[opens[1:], len(order)]
     out = {"bucket": value.astype(np.int32)}
     for name, x in columns.items():
         x = x[order]
+        if name == steps:
+            x = np.diff(x, prepend=0)
+            x[opens] = columns[name][order][opens]
         out[name] = [x[b:e].tobytes() for b, e in zip(opens.tolist(), ends.tolist(), strict=True)]
     return pd.DataFrame(out)
 
@@ -249,17 +252,17 @@ def candidates(entries: DataFrame, frequent: np.ndarray, percent: int, buckets:
                     stay = gone.value[at] != token
                     token, place, row = token[stay], place[stay], row[stay]
                 who = {c: part[c].to_numpy(dtype=np.int64)[row] for c in ("doc_id", "n", "comp")}
-                yield _split(token % np.uint64(buckets), {"token": token, "doc": who["doc_id"], "n": who["n"].astype(np.int32), "at": place.astype(np.int32), "comp": who["comp"]})
+                yield _split(token % np.uint64(buckets), {"token": token, "doc": who["doc_id"], "n": who["n"].astype(np.int32), "at": place.astype(np.int32), "comp": who["comp"] ^ who["doc_id"]}, "doc")
 
     def paired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts: dict[str, list] = {"token": [], "doc": [], "n": [], "at": [], "comp": []}
         kinds = {"token": np.uint64, "doc": np.int64, "n": np.int32, "at": np.int32, "comp": np.int64}
         for batch in batches:
             for name, kind in kinds.items():
-                parts[name] += [np.frombuffer(x, dtype=kind) for x in batch[name]]
+                parts[name] += [np.cumsum(np.frombuffer(x, dtype=kind)) if name == "doc" else np.frombuffer(x, dtype=kind) for x in batch[name]]
         if parts["token"]:
             joined = {name: np.concatenate(x) for name, x in parts.items()}
-            for a, b in list_pairs(joined["token"], joined["doc"], joined["n"].astype(np.int64), joined["at"].astype(np.int64), joined["comp"], percent):
+            for a, b in list_pairs(joined["token"], joined["doc"], joined["n"].astype(np.int64), joined["at"].astype(np.int64), joined["comp"] ^ joined["doc"], percent):
                 both = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
                 yield pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
 
@@ -313,7 +316,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     frequent = frequent_shingles(docs, width, percent, buckets)
     told = spark.sparkContext.broadcast(frequent)
     reps = classes.join(roots, F.col("class_id") == F.col("node"), "left").select(F.col("class_id").alias("doc_id"), F.coalesce("root", "class_id").alias("comp"))
-    entries = written(prefixes(docs, told, width, percent).join(reps, "doc_id").dropDuplicates(["doc_id", "prefix"]), "prefixes")
+    reps, _ = small_side(written(reps, "representatives"))
+    entries = written(prefixes(docs, told, width, percent).join(reps, "doc_id"), "prefixes")
     pairs = written(candidates(entries, frequent, percent, buckets), "pairs")
     found = verified(pairs, docs, width, percent)
     up = reps.select(F.col("doc_id").alias("node"), "comp")
