@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from foliospark.llm.common import written
 
 BASES = (np.uint64(0x9E3779B97F4A7C55), np.uint64(0xC2B2AE3D27D4EB4F))
-PIECE = 1 << 21
+PIECE = 1 << 19
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -175,7 +175,7 @@ class SuffixSort:
         return order
 
 
-def repeated_bounds(contents: list[bytes], leads: np.ndarray, groups: np.ndarray, length: int, most: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+def repeated_bounds(contents: list[bytes], leads: np.ndarray, groups: np.ndarray, length: int, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
     """First and last window that repeats among the runs of the same group, -1 where none does.
 
     contents: bytes of the runs, whose anchors stand at ``leads``. Suffixes are sorted some ``most`` at a time, in
@@ -324,7 +324,7 @@ def _sorted_bounds(contents: DataFrame, length: int) -> DataFrame:
         held, size, group = [], 0, None
         for batch in batches:
             for h, c, lead, raw in zip(batch["h"], batch["c"], batch["lead"], batch["raw"], strict=True):
-                if h != group and size > 4_000_000:
+                if h != group and size > 500_000:
                     yield solve(held)
                     held, size = [], 0
                 group = h
