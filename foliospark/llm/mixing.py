@@ -25,6 +25,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliospark.llm.common import written
+
 
 def word_tokens(text: str = "text") -> Column:
     """White-space words of a text, the token measure of the mix."""
@@ -83,7 +85,8 @@ def mix(
     spark = docs.sparkSession
     mark = F.xxhash64(F.lit(seed), *[F.col(c) for c in ("doc_id", "text") if c in docs.columns])
     rows = docs.withColumns({"mix_tokens": word_tokens(), "mix_mark": mark})
-    totals = rows.groupBy("source").agg(F.sum("mix_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_docs")).limit(most_sources + 1).collect()
+    slim = written(rows.select("source", "mix_tokens", "mix_mark"), "mix-tokens")  # words are counted once for all sums
+    totals = slim.groupBy("source").agg(F.sum("mix_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_docs")).limit(most_sources + 1).collect()
     if len(totals) > most_sources:
         raise ValueError(f"more than {most_sources} sources")
     tokens = [r["tokens"] for r in totals]
@@ -97,9 +100,11 @@ def mix(
     ]
     plan_df = spark.createDataFrame(plan, "mix_source string, mix_source_tokens long, mix_weight double, mix_epochs long, mix_rest long, mix_blocks long")
     # One row for each source, at most most_sources of some 60 bytes: small enough to broadcast, whatever the corpus.
-    placed = rows.join(F.broadcast(plan_df), F.col("source").eqNullSafe(F.col("mix_source"))).withColumn(
-        "mix_block", F.pmod(F.xxhash64("mix_mark"), F.col("mix_blocks"))
-    )
+
+    def in_blocks(df: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(plan_df), F.col("source").eqNullSafe(F.col("mix_source"))).withColumn("mix_block", F.pmod(F.xxhash64("mix_mark"), F.col("mix_blocks")))
+
+    placed = in_blocks(slim)
     blocks = (
         placed.groupBy("mix_source", "mix_block", "mix_rest")
         .agg(F.sum("mix_tokens").alias("size"))
@@ -132,7 +137,7 @@ def mix(
         "mix_block_mark",
         F.when(F.col("room") >= F.col("size"), F.lit(2**63 - 1)).when(F.col("room") > 0, F.col("last_mark")).alias("upto_mark"),
     )
-    chosen = placed.join(ends, same)
+    chosen = in_blocks(rows).join(ends, same)
     copies = F.col("mix_epochs") + F.coalesce((F.col("mix_mark") <= F.col("upto_mark")).cast("long"), F.lit(0))
     out = chosen.withColumn("mix_copies", copies).where("mix_copies > 0").withColumn("mix_epoch", F.explode(F.expr("sequence(1L, mix_copies)")))
     return out.select(*docs.columns, "mix_source_tokens", "mix_weight", "mix_tokens", "mix_epoch", "mix_block", "mix_block_mark", "mix_mark")
