@@ -38,8 +38,8 @@ from foliospark.llm.components import components
 from foliospark.llm.suffix_dedup import mixed, prefix_hashes, range_hash
 
 BANDS, ROWS = 8, 2
-#: Shingles that this many prefixes hold count as frequent; those of largest count, at most so many, are told to the tasks (16 MB).
-FREQUENT, MOST_FREQUENT = 2, 1_000_000
+#: Shingles that this many prefixes hold count as frequent; those of largest count, at most so many, are told to the tasks (2 MB).
+FREQUENT, MOST_FREQUENT = 2, 1 << 18
 _MULTIPLIERS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -112,7 +112,8 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 def frequent_shingles(docs: DataFrame, width: int, percent: int, buckets: int) -> np.ndarray:
     """The shingles that at least FREQUENT prefixes hold, rarest first; the MOST_FREQUENT of largest count at most.
 
-    Hashes travel as packed arrays; a task counts those of its buckets.
+    Hashes travel as packed arrays; a task counts those of its buckets. How many shingles have each count says which counts fit
+    into the bound, so no more than these reach the driver. Which ones are told decides the order, not the result.
     """
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -128,8 +129,15 @@ def frequent_shingles(docs: DataFrame, width: int, percent: int, buckets: int) -
             many = count >= FREQUENT
             yield pd.DataFrame({"hash": value[many].view(np.int64), "n": count[many].astype(np.int64)})
 
-    found = docs.mapInPandas(packed, "bucket int, hashes binary").repartition("bucket").mapInPandas(counted, "hash long, n long")
-    rows = found.orderBy(F.desc("n"), "hash").limit(MOST_FREQUENT).toPandas()
+    found = written(docs.mapInPandas(packed, "bucket int, hashes binary").repartition("bucket").mapInPandas(counted, "hash long, n long"), "frequent")
+    of_count = found.groupBy("n").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n")).limit(MOST_FREQUENT)
+    least, room = 1 << 62, MOST_FREQUENT
+    for r in of_count.toLocalIterator():
+        room -= r["k"]
+        if room < 0:
+            break
+        least = r["n"]
+    rows = found.where(F.col("n") >= least).toArrow().to_pandas()
     return rows.sort_values(["n", "hash"])["hash"].to_numpy(dtype=np.int64).view(np.uint64)
 
 
@@ -236,7 +244,7 @@ def candidates(entries: DataFrame, frequent: np.ndarray, percent: int, buckets:
                 yield frame.groupby("hash")["comp"].agg(low="min", high="max").reset_index()
 
         alone = entries.select("prefix", "comp").mapInPandas(spread, "hash long, low long, high long").groupBy("hash").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low = high")
-        dead = np.sort(alone.select("hash").toPandas()["hash"].to_numpy(dtype=np.int64).view(np.uint64))
+        dead = np.sort(alone.select("hash").toArrow()["hash"].to_numpy().astype(np.int64).view(np.uint64))
     gone = spark.sparkContext.broadcast(dead)
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
