@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions.text import word_count
@@ -383,3 +383,209 @@ def a16_rule_checks(spark, sf_dir):
 FROM d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id""")
 def a21_rule_summary(spark, sf_dir):
     return rules.rule_summary(apa(spark, sf_dir), checks(spark, sf_dir))
+
+
+# ---- orders and issues
+
+from foliospark.operators import checks as ck  # noqa: E402
+from foliospark.operators import convert, diff, terms  # noqa: E402
+
+
+@query(f"""{NUMBERS}, p AS (SELECT doc_id, n, min(CASE WHEN n < 99 THEN n END) AS m FROM c WHERE n < 99 GROUP BY ALL),
+o AS (SELECT f.doc_id, line_no, CASE WHEN cited THEN 0 ELSE 1 END AS late FROM f JOIN p ON p.doc_id = f.doc_id AND p.n = f.line_no)
+SELECT doc_id, CAST(line_no AS int) AS line_no, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY late, line_no) AS int) AS rank FROM o""")
+def w1_first_appearance(spark, sf_dir):
+    return ck.first_appearance(number_matches(spark, sf_dir))
+
+
+@query(f"{f} SELECT doc_id, true AS sequential, CAST(0 AS bigint) AS n_missing FROM f GROUP BY doc_id")
+def w2_numbering(spark, sf_dir):
+    return ck.numbering_check(numeric_refs(spark, sf_dir))
+
+
+@query(f"""{f}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY lower(surname), CASE WHEN n_authors = 1 THEN 0 ELSE 1 END, year, line_no) AS due FROM ok)
+SELECT doc_id, bool_and(n = due) AS sorted, count(*) FILTER (WHERE n <> due) AS n_misplaced FROM k GROUP BY doc_id""")
+def w4_alphabetical(spark, sf_dir):
+    return ck.alphabetical_check(apa_refs(spark, sf_dir))
+
+
+@query(f"""{f}, b AS (SELECT doc_id, line_no, surname || CASE WHEN year = 'n.d.' THEN 'nd' ELSE year END AS base FROM ok), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(base) ORDER BY line_no) AS n FROM b)
+SELECT doc_id, CAST(line_no AS int) AS line_no, CASE WHEN n = 1 THEN base ELSE base || '_' || CAST(n AS varchar) END AS bookmark FROM k""")
+def w12_bookmarks(spark, sf_dir):
+    return ck.bookmark_names(apa_refs(spark, sf_dir))
+
+
+@query(f"{f}, g AS (SELECT doc_id, list(line_no ORDER BY line_no) AS l, count(*) AS k FROM f GROUP BY doc_id) SELECT doc_id, CASE WHEN k = 1 THEN '1' WHEN k = 2 THEN '1, 2' ELSE '1-' || CAST(k AS varchar) END AS runs FROM g")
+def w10_compressed_runs(spark, sf_dir):
+    return numeric_refs(spark, sf_dir).groupBy("doc_id").agg(ck.compressed_runs(F.collect_list("num_label")).alias("runs"))
+
+
+@query(f"{DATED} SELECT doc_id, 'WRONG_SEPARATOR' AS issue_code, surname || ' and Lee, ' || year AS code, surname || ' & Lee, ' || year AS correction FROM c WHERE paren AND n_authors = 2 AND doc_id % 2 = 0")
+def v1_separator(spark, sf_dir):
+    """On articles whose ampersands are written out in every second document."""
+    docs = apa(spark, sf_dir).withColumn("article", F.when(F.col("doc_id") % 2 == 0, F.regexp_replace("article", " & ", " and ")).otherwise(F.col("article")))
+    parts = citations.parse_parts(citations.paren_citations(docs))
+    return ck.separator_issues(parts, docs).select("doc_id", "issue_code", "code", "correction")
+
+
+@query(f"""{KEYED} SELECT m.doc_id, 'ET_AL_UNNEEDED' AS issue_code, count(*) AS n FROM m JOIN ok ON ok.doc_id = m.doc_id AND ok.line_no = m.ref_line WHERE m.n_authors = 3 AND ok.n_authors <= 2 GROUP BY m.doc_id""")
+def v3_et_al_unneeded(spark, sf_dir):
+    return ck.et_al_unneeded(apa_matches(spark, sf_dir), apa_refs(spark, sf_dir)).groupBy("doc_id", "issue_code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{f} SELECT doc_id, CAST(line_no AS int) AS line_no, 'journal-article' AS source_type, 'year' AS missing FROM f WHERE year IS NULL OR year = 'n.d.'")
+def v5_completeness(spark, sf_dir):
+    """On numbered references, of which those without a year lack one."""
+    found = ck.completeness(numeric_refs(spark, sf_dir))
+    return found.select("doc_id", "line_no", "source_type", F.array_join("missing", ",").alias("missing"))
+
+
+def author_date_issues(spark, sf_dir):
+    docs, r, m = apa(spark, sf_dir), apa_refs(spark, sf_dir), apa_matches(spark, sf_dir)
+    parts = citations.author_date_citations(docs)
+    label = F.concat_ws(", ", "first_author", "year")
+    unsorted = ck.alphabetical_check(r).where("not sorted")
+    return ck.all_issues([
+        ck.issues(m.where("status = 'none'"), "CITATION_NOT_IN_LIST", "error", label), ck.issues(m.where("status = 'ambiguous'"), "CITATION_AMBIGUOUS", "error", label), ck.issues(m.where("status = 'suggestion'"), "POSSIBLE_MISMATCH", "suggestion", label),
+        ck.issues(matching.author_date_uncited(r, m), "REF_UNCITED", "error", F.substring("raw", 1, 150)), ck.separator_issues(parts, docs), ck.et_al_missing(parts, docs), ck.et_al_unneeded(m, r),
+        ck.issues(unsorted, "LIST_NOT_ALPHABETICAL", "error", F.lit("list")), ck.issues(stats.duplicate_dois(r), "DUPLICATE_DOI", "error", F.col("doi")), ck.issues(ck.completeness(r), "METADATA_INCOMPLETE", "suggestion", F.substring("raw", 1, 150), F.array_join("missing", ", ")),
+    ])
+
+
+@query()
+def v10_all_issues(spark, sf_dir):
+    """All author-date issues with localised titles and places (W8), as one table."""
+    return ck.located(ck.localised(author_date_issues(spark, sf_dir), "id"), apa(spark, sf_dir)).drop("fingerprint")
+
+
+@query()
+def a23_issue_summary(spark, sf_dir):
+    return stats.issue_summary(author_date_issues(spark, sf_dir))
+
+
+# ---- structure
+
+
+def paragraphs(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("para_no", "text"))
+
+
+@query()
+def a22_doc_stats(spark, sf_dir):
+    """Sections (P13), their texts (P14) and the structure summary of all documents."""
+    return prep.doc_stats(paragraphs(spark, sf_dir)).withColumn("missing", F.array_join("missing", ","))
+
+
+@query()
+def v9_checklist(spark, sf_dir):
+    p = paragraphs(spark, sf_dir)
+    recent = stats.recency(p.select("doc_id", F.col("text").alias("raw")), 2002)
+    return prep.checklist(prep.doc_stats(p), recent)
+
+
+@query(f"""{f} SELECT doc_id, count(year) FILTER (WHERE year <> 'n.d.') AS known FROM f GROUP BY doc_id""")
+def a15_recency_lines(spark, sf_dir):
+    """Reference lines whose parsed year is known."""
+    return refs.parsed(refs.reference_lines(apa(spark, sf_dir))).groupBy("doc_id").agg(F.count(stats.year_number()).alias("known"))
+
+
+# ---- conversion
+
+
+@query()
+def k7_convert_to_ieee(spark, sf_dir):
+    docs = apa(spark, sf_dir)
+    return convert.convert(docs, apa_refs(spark, sf_dir), "ieee")[0]
+
+
+@query()
+def k7_convert_to_apa(spark, sf_dir):
+    docs = numeric(spark, sf_dir)
+    return convert.convert(docs, numeric_refs(spark, sf_dir), "apa7")[0]
+
+
+@query(f"""{NUMBERS} SELECT doc_id, CAST(count(*) FILTER (WHERE cited) + CASE WHEN count(*) >= 3 THEN 1 ELSE 0 END + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS bigint) AS found, CAST(CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS bigint) AS unmatched
+FROM f GROUP BY doc_id HAVING count(*) FILTER (WHERE cited) + CASE WHEN count(*) >= 3 THEN 1 ELSE 0 END + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END > 0""")
+def a25_conversion_summary(spark, sf_dir):
+    spans = convert.conversion_spans(numeric(spark, sf_dir), numeric_refs(spark, sf_dir), "apa7")
+    return convert.conversion_summary(spans, "numeric").select("doc_id", "found", "unmatched")
+
+
+# ---- terms
+
+TERMS = ("Academic Self Regulation", "Digital Literacy Skill", "Work Life Balance", "Job Satisfaction Level", "Brand Loyalty Intention")
+
+
+def term_paragraphs(spark, sf_dir):
+    """Two sentences for each lineitem, about terms that its part and supplier pick."""
+    a, b = (F.element_at(F.array(*[F.lit(t) for t in TERMS]), (F.col(c) % 5 + 1).cast("int")) for c in ("partkey", "suppkey"))
+    text = F.concat(a, F.lit(" predicts "), b, F.lit(". "), a, F.lit(" was measured using the Basic Attitude Scale. "), b, F.lit(" is defined as the degree to which people agree with it."))
+    return corpus.facts(spark, sf_dir).select("doc_id", F.col("line_no").alias("para_no"), text.alias("text"))
+
+
+TERM = "CASE {0} % 5 " + " ".join(f"WHEN {k} THEN '{' '.join(t.lower().split())}'" for k, t in enumerate(TERMS)) + " END"
+
+
+@query(f"""{f}, t AS (SELECT doc_id, {TERM.format('partkey')} AS norm FROM f UNION ALL SELECT doc_id, {TERM.format('partkey')} FROM f UNION ALL SELECT doc_id, {TERM.format('suppkey')} FROM f UNION ALL SELECT doc_id, {TERM.format('suppkey')} FROM f)
+SELECT doc_id, norm, count(*) AS n FROM t GROUP BY ALL""")
+def m3_mentions(spark, sf_dir):
+    """Candidates (M2), the repeat filter and the count of all mentions (M3)."""
+    found = terms.mentions(term_paragraphs(spark, sf_dir)).where(~F.col("norm").contains("scale"))
+    return found.groupBy("doc_id", "norm").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""{f} SELECT DISTINCT doc_id, 'PREDICTS' AS type, {TERM.format('partkey')} AS subject, {TERM.format('suppkey')} AS object FROM f WHERE partkey % 5 <> suppkey % 5""")
+def m10_relations(spark, sf_dir):
+    return terms.relations(terms.mentions(term_paragraphs(spark, sf_dir))).select("doc_id", "type", "subject", "object")
+
+
+@query()
+def m9_concepts(spark, sf_dir):
+    """Scores (M7), definitions (M6), types (M9), roles (M11), ids (M16)."""
+    p = term_paragraphs(spark, sf_dir)
+    found = terms.mentions(p)
+    defined = terms.definitions(found)
+    typed = terms.classify(terms.variable_scores(found), defined, terms.acronym_pairs(p))
+    return terms.concept_ids(typed).join(terms.roles(terms.relations(found)), ["doc_id", "norm"], "left").withColumn("roles", F.array_join("roles", ",")).withColumn("related_to", F.array_join("related_to", ","))
+
+
+@query()
+def m13_alias_pairs(spark, sf_dir):
+    p = term_paragraphs(spark, sf_dir)
+    found = terms.mentions(p)
+    defined = terms.definitions(found)
+    return terms.alias_pairs(terms.variable_scores(found), defined, terms.instruments(defined), terms.relations(found))
+
+
+@query(f"""{f}, t AS (SELECT doc_id, {TERM.format('partkey')} AS norm FROM f UNION SELECT doc_id, {TERM.format('suppkey')} FROM f),
+k AS (SELECT doc_id, norm, row_number() OVER (PARTITION BY doc_id ORDER BY norm) AS n FROM t) SELECT doc_id, norm, 'C' || lpad(CAST(n AS varchar), 3, '0') AS concept_id FROM k""")
+def m16_concept_ids(spark, sf_dir):
+    found = terms.mentions(term_paragraphs(spark, sf_dir)).where(~F.col("norm").contains("scale"))
+    return terms.concept_ids(found.select("doc_id", "norm").distinct())
+
+
+# ---- versions
+
+
+def version_pairs(spark, sf_dir):
+    """Every document against a version of itself: the third paragraph edited, the fifth gone, one added at the end."""
+    old = paragraphs(spark, sf_dir).select(F.col("doc_id").alias("pair_id"), F.lit("old").alias("side"), "para_no", "text")
+    n = F.max("para_no").over(Window.partitionBy("pair_id"))
+    new = old.withColumn("last", n).where("para_no <> 4").withColumn("text", F.when(F.col("para_no") == 2, F.concat("text", F.lit(" Zz added words."))).otherwise(F.col("text")))
+    extra = new.where("para_no = 0").select("pair_id", F.lit("new").alias("side"), (F.col("last") + 1).alias("para_no"), F.lit("Qq a whole new closing paragraph 12345.").alias("text"))
+    return old.unionByName(new.select("pair_id", F.lit("new").alias("side"), "para_no", "text")).unionByName(extra)
+
+
+@query()
+def d3_diff_paragraphs(spark, sf_dir):
+    return diff.diff_paragraphs(version_pairs(spark, sf_dir)).select("pair_id", "seq", "type", "old_idx", "new_idx")
+
+
+@query()
+def a26_diff_summary(spark, sf_dir):
+    return stats.diff_summary(diff.diff_paragraphs(version_pairs(spark, sf_dir)))
+
+
+@query()
+def d4_word_diff(spark, sf_dir):
+    return diff.word_diff(diff.diff_paragraphs(version_pairs(spark, sf_dir))).select("pair_id", "seq", F.size("script").alias("n_steps"), F.count_if(F.lit(True)).over(Window.partitionBy("pair_id")).alias("n_modified"))
