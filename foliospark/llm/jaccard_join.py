@@ -5,7 +5,7 @@ skip work, among lists and among answers:
 
 1. Equal sets are one class; only its document of smallest id, the representative, goes on.
 2. Band keys (minima of the shingle hashes under 16 permutations, two to a band) give each representative a few highly similar
-   sets, the smallest of each band. These pairs are verified and make first components: what is known of a set
+   sets, the a few of each band. These pairs are verified and make first components: what is known of a set
    now serves the sets like it.
 3. Each representative enters its prefix (the shingles that come first in one order for all sets, as many as a set
    of such similarity must share one of) into index lists, with its size and position. Shingles that many prefixes hold
@@ -26,6 +26,7 @@ doc_id is left alone with a null component; an empty table gives an empty table;
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +39,11 @@ from foliospark.llm.components import components
 from foliospark.llm.suffix_dedup import mixed, prefix_hashes, range_hash
 
 BANDS, ROWS = 8, 2
-#: Shingles that this many prefixes hold count as frequent; those of largest count, at most so many, are told to the tasks (2 MB).
-FREQUENT, MOST_FREQUENT = 2, 1 << 18
+#: Shingles that this many prefixes hold count as frequent. Tasks are told those of largest count one by one, at most so many (2 MB),
+#: and the others by a filter of so many bits (16 MB) that holds as many as it can at eight bits each, those of larger counts first.
+FREQUENT, MOST_FREQUENT, FILTER_BITS = 2, 1 << 18, 1 << 27
+#: Pivots that the sets of one band key are compared with.
+PIVOTS = 6
 _MULTIPLIERS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -109,11 +113,43 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInPandas(signed, "doc_id long, n long, s0 long, s1 long, bands array<long>")
 
 
-def frequent_shingles(docs: DataFrame, width: int, percent: int, buckets: int) -> np.ndarray:
-    """The shingles that at least FREQUENT prefixes hold, rarest first; the MOST_FREQUENT of largest count at most.
+class Frequent:
+    """What tasks know of frequent shingles: the most frequent ones, rarest first, and a filter for the others.
 
-    Hashes travel as packed arrays; a task counts those of its buckets. How many shingles have each count says which counts fit
-    into the bound, so no more than these reach the driver. Which ones are told decides the order, not the result.
+    The filter has a slice for each bucket of hashes, so every counting task makes its slices alone.
+    """
+
+    def __init__(self, most: np.ndarray, buckets: int, slices: dict[int, bytes]):
+        self.most, self.buckets, self.size = most, buckets, slice_bits(buckets)
+        self.bits = np.zeros(buckets * self.size // 8, dtype=np.uint8)
+        for bucket, raw in slices.items():
+            self.bits[bucket * self.size // 8 : (bucket + 1) * self.size // 8] = np.frombuffer(zlib.decompress(raw), dtype=np.uint8)
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        base = (hashes % np.uint64(self.buckets)).astype(np.int64) * self.size
+        found = np.ones(len(hashes), dtype=bool)
+        for place in _places(hashes, self.size):
+            at = base + place
+            found &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        return found
+
+
+def slice_bits(buckets: int) -> int:
+    return FILTER_BITS // buckets // 8 * 8
+
+
+def _places(hashes: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """Three bits of a slice for each hash."""
+    a, b = mixed(hashes), mixed(hashes ^ np.uint64(0x5BF0363546290C4F)) | np.uint64(1)
+    for k in range(3):
+        yield ((a + np.uint64(k) * b) % np.uint64(size)).astype(np.int64)
+
+
+def frequent_shingles(docs: DataFrame, width: int, percent: int, buckets: int) -> Frequent:
+    """Counts the shingles of all prefixes and tells which are frequent.
+
+    Hashes travel as packed arrays; a task counts those of its buckets and makes filter slices for several least counts, of which the
+    lowest that fits is taken. What reaches the driver has a fixed bound. Which shingles are told decides the order, not the result.
     """
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -124,21 +160,39 @@ def frequent_shingles(docs: DataFrame, width: int, percent: int, buckets: int) -
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [np.frombuffer(x, dtype=np.uint64) for batch in batches for x in batch["hashes"]]
-        if parts:
-            value, count = np.unique(np.concatenate(parts), return_counts=True)
-            many = count >= FREQUENT
-            yield pd.DataFrame({"hash": value[many].view(np.int64), "n": count[many].astype(np.int64)})
-
-    found = written(docs.mapInPandas(packed, "bucket int, hashes binary").repartition("bucket").mapInPandas(counted, "hash long, n long"), "frequent")
-    of_count = found.groupBy("n").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n")).limit(MOST_FREQUENT)
+        if not parts:
+            return
+        value, count = np.unique(np.concatenate(parts), return_counts=True)
+        size, bucket = slice_bits(buckets), (value % np.uint64(buckets)).astype(np.int64)
+        rows = []
+        for level in range(1, 40):
+            many = count >= FREQUENT ** level
+            if not many.any():
+                break
+            for b in np.unique(bucket[many]).tolist():
+                bits = np.zeros(size, dtype=np.uint8)
+                mine = value[many & (bucket == b)]
+                for place in _places(mine, size):
+                    bits[place] = 1
+                rows.append((None, len(mine), level, b, zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)))
+        yield pd.DataFrame(rows, columns=["hash", "n", "level", "bucket", "bits"]).astype({"hash": "Int64", "level": "Int32", "bucket": "Int32"})
+        many = count >= 2 * FREQUENT
+        yield pd.DataFrame({"hash": value[many].view(np.int64), "n": count[many].astype(np.int64), "level": None, "bucket": None, "bits": None}).astype({"level": "Int32", "bucket": "Int32"})
+
+    made = docs.mapInPandas(packed, "bucket int, hashes binary").repartition("bucket").mapInPandas(counted, "hash long, n long, level int, bucket int, bits binary")
+    found = written(made, "frequent")
+    sizes = {r["level"]: r["n"] for r in found.where("level is not null").groupBy("level").agg(F.sum("n").alias("n")).collect()}
+    level = min((k for k, n in sizes.items() if n <= FILTER_BITS // 8), default=None)
+    slices_ = {} if level is None else {r["bucket"]: bytes(r["bits"]) for r in found.where(F.col("level") == level).select("bucket", "bits").toLocalIterator()}
+    of_count = found.where("level is null").groupBy("n").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n")).limit(MOST_FREQUENT)
     least, room = 1 << 62, MOST_FREQUENT
     for r in of_count.toLocalIterator():
         room -= r["k"]
         if room < 0:
             break
         least = r["n"]
-    rows = found.where(F.col("n") >= least).toArrow().to_pandas()
-    return rows.sort_values(["n", "hash"])["hash"].to_numpy(dtype=np.int64).view(np.uint64)
+    rows = found.where((F.col("n") >= least) & F.col("level").isNull()).select("hash", "n").toArrow().to_pandas()
+    return Frequent(rows.sort_values(["n", "hash"])["hash"].to_numpy(dtype=np.int64).view(np.uint64), buckets, slices_)
 
 
 def _split(bucket: np.ndarray, columns: dict[str, np.ndarray], steps: str = "") -> pd.DataFrame:
@@ -157,26 +211,29 @@ def _split(bucket: np.ndarray, columns: dict[str, np.ndarray], steps: str = "")
 
 
 class Order:
-    """The one order of shingles: by hash, then the frequent ones, rarest first."""
+    """The one order of shingles: by hash, then those the filter holds, by hash, then the most frequent ones, rarest first."""
 
-    def __init__(self, frequent: np.ndarray):
-        self.by_hash = np.argsort(frequent)
-        self.sorted = frequent[self.by_hash]
+    def __init__(self, frequent: Frequent):
+        self.frequent = frequent
+        self.by_hash = np.argsort(frequent.most)
+        self.sorted = frequent.most[self.by_hash]
 
     def place(self, hashes: np.ndarray) -> np.ndarray:
-        """The place among the frequent ones, -1 for others."""
+        """The place among the most frequent ones, -1 for others."""
         if not len(self.sorted):
             return np.full(len(hashes), -1)
         at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
         return np.where(self.sorted[at] == hashes, self.by_hash[at], -1)
 
     def prefix(self, hashes: np.ndarray, size: int) -> np.ndarray:
-        place = self.place(hashes)
-        rare = hashes[place < 0][:size]
-        if len(rare) == size:
-            return rare
-        frequent = place >= 0
-        return np.r_[rare, hashes[frequent][np.argsort(place[frequent])][: size - len(rare)]]
+        place, held = self.place(hashes), self.frequent.holds(hashes)
+        out = hashes[(place < 0) & ~held][:size]
+        if len(out) < size:
+            out = np.r_[out, hashes[(place < 0) & held][: size - len(out)]]
+        if len(out) < size:
+            most = place >= 0
+            out = np.r_[out, hashes[most][np.argsort(place[most])][: size - len(out)]]
+        return out
 
 
 def prefixes(docs: DataFrame, frequent, width: int, percent: int) -> DataFrame:
@@ -316,8 +373,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     repeated = full.join(same_id, "doc_id").join(classes, ["s0", "s1"]).select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
 
     keys = classes.select("class_id", F.posexplode("bands").alias("band", "key"))
-    pivots = keys.groupBy("band", "key").agg(F.min("class_id").alias("pivot"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    stars = written(keys.join(pivots, ["band", "key"]).where("class_id <> pivot").select(F.col("class_id").alias("a"), F.col("pivot").alias("b")).distinct(), "stars")
+    # The sets of one key are compared with a few of them, those of smallest hash under as many seeds: minima, so no key gathers in one task.
+    chosen = F.array(*[F.min_by("class_id", F.xxhash64(F.lit(k), "class_id")) for k in range(PIVOTS)])
+    pivots = keys.groupBy("band", "key").agg(F.array_distinct(chosen).alias("pivots"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    stars = keys.join(pivots, ["band", "key"]).select("class_id", F.explode("pivots").alias("pivot")).where("class_id <> pivot")
+    stars = written(stars.select(F.least("class_id", "pivot").alias("a"), F.greatest("class_id", "pivot").alias("b")).distinct(), "stars")
     first_links = verified(stars, docs, width, percent).unionByName(repeated)
     roots = components(first_links)
 
@@ -326,7 +386,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     reps = classes.join(roots, F.col("class_id") == F.col("node"), "left").select(F.col("class_id").alias("doc_id"), F.coalesce("root", "class_id").alias("comp"))
     reps, _ = small_side(written(reps, "representatives"))
     entries = written(prefixes(docs, told, width, percent).join(reps, "doc_id"), "prefixes")
-    pairs = written(candidates(entries, frequent, percent, buckets), "pairs")
+    pairs = written(candidates(entries, frequent.most, percent, buckets), "pairs")
     found = verified(pairs, docs, width, percent)
     up = reps.select(F.col("doc_id").alias("node"), "comp")
     between = found.join(up.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(up.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
