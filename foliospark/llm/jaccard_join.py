@@ -10,8 +10,9 @@ skip work, among lists and among answers:
 3. Each representative enters its prefix (the shingles that come first in one order for all sets, as many as a set
    of such similarity must share one of) into index lists, with its size and position. Shingles that many prefixes hold
    come last in the order. A list whose sets are all in one component is skipped whole. In the others, entries are ordered
-   by size, so the blocks of sets too large are skipped by a binary search; pairs of one component, and pairs whose
-   positions leave too few shingles, are skipped; what is left is verified by intersecting whole sets.
+   by size, so the blocks of sets too large are skipped by a binary search; pairs of one component, pairs whose
+   positions leave too few shingles, and in lists of frequent shingles pairs with too many different parity bits are skipped; what
+   is left is verified by intersecting whole sets.
 4. Verified links join the components.
 
 A link inside a component is never needed to find components, so none is lost that matters: ``component_id`` is
@@ -39,11 +40,11 @@ from foliospark.llm.components import components
 from foliospark.llm.suffix_dedup import mixed, prefix_hashes, range_hash
 
 BANDS, ROWS = 8, 2
-#: Shingles that this many prefixes hold count as frequent. Tasks are told those of largest count one by one, at most so many (2 MB),
+#: Shingles that this many sets hold count as frequent. Tasks are told those of largest count one by one, at most so many (2 MB),
 #: and the others by a filter of so many bits (16 MB) that holds as many as it can at eight bits each, those of larger counts first.
 FREQUENT, MOST_FREQUENT, FILTER_BITS = 2, 1 << 18, 1 << 27
-#: Pivots that the sets of one band key are compared with.
-PIVOTS = 6
+#: Rounds of first comparisons, pivots that the sets of one band key are compared with in a round, bands that a pair must share.
+STAR_ROUNDS, PIVOTS, SHARED = 2, 4, 3
 _MULTIPLIERS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -113,6 +114,11 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInPandas(signed, "doc_id long, n long, s0 long, s1 long, bands array<long>")
 
 
+def short(hashes: np.ndarray) -> np.ndarray:
+    """The upper 32 bits, by which shingles are counted; shingles that share them count together, which only touches the order."""
+    return hashes >> np.uint64(32)
+
+
 class Frequent:
     """What tasks know of frequent shingles: the most frequent ones, rarest first, and a filter for the others.
 
@@ -126,6 +132,7 @@ class Frequent:
             self.bits[bucket * self.size // 8 : (bucket + 1) * self.size // 8] = np.frombuffer(zlib.decompress(raw), dtype=np.uint8)
 
     def holds(self, hashes: np.ndarray) -> np.ndarray:
+        hashes = short(hashes)
         base = (hashes % np.uint64(self.buckets)).astype(np.int64) * self.size
         found = np.ones(len(hashes), dtype=bool)
         for place in _places(hashes, self.size):
@@ -145,8 +152,8 @@ def _places(hashes: np.ndarray, size: int) -> Iterator[np.ndarray]:
         yield ((a + np.uint64(k) * b) % np.uint64(size)).astype(np.int64)
 
 
-def frequent_shingles(docs: DataFrame, width: int, percent: int, buckets: int) -> Frequent:
-    """Counts the shingles of all prefixes and tells which are frequent.
+def frequent_shingles(docs: DataFrame, width: int, buckets: int) -> Frequent:
+    """Counts the shingles of all sets and tells which are frequent.
 
     Hashes travel as packed arrays; a task counts those of its buckets and makes filter slices for several least counts, of which the
     lowest that fits is taken. What reaches the driver has a fixed bound. Which shingles are told decides the order, not the result.
@@ -155,14 +162,15 @@ def frequent_shingles(docs: DataFrame, width: int, percent: int, buckets: int) -
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for _, sets in _sets(batch, width):
-                flat = np.concatenate([s[: prefix_size(len(s), percent)] for s in sets if len(s)] or [np.zeros(0, np.uint64)])
-                yield _split(flat % np.uint64(buckets), {"hashes": flat})
+                flat = short(np.concatenate([*sets, np.zeros(0, np.uint64)])).astype(np.uint32)
+                yield _split(flat % np.uint32(buckets), {"hashes": flat})
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [np.frombuffer(x, dtype=np.uint64) for batch in batches for x in batch["hashes"]]
+        parts = [np.frombuffer(x, dtype=np.uint32) for batch in batches for x in batch["hashes"]]
         if not parts:
             return
         value, count = np.unique(np.concatenate(parts), return_counts=True)
+        value = value.astype(np.uint64)
         size, bucket = slice_bits(buckets), (value % np.uint64(buckets)).astype(np.int64)
         rows = []
         for level in range(1, 40):
@@ -222,6 +230,7 @@ class Order:
         """The place among the most frequent ones, -1 for others."""
         if not len(self.sorted):
             return np.full(len(hashes), -1)
+        hashes = short(hashes)
         at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
         return np.where(self.sorted[at] == hashes, self.by_hash[at], -1)
 
@@ -236,28 +245,33 @@ class Order:
         return out
 
 
+def parities(hashes: np.ndarray) -> bytes:
+    """256 bits: whether an odd number of hashes falls on each. Two sets differ in at least as many elements as bits."""
+    return np.packbits(np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=256) & 1).tobytes()
+
+
 def prefixes(docs: DataFrame, frequent, width: int, percent: int) -> DataFrame:
-    """doc_id, n and the prefix (packed hashes, in order) of every row with a set."""
+    """doc_id, n, the prefix (packed hashes, in order) and the parity bits of every row with a set."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         order = Order(frequent.value)
         for batch in batches:
             for ids, sets in _sets(batch, width):
-                rows = [(int(i), len(s), order.prefix(s, prefix_size(len(s), percent)).tobytes()) for i, s in zip(ids, sets, strict=True) if len(s) and not pd.isna(i)]
-                yield pd.DataFrame(rows, columns=["doc_id", "n", "prefix"])
+                rows = [(int(i), len(s), order.prefix(s, prefix_size(len(s), percent)).tobytes(), parities(s)) for i, s in zip(ids, sets, strict=True) if len(s) and not pd.isna(i)]
+                yield pd.DataFrame(rows, columns=["doc_id", "n", "prefix", "bits"])
 
-    return docs.mapInPandas(cut, "doc_id long, n long, prefix binary")
+    return docs.mapInPandas(cut, "doc_id long, n long, prefix binary, bits binary")
 
 
-def list_pairs(token: np.ndarray, doc: np.ndarray, n: np.ndarray, at: np.ndarray, comp: np.ndarray, percent: int, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs from index lists, by the skips that the module names."""
+def list_pairs(token: np.ndarray, doc: np.ndarray, n: np.ndarray, at: np.ndarray, comp: np.ndarray, bits: np.ndarray, percent: int, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs from index lists, by the skips that the module names. bits: [entries, 4], zeros where an entry has none."""
     order = np.lexsort((n, token))
-    token, doc, n, at, comp = token[order], doc[order], n[order], at[order], comp[order]
+    token, doc, n, at, comp, bits = token[order], doc[order], n[order], at[order], comp[order], bits[order]
     opens = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
     mixed_list = np.minimum.reduceat(comp, opens) != np.maximum.reduceat(comp, opens)
     sizes = np.diff(np.r_[opens, len(token)])
     live = np.repeat(mixed_list, sizes)
-    token, doc, n, at, comp = token[live], doc[live], n[live], at[live], comp[live]
+    token, doc, n, at, comp, bits = token[live], doc[live], n[live], at[live], comp[live], bits[live]
     if not len(token):
         return
     number = np.cumsum(np.r_[False, token[1:] != token[:-1]]).astype(np.int64)
@@ -275,7 +289,11 @@ def list_pairs(token: np.ndarray, doc: np.ndarray, n: np.ndarray, at: np.ndarray
         y = np.arange(len(x)) - np.repeat(np.cumsum(c) - c, c) + x + 1
         need = -(-(n[x] + n[y]) * percent // (100 + percent))
         good = (comp[x] != comp[y]) & (1 + np.minimum(n[x] - at[x] - 1, n[y] - at[y] - 1) + np.minimum(at[x], at[y]) >= need)
-        x, y = x[good], y[good]
+        x, y, need = x[good], y[good], need[good]
+        # Sets that link differ in at most so many elements; parity bits that differ are no more than these.
+        apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1)
+        close = apart <= n[x] + n[y] - 2 * need
+        x, y = x[close], y[close]
         yield np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y])
         begin = stop
 
@@ -288,15 +306,15 @@ def candidates(entries: DataFrame, frequent: np.ndarray, percent: int, buckets:
     """
     spark = entries.sparkSession
     dead = np.zeros(0, dtype=np.uint64)
+    told = spark.sparkContext.broadcast(np.sort(frequent))
     if len(frequent):
-        told = spark.sparkContext.broadcast(np.sort(frequent))
 
         def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 token = np.frombuffer(b"".join(batch["prefix"]), dtype=np.uint64)
                 comp = np.repeat(batch["comp"].to_numpy(dtype=np.int64), [len(p) // 8 for p in batch["prefix"]])
-                at = np.minimum(np.searchsorted(told.value, token), len(told.value) - 1)
-                known = told.value[at] == token
+                at = np.minimum(np.searchsorted(told.value, short(token)), len(told.value) - 1)
+                known = told.value[at] == short(token)
                 frame = pd.DataFrame({"hash": token[known].view(np.int64), "comp": comp[known]})
                 yield frame.groupby("hash")["comp"].agg(low="min", high="max").reset_index()
 
@@ -316,22 +334,27 @@ def candidates(entries: DataFrame, frequent: np.ndarray, percent: int, buckets:
                     at = np.minimum(np.searchsorted(gone.value, token), len(gone.value) - 1)
                     stay = gone.value[at] != token
                     token, place, row = token[stay], place[stay], row[stay]
+                bits = np.frombuffer(b"".join(part["bits"]), dtype=np.uint64).reshape(-1, 4)[row]
+                known = np.zeros(len(token), dtype=bool)
+                if len(told.value):
+                    known = told.value[np.minimum(np.searchsorted(told.value, short(token)), len(told.value) - 1)] == short(token)
+                bits[~known] = 0  # only long lists need them
                 who = {c: part[c].to_numpy(dtype=np.int64)[row] for c in ("doc_id", "n", "comp")}
-                yield _split(token % np.uint64(buckets), {"token": token, "doc": who["doc_id"], "n": who["n"].astype(np.int32), "at": place.astype(np.int32), "comp": who["comp"] ^ who["doc_id"]}, "doc")
+                yield _split(token % np.uint64(buckets), {"token": token, "doc": who["doc_id"], "n": who["n"].astype(np.int32), "at": place.astype(np.int32), "comp": who["comp"] ^ who["doc_id"], "bits": bits}, "doc")
 
     def paired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts: dict[str, list] = {"token": [], "doc": [], "n": [], "at": [], "comp": []}
-        kinds = {"token": np.uint64, "doc": np.int64, "n": np.int32, "at": np.int32, "comp": np.int64}
+        parts: dict[str, list] = {"token": [], "doc": [], "n": [], "at": [], "comp": [], "bits": []}
+        kinds = {"token": np.uint64, "doc": np.int64, "n": np.int32, "at": np.int32, "comp": np.int64, "bits": np.uint64}
         for batch in batches:
             for name, kind in kinds.items():
                 parts[name] += [np.cumsum(np.frombuffer(x, dtype=kind)) if name == "doc" else np.frombuffer(x, dtype=kind) for x in batch[name]]
         if parts["token"]:
             joined = {name: np.concatenate(x) for name, x in parts.items()}
-            for a, b in list_pairs(joined["token"], joined["doc"], joined["n"].astype(np.int64), joined["at"].astype(np.int64), joined["comp"] ^ joined["doc"], percent):
+            for a, b in list_pairs(joined["token"], joined["doc"], joined["n"].astype(np.int64), joined["at"].astype(np.int64), joined["comp"] ^ joined["doc"], joined["bits"].reshape(-1, 4), percent):
                 both = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
                 yield pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
 
-    lists = entries.mapInPandas(listed, "bucket int, token binary, doc binary, n binary, at binary, comp binary").repartition("bucket")
+    lists = entries.mapInPandas(listed, "bucket int, token binary, doc binary, n binary, at binary, comp binary, bits binary").repartition("bucket")
     return lists.mapInPandas(paired, "a long, b long").distinct()
 
 
@@ -360,6 +383,32 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(linked, "a long, b long").distinct()
 
 
+def first_components(classes: DataFrame, docs: DataFrame, links: DataFrame, width: int, percent: int) -> DataFrame:
+    """node and root of components by verified links among highly similar sets; what is missing is found later, nothing here has to be complete.
+
+    In each round the sets of a band key are compared with a few pivots of other components, those of smallest hash under new
+    seeds. Pivots are minima and a key of one component is left out, so a group of n similar sets costs n comparisons a pivot, never n * n.
+    """
+    bands = classes.select("class_id", "bands")
+    known = written(links, "links")
+    roots = written(components(known), "roots")
+    for r in range(STAR_ROUNDS):
+        placed = bands.join(roots, F.col("class_id") == F.col("node"), "left").select("class_id", F.coalesce("root", "class_id").alias("comp"), F.posexplode("bands").alias("band", "key"))
+        one = F.struct("class_id", "comp")
+        chosen = F.array(*[F.min_by(one, F.xxhash64(F.lit(r * PIVOTS + k), "class_id")) for k in range(PIVOTS)])
+        pivots = placed.groupBy("band", "key").agg(F.array_distinct(chosen).alias("pivots"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").drop("low", "high")
+        near = placed.join(pivots, ["band", "key"]).select("class_id", "comp", F.explode("pivots").alias("p")).where("comp <> p.comp")
+        near = near.select(F.least("class_id", "p.class_id").alias("a"), F.greatest("class_id", "p.class_id").alias("b")).distinct()
+        near = near.join(bands.select(F.col("class_id").alias("a"), F.col("bands").alias("x")), "a").join(bands.select(F.col("class_id").alias("b"), F.col("bands").alias("y")), "b")
+        stars = written(near.where(F.size(F.array_intersect("x", "y")) >= SHARED).select("a", "b"), "stars")
+        found = written(verified(stars, docs, width, percent), "links")
+        if not found.take(1):
+            break
+        known = known.unionByName(found)
+        roots = written(components(known), "roots")
+    return roots
+
+
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id (smallest doc_id of an equal set) and class_size of every row."""
     spark = docs.sparkSession
@@ -372,16 +421,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     same_id = full.groupBy("doc_id").agg(F.min_by("s0", "s0").alias("low"), F.max("s0").alias("high")).where("low <> high").select("doc_id")
     repeated = full.join(same_id, "doc_id").join(classes, ["s0", "s1"]).select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
 
-    keys = classes.select("class_id", F.posexplode("bands").alias("band", "key"))
-    # The sets of one key are compared with a few of them, those of smallest hash under as many seeds: minima, so no key gathers in one task.
-    chosen = F.array(*[F.min_by("class_id", F.xxhash64(F.lit(k), "class_id")) for k in range(PIVOTS)])
-    pivots = keys.groupBy("band", "key").agg(F.array_distinct(chosen).alias("pivots"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    stars = keys.join(pivots, ["band", "key"]).select("class_id", F.explode("pivots").alias("pivot")).where("class_id <> pivot")
-    stars = written(stars.select(F.least("class_id", "pivot").alias("a"), F.greatest("class_id", "pivot").alias("b")).distinct(), "stars")
-    first_links = verified(stars, docs, width, percent).unionByName(repeated)
-    roots = components(first_links)
+    roots = first_components(classes, docs, repeated, width, percent)
 
-    frequent = frequent_shingles(docs, width, percent, buckets)
+    frequent = frequent_shingles(docs, width, buckets)
     told = spark.sparkContext.broadcast(frequent)
     reps = classes.join(roots, F.col("class_id") == F.col("node"), "left").select(F.col("class_id").alias("doc_id"), F.coalesce("root", "class_id").alias("comp"))
     reps, _ = small_side(written(reps, "representatives"))
