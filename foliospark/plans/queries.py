@@ -589,3 +589,38 @@ def a26_diff_summary(spark, sf_dir):
 @query()
 def d4_word_diff(spark, sf_dir):
     return diff.word_diff(diff.diff_paragraphs(version_pairs(spark, sf_dir))).select("pair_id", "seq", F.size("script").alias("n_steps"), F.count_if(F.lit(True)).over(Window.partitionBy("pair_id")).alias("n_modified"))
+
+
+# ---- captions, case, order, merging
+
+
+@query(f"""{f} SELECT doc_id, 'figure' AS object_type, CAST(line_no AS varchar) AS number, CAST(2 * line_no AS int) AS para_no, 3 AS position, CAST(CASE WHEN line_no % 2 = 0 THEN 2 * line_no + 1 ELSE -1 END AS int) AS caption_para FROM f""")
+def c16_figure_table_links(spark, sf_dir):
+    """A paragraph that names a figure for each lineitem, and a caption for every second one."""
+    facts = corpus.facts(spark, sf_dir).select("doc_id", F.col("line_no").cast("int").alias("k"))
+    mention = facts.select("doc_id", (2 * F.col("k")).alias("para_no"), F.concat(F.lit("As Figure "), "k", F.lit(" shows, it holds.")).alias("text"))
+    caption = facts.where("k % 2 = 0").select("doc_id", (2 * F.col("k") + 1).alias("para_no"), F.concat(F.lit("Figure "), "k", F.lit(". What is shown")).alias("text"))
+    found = citations.figure_table_links(mention.unionByName(caption))
+    return found.select("doc_id", "object_type", "number", "para_no", F.col("position").cast("int").alias("position"), F.coalesce("caption_para", F.lit(-1)).alias("caption_para"))
+
+
+@query(f"{f} SELECT doc_id, 'CASE' AS issue_code, replace(title, 'item', 'Item') AS code FROM ok WHERE doc_id % 2 = 0")
+def v8_case_issues(spark, sf_dir):
+    """On reference lists whose titles have a capital in every second document."""
+    docs = apa(spark, sf_dir).withColumn("reference_text", F.when(F.col("doc_id") % 2 == 0, F.regexp_replace("reference_text", "of item", "of Item")).otherwise(F.col("reference_text")))
+    return ck.case_issues(refs.build_refs(refs.reference_lines(docs))[0]).select("doc_id", "issue_code", "code")
+
+
+@query()
+def w3_citation_order(spark, sf_dir):
+    return ck.citation_order_check(numeric_refs(spark, sf_dir), number_matches(spark, sf_dir))
+
+
+@query(f"""{f}, t AS (SELECT DISTINCT doc_id, {TERM.format('partkey')} AS norm FROM f UNION SELECT doc_id, {TERM.format('suppkey')} FROM f) SELECT doc_id, norm, norm AS merged_into FROM t""")
+def m14_merged_terms(spark, sf_dir):
+    """Terms of which none is a strong alias of another, so each stays itself."""
+    p = term_paragraphs(spark, sf_dir)
+    found = terms.mentions(p).where(~F.col("norm").contains("scale"))
+    defined = terms.definitions(found)
+    scored = terms.variable_scores(found)
+    return terms.merged_terms(scored, terms.alias_pairs(scored, defined, terms.instruments(defined), terms.relations(found)))
