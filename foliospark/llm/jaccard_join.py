@@ -288,7 +288,8 @@ def list_pairs(token: np.ndarray, doc: np.ndarray, n: np.ndarray, at: np.ndarray
         x = np.repeat(np.arange(begin, stop), c)
         y = np.arange(len(x)) - np.repeat(np.cumsum(c) - c, c) + x + 1
         need = -(-(n[x] + n[y]) * percent // (100 + percent))
-        good = (comp[x] != comp[y]) & (1 + np.minimum(n[x] - at[x] - 1, n[y] - at[y] - 1) + np.minimum(at[x], at[y]) >= need)
+        # Such sets share one of the first n - need + 1 of both, so other common places needn't name the pair again.
+        good = (comp[x] != comp[y]) & (at[x] <= n[x] - need) & (at[y] <= n[y] - need) & (1 + np.minimum(n[x] - at[x] - 1, n[y] - at[y] - 1) + np.minimum(at[x], at[y]) >= need)
         x, y, need = x[good], y[good], need[good]
         # Sets that link differ in at most so many elements; parity bits that differ are no more than these.
         apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1)
@@ -298,13 +299,13 @@ def list_pairs(token: np.ndarray, doc: np.ndarray, n: np.ndarray, at: np.ndarray
         begin = stop
 
 
-def candidates(entries: DataFrame, frequent: np.ndarray, percent: int, buckets: int) -> DataFrame:
+def candidates(entries: DataFrame, filter_, percent: int, buckets: int) -> DataFrame:
     """Distinct pairs (a, b) of representatives in different components that the index lists leave.
 
-    entries: doc_id, n, prefix, comp. Frequent shingles of which all entries are in one component are left out before the
+    entries: doc_id, n, prefix, bits, comp. filter_: the broadcast of what is known of frequent shingles. Frequent shingles of which all entries are in one component are left out before the
     lists are made, by a small count of their own, so large groups of similar sets make no long lists.
     """
-    spark = entries.sparkSession
+    spark, frequent = entries.sparkSession, filter_.value.most
     dead = np.zeros(0, dtype=np.uint64)
     told = spark.sparkContext.broadcast(np.sort(frequent))
     if len(frequent):
@@ -323,6 +324,7 @@ def candidates(entries: DataFrame, frequent: np.ndarray, percent: int, buckets:
     gone = spark.sparkContext.broadcast(dead)
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        order = Order(filter_.value)
         for batch in batches:
             for begin in range(0, len(batch), 1000):
                 part = batch.iloc[begin : begin + 1000]
@@ -335,10 +337,7 @@ def candidates(entries: DataFrame, frequent: np.ndarray, percent: int, buckets:
                     stay = gone.value[at] != token
                     token, place, row = token[stay], place[stay], row[stay]
                 bits = np.frombuffer(b"".join(part["bits"]), dtype=np.uint64).reshape(-1, 4)[row]
-                known = np.zeros(len(token), dtype=bool)
-                if len(told.value):
-                    known = told.value[np.minimum(np.searchsorted(told.value, short(token)), len(told.value) - 1)] == short(token)
-                bits[~known] = 0  # only long lists need them
+                bits[~(filter_.value.holds(token) | (order.place(token) >= 0))] = 0  # lists of rare shingles don't need them
                 who = {c: part[c].to_numpy(dtype=np.int64)[row] for c in ("doc_id", "n", "comp")}
                 yield _split(token % np.uint64(buckets), {"token": token, "doc": who["doc_id"], "n": who["n"].astype(np.int32), "at": place.astype(np.int32), "comp": who["comp"] ^ who["doc_id"], "bits": bits}, "doc")
 
@@ -428,7 +427,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     reps = classes.join(roots, F.col("class_id") == F.col("node"), "left").select(F.col("class_id").alias("doc_id"), F.coalesce("root", "class_id").alias("comp"))
     reps, _ = small_side(written(reps, "representatives"))
     entries = written(prefixes(docs, told, width, percent).join(reps, "doc_id"), "prefixes")
-    pairs = written(candidates(entries, frequent.most, percent, buckets), "pairs")
+    pairs = written(candidates(entries, told, percent, buckets), "pairs")
     found = verified(pairs, docs, width, percent)
     up = reps.select(F.col("doc_id").alias("node"), "comp")
     between = found.join(up.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(up.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
