@@ -110,8 +110,8 @@ def p4_strip_artifacts(spark, sf_dir):
 
 
 @query(f"""{f},
-l AS (SELECT *, (year IS NULL OR year = 'n.d.') AND coalesce(lag(year IS NULL AND partkey NOT BETWEEN 1900 AND 1999) OVER (PARTITION BY doc_id ORDER BY line_no), false) AS joined,
- year IS NOT NULL OR doi IS NOT NULL OR partkey BETWEEN 1900 AND 1999 AS genuine FROM f),
+l AS (SELECT *, (year IS NULL OR year = 'n.d.') AND coalesce(lag(year IS NULL) OVER (PARTITION BY doc_id ORDER BY line_no), false) AS joined,
+ year IS NOT NULL OR doi IS NOT NULL AS genuine FROM f),
 i AS (SELECT *, sum(CASE WHEN joined THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS entry FROM l),
 e AS (SELECT doc_id, entry, bool_or(genuine) AS g FROM i GROUP BY ALL)
 SELECT doc_id, 'References' AS heading_text, false AS heading_is_typo, CAST(count(*) FILTER (WHERE g) AS int) AS n_entries FROM e GROUP BY doc_id""")
