@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.functions.text import dice_bigram, first_match, js_round, normalize_doi, normalize_title, text_of, word_count
+from foliospark.functions.text import dice_bigram, first_match, js_round, normalize_doi, normalize_title, staged, text_of, word_count
 
 percent = lambda part, whole: F.when(whole > 0, js_round(100.0 * part / whole)).otherwise(0.0).cast("int")
 
@@ -24,20 +24,25 @@ def duplicate_dois(refs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(refs: DataFrame) -> DataFrame:
-    """Pairs in a document with similar titles (25 characters or more, Dice .88) and authors (.5); equal titles or a shared long title word bring a pair together.
+    """Pairs in a document with similar titles (25 characters or more, Dice .88) and first authors (.5); a missing author is similar to none.
 
-    Titles of Dice .88 share most bigrams; blocking on words of five characters or more (the whole title where it has none) keeps the
-    self-join to pairs of one document that share one.
+    Exact: bigrams are numbered by occurrence, so Dice counts common ones. Of titles of x <= y bigrams with Dice .88, 11 y <= 14 x, and at least
+    ceil(11 n / 14) of either's n are common. So they share one of the first n - ceil(11 n / 14) + 1 in any one order; here
+    those that fewest titles of the document have come first.
     """
-    from foliospark.operators.registry import title_keys
-
-    r = refs.where(F.length(normalize_title("title")) >= 25).select("doc_id", "line_no", "title", F.coalesce(F.array_join("authors", " "), F.lit("")).alias("who"), F.lower("doi").alias("doi"))
-    keys = r.select("doc_id", "line_no", F.explode(title_keys("title")).alias("k"))
-    other = keys.select("doc_id", F.col("line_no").alias("line_b"), "k")
-    pairs = keys.join(other, ["doc_id", "k"]).where("line_no < line_b").select("doc_id", "line_no", "line_b").distinct()
-    b = r.select("doc_id", F.col("line_no").alias("line_b"), F.col("title").alias("title_b"), F.col("who").alias("who_b"), F.col("doi").alias("doi_b"))
+    r = refs.where(F.length("title") >= 25).select("doc_id", "line_no", "title", F.col("first_author").alias("who"))
+    t = F.col("t")
+    grams = F.when(F.length(t) < 3, F.filter(F.array(t), lambda x: x != "")).otherwise(F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2))))
+    split = staged(staged(r.select("doc_id", "line_no", "title"), t=normalize_title("title")), grams=grams).select("doc_id", "line_no", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    counted = split.groupBy("doc_id", "line_no", "n", "gram").agg(F.count(F.lit(1)).cast("int").alias("times"))
+    tokens = counted.select("doc_id", "line_no", "n", "gram", F.explode(F.sequence(F.lit(1), "times")).alias("k"))
+    tokens = tokens.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "gram", "k")))
+    tokens = tokens.withColumn("at", F.row_number().over(Window.partitionBy("doc_id", "line_no").orderBy("held", "gram", "k")))
+    keys = tokens.where("held > 1 and at <= n - (11 * n + 13) div 14 + 1").select("doc_id", "line_no", "n", "gram", "k")
+    other = keys.select("doc_id", F.col("line_no").alias("line_b"), F.col("n").alias("n_b"), "gram", "k")
+    pairs = keys.join(other, ["doc_id", "gram", "k"]).where("line_no < line_b and 11 * greatest(n, n_b) <= 14 * least(n, n_b)").select("doc_id", "line_no", "line_b").distinct()
+    b = r.select("doc_id", F.col("line_no").alias("line_b"), F.col("title").alias("title_b"), F.col("who").alias("who_b"))
     scored = pairs.join(r, ["doc_id", "line_no"]).join(b, ["doc_id", "line_b"])
-    scored = scored.where(~F.coalesce(F.col("doi") == F.col("doi_b"), F.lit(False)))
     return scored.withColumn("similarity", dice_bigram("title", "title_b")).where(F.col("similarity") >= 0.88).where(dice_bigram("who", "who_b") >= 0.5).select("doc_id", "line_no", "line_b", "similarity")
 
 
