@@ -6,7 +6,8 @@ features by the gradient of the conditional likelihood. Forward-backward gives e
 a text that switches languages gets words of several labels. A document's score for a language is the
 mean marginal of its words, its prediction the best one.
 
-Chains are runs of ``CHAIN`` words; a whole text is cut into chains, none of it is skipped.
+Words are runs of letters; runs of over 40 letters are cut into consecutive words of 40 and the rest. Chains are runs of ``CHAIN`` words;
+a whole text is cut into chains, none of it is skipped.
 
 Fitting uses a bounded sample of labelled rows: at most ``per_language`` rows of each language, those of
 smallest hash, of at most ``longest`` characters; that bound, times the number of languages (``most_languages``
@@ -34,7 +35,8 @@ UND = "und"
 CHAIN = 64
 BUCKETS = 1 << 16
 REMEMBERED = 300_000
-_WORD = re.compile(r"[^\W\d_]+")
+#: A run of letters; of a longer run, such as scripts without spaces have, every 40 characters and the rest are words of the chain.
+_WORD = re.compile(r"[^\W\d_]{1,40}")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -46,7 +48,7 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
     N-grams that hold a mark are the word's prefixes and suffixes; the whole word is the lexicon feature.
     """
-    joined = "".join(f"^{w[:40]}$" for w in words).encode("utf-8", "surrogatepass")
+    joined = "".join(f"^{w}$" for w in words).encode("utf-8", "surrogatepass")
     data = np.frombuffer(joined, dtype=np.uint8).astype(np.uint64)
     starts = np.flatnonzero(data == ord("^"))
     owner = np.repeat(np.arange(len(words)), np.diff(np.r_[starts, len(data)]))

@@ -221,6 +221,16 @@ def test_language_id(spark, empty):
     assert language_id.identify(empty).collect() == []
 
 
+def test_language_id_reads_long_words_to_their_end(spark):
+    run = "\u4e00" * 37 + "étÉ" + "b" * 80 + "c"
+    assert "".join(language_id.words_of(f"{run}, de")) == run.lower() + "de"
+    assert max(map(len, language_id.words_of(run))) == 40
+    rng, tongues = random.Random(4), ("alo", "eru")
+    data = [(k, "q" * 40 + "".join(rng.choice(tongues[k % 2]) for _ in range(60)), ("aa", "bb")[k % 2], None, 0, "") for k in range(80)]
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(spark.createDataFrame(data, DOCS)).collect()}
+    assert got == {k: ("aa", "bb")[k % 2] for k in range(80)}
+
+
 def test_forward_backward_against_all_paths():
     import itertools
 
