@@ -1,18 +1,21 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences, these are normalised (ASCII letters and digits in lower case, all else a
-space) and looked up among known licence sentences; the identifiers found, in order, are matched against
+A text is cut into sentences (at line ends too), these are normalised (ASCII letters and digits in lower case, all else a
+space) and looked up among known licence sentences. A known sentence may go over several consecutive pieces, since lines are wrapped
+and ``;`` and ``:`` cut; comment leaders are spaces. The identifiers found, in order of their first pieces, are matched against
 rules, each an ordered sequence of identifiers that may have others between them.
 
 Everything is a projection of native expressions, so a scan reads each text once and shuffles nothing.
 
 Defined results: a null or empty text has no sentence and no licence; a sentence that comes several times gives its
-identifier each time; a text that meets several rules lists all its licences in alphabetical order; an empty table gives an
-empty table; other columns are not read.
+identifier each time; where several known sentences begin with one piece, the shortest counts; n_sentences counts pieces; a text
+that meets several rules lists all its licences in alphabetical order (three-clause BSD texts hold the two clauses, too); an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +39,7 @@ SENTENCES = {
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd.grant",
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd.source",
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd.binary",
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd.endorse",
     "licensed under cc by 4 0": "ccby.name",
     "licensed under cc by sa 4 0": "ccbysa.name",
     "licensed under cc by nc 4 0": "ccbync.name",
@@ -49,6 +53,7 @@ RULES = [
     ("Apache-2.0", ("apache.grant",)),
     ("Apache-2.0", ("apache.comply", "apache.where")),
     ("BSD-2-Clause", ("bsd.grant", "bsd.source", "bsd.binary")),
+    ("BSD-3-Clause", ("bsd.grant", "bsd.source", "bsd.binary", "bsd.endorse")),
     ("CC-BY-4.0", ("ccby.name",)),
     ("CC-BY-NC-4.0", ("ccbync.name",)),
     ("CC-BY-SA-4.0", ("ccbysa.name",)),
@@ -74,11 +79,14 @@ def license_scan(docs: DataFrame, known: dict[str, str] | None = None, rules: li
     """doc_id, n_sentences, sentence_ids (in order, spaces between) and licenses (commas between) of every row."""
     known, rules = known or SENTENCES, rules or RULES
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    longest = max(map(len, known))
+    # Looked at ahead, so a sentence may begin within another; each space may be the end of a piece.
+    any_known = "|".join(re.escape(k).replace("\\ ", "[ \\n]") for k in sorted(known, key=len))
+    pieces = F.concat(F.lit("\n"), F.array_join("s", "\n"), F.lit("\n"))
+    hits = F.regexp_extract_all(pieces, F.lit(f"\\n(?=({any_known})\\n)"), F.lit(1))
     found = docs.select("doc_id", sentences().alias("s")).select(
         "doc_id",
         F.size("s").cast("long").alias("n_sentences"),
-        F.array_join(F.filter(F.transform("s", lambda s: F.when(F.length(s) <= longest, table[s])), lambda i: i.isNotNull()), " ").alias("sentence_ids"),
+        F.array_join(F.transform(hits, lambda s: table[F.translate(s, "\n", " ")]), " ").alias("sentence_ids"),
     )
     padded = F.concat(F.lit(" "), F.col("sentence_ids"), F.lit(" "))
     met = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(padded.rlike(_pattern(ids)), F.lit(name)) for name, ids in rules]))))

@@ -168,6 +168,45 @@ def test_license_scan(spark, empty):
     assert license_scan.license_scan(empty).collect() == []
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT"""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+BSD_3 = BSD + """
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the"""
+
+
+def test_license_scan_reads_wrapped_notices(spark):
+    import textwrap
+
+    notices = {MIT: "MIT", BSD: "BSD-2-Clause", BSD_3: "BSD-2-Clause,BSD-3-Clause", APACHE: "Apache-2.0", GPL: "GPL-3.0-or-later"}
+    texts = []
+    for notice, name in notices.items():
+        for width in (40, 70, 80, 10_000):
+            lines = [x for p in notice.split("\n") for x in textwrap.wrap(p, width) or [""]]
+            texts += [(leader + f"\n{leader}".join(["Copyright 2020", *lines, "End"]), name) for leader in ("", "# ", " * ", "// ")]
+    texts += [(MIT.replace("free of charge", "for a fee"), ""), (APACHE.replace("Licensed under the Apache", "Under the Apache").replace("2.0\n", "2.0 or so\n"), "")]
+    df = spark.createDataFrame([(k, t, None, None, 0, "") for k, (t, _) in enumerate(texts)], DOCS)
+    got = {r.doc_id: r.licenses for r in license_scan.license_scan(df).collect()}
+    assert got == {k: name for k, (_, name) in enumerate(texts)}
+
+
 def test_decontaminate(spark, empty):
     rng = random.Random(5)
     vocabulary = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randint(3, 7))) for _ in range(400)]
