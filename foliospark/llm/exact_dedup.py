@@ -18,10 +18,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import scratch_path, written
-
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+from foliospark.llm.common import dropped, scratch_path, small_side, written
+
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+#: Bits of the filter that tells the scan which digests repeat (8 MB). With more repeated digests than it can hold, more texts are compared.
+FILTER_BITS = 1 << 26
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -31,10 +35,17 @@ def normalised(text: str) -> Column:
     return F.when(F.length(whole) == F.octet_length(whole), F.lower(whole)).otherwise(F.translate(whole, UPPER, LOWER))
 
 
+def digest_of(text: str) -> Column:
+    return F.unhex(F.sha2(normalised(text).cast("binary"), 256))
+
+
 def keyed_state(spark: SparkSession, digests: DataFrame, path: str, files_per_batch: int | None = None) -> DataFrame:
-    """digest, n and keeper of every digest in the Parquet folder ``path``, by a streaming query over all its files."""
+    """digest, n and keeper of every digest in the Parquet folder ``path``, by a streaming query over all its files.
+
+    The state goes to the shared folder as changes, not as whole stores; once the last state of every key is written, it is deleted.
+    """
     at = scratch_path(spark, "dedup-state")
-    before = spark.conf.get(PROVIDER, None)
+    before = {k: spark.conf.get(k, None) for k in STATE}
     reader = spark.readStream.schema(digests.schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -44,7 +55,8 @@ def keyed_state(spark: SparkSession, digests: DataFrame, path: str, files_per_ba
         batch.write.mode("overwrite").parquet(f"{at}/updates/batch={number}")
 
     try:
-        spark.conf.set(PROVIDER, ROCKSDB)
+        for k, v in STATE.items():
+            spark.conf.set(k, v)
         query = (
             state.writeStream.outputMode("update")
             .option("checkpointLocation", f"{at}/checkpoint")
@@ -54,45 +66,69 @@ def keyed_state(spark: SparkSession, digests: DataFrame, path: str, files_per_ba
         )
         query.awaitTermination()
     finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
-    schema = state.schema
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    dropped(spark, f"{at}/checkpoint")
     if not digests.take(1):  # no file had a row, so no batch ran
-        return spark.createDataFrame([], schema)
-    updates = spark.read.schema(schema).parquet(f"{at}/updates")
+        return written(spark.createDataFrame([], state.schema), "dedup-keepers")
+    updates = spark.read.schema(state.schema).parquet(f"{at}/updates")
     # Each batch gives the new state of its keys; count and keeper only grow.
-    return updates.groupBy("digest").agg(F.max("n").alias("n"), F.max("keeper").alias("keeper")) if files_per_batch else updates.select("digest", "n", "keeper")
+    last = updates.groupBy("digest").agg(F.max("n").alias("n"), F.max("keeper").alias("keeper")) if files_per_batch else updates.select("digest", "n", "keeper")
+    last = written(last, "dedup-keepers")
+    dropped(spark, at)
+    return last
+
+
+def _slot(digest: str) -> Column:
+    return F.pmod(F.xxhash64(digest), F.lit(FILTER_BITS)) + 1
+
+
+def hit_filter(hits: DataFrame) -> DataFrame:
+    """part and bits: a bit for each slot that a repeated digest falls on. At most FILTER_BITS / 32768 rows of 4 KB, whatever the corpus."""
+    slot = _slot("digest")
+    return hits.groupBy(F.bitmap_bucket_number(slot).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+
+
+def texts_of_hits(rows: DataFrame, hits: DataFrame) -> DataFrame:
+    """row, digest and whole text of the rows whose digest repeats, and of a few others that fall on a bit of one.
+
+    The digest is made again in the scan and looked up in the filter, so other texts never leave their task.
+    """
+    made = rows.select(F.struct("id", "place").alias("row"), digest_of("text").alias("digest"), normalised("text").alias("whole"))
+    placed = made.withColumns({"part": F.bitmap_bucket_number(_slot("digest")), "at": F.bitmap_bit_position(_slot("digest"))})
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    told = F.broadcast(hit_filter(hits))
+    return placed.join(told, "part").where(F.getbit(byte, F.pmod("at", F.lit(8)).cast("int")) == 1).select("row", "digest", "whole")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", locator: list[Column] | None = None, files_per_batch: int | None = None) -> DataFrame:
     """id, keep_id, group_size, kept and text_sha256 of every row of ``docs``.
 
     ``locator``: columns that place a row in its input, such as file path and row number; they tell rows of
-    equal identifier apart and serve to find the full text again. The pass that makes digests is the only one
-    over all texts besides the scan for hits; only rows of repeated digests are shuffled with their text.
+    equal identifier apart and serve to find the full text again. One pass over the texts makes digests, a second one checks the bytes of
+    hits: the least and the greatest text of a repeated digest, with partial results in each task.
     """
     spark = docs.sparkSession
     place = F.struct(*[c.alias(f"p{k}") for k, c in enumerate(locator or [])], F.lit(0).alias("p")).alias("place")
     rows = docs.select(F.col(id_col).alias("id"), "text", place)
     path = scratch_path(spark, "dedup-digests")
-    rows.select(F.sha2(normalised("text").cast("binary"), 256).alias("digest"), F.struct("id", "place").alias("row")).write.parquet(path)
+    rows.select(digest_of("text").alias("digest"), F.struct("id", "place").alias("row")).write.parquet(path)
     digests = spark.read.parquet(path)
-    state = written(keyed_state(spark, digests, path, files_per_batch), "dedup-keepers")
+    state = keyed_state(spark, digests, path, files_per_batch)
 
-    hits = digests.join(state.where("n > 1").select("digest"), "digest", "left_semi").select("row", "digest")
-    texts = hits.join(rows.select(F.struct("id", "place").alias("row"), normalised("text").alias("whole")), "row").select("row", "digest", "whole")
+    texts = texts_of_hits(rows, state.where("n > 1").select("digest"))
     differing = written(texts.groupBy("digest").agg(F.min("whole").alias("least"), F.max("whole").alias("most")).where("least <> most").select("digest"), "dedup-collisions")
 
     out = digests.join(state, "digest").select("row", "digest", "n", "keeper")
     if differing.take(1):  # equal digests of different texts: the texts decide
-        apart = texts.join(F.broadcast(differing), "digest")
+        few, _ = small_side(differing)
+        apart = texts.join(few, "digest")
         by_text = apart.groupBy("digest", "whole").agg(F.count(F.lit(1)).alias("n"), F.max("row").alias("keeper"))
-        out = out.join(F.broadcast(differing), "digest", "left_anti").unionByName(
-            apart.join(by_text, ["digest", "whole"]).select("row", "digest", "n", "keeper")
-        )
+        out = out.join(few, "digest", "left_anti").unionByName(apart.join(by_text, ["digest", "whole"]).select("row", "digest", "n", "keeper"))
     return out.select(
         F.col("row.id").alias(id_col),
         F.col("keeper.id").alias("keep_id"),
         F.col("n").alias("group_size"),
         F.col("row").eqNullSafe(F.col("keeper")).alias("kept"),
-        F.col("digest").alias("text_sha256"),
+        F.lower(F.hex("digest")).alias("text_sha256"),
     )

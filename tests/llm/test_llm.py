@@ -295,3 +295,16 @@ def test_pipeline_keeps_columns_and_clean_documents(spark):
         assert out.columns == docs.columns
         if name == "language_id":
             assert out.count() == docs.count()
+
+
+@pytest.mark.parametrize("files", [None, 1])
+def test_exact_dedup_compares_bytes_where_digests_collide(docs, monkeypatch, files):
+    from pyspark.sql import functions as F
+
+    short = lambda t: F.unhex(F.lpad(F.hex(F.length(exact_dedup.normalised(t)) % 3), 2, "0"))
+    monkeypatch.setattr(exact_dedup, "digest_of", short)
+    groups = {}
+    for d, t, *_ in rows():
+        groups.setdefault("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""), []).append(d)
+    want = {d: (max(g), len(g), d == max(g)) for g in groups.values() for d in g}
+    assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(docs, files_per_batch=files).collect()} == want
