@@ -23,6 +23,8 @@ from foliospark.llm.common import dropped, scratch_path, small_side, written
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # Else each store reserves 4 MB for its list of files, however few keys it has.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 #: Bits of the filter that tells the scan which digests repeat (8 MB). With more repeated digests than it can hold, more texts are compared.
 FILTER_BITS = 1 << 26
