@@ -5,7 +5,7 @@ skip work, among lists and among answers:
 
 1. Equal sets are one class; only its document of smallest id, the representative, goes on.
 2. Band keys (minima of the shingle hashes under 16 permutations, two to a band) give each representative a few highly similar
-   sets, the a few of each band. These pairs are verified and make first components: what is known of a set
+   sets, the pivots of its keys. These pairs are verified and make first components: what is known of a set
    now serves the sets like it.
 3. Each representative enters its prefix (the shingles that come first in one order for all sets, as many as a set
    of such similarity must share one of) into index lists, with its size and position. Shingles that many prefixes hold
@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import slices, small_side, written
+from foliospark.llm.common import forget, slices, small_side, written
 from foliospark.llm.components import components
 from foliospark.llm.suffix_dedup import mixed, prefix_hashes, range_hash
 
@@ -43,8 +43,8 @@ BANDS, ROWS = 8, 2
 #: Shingles that this many sets hold count as frequent. Tasks are told those of largest count one by one, at most so many (2 MB),
 #: and the others by a filter of so many bits (16 MB) that holds as many as it can at eight bits each, those of larger counts first.
 FREQUENT, MOST_FREQUENT, FILTER_BITS = 2, 1 << 18, 1 << 27
-#: Rounds of first comparisons, pivots that the sets of one band key are compared with in a round, bands that a pair must share.
-STAR_ROUNDS, PIVOTS, SHARED = 2, 4, 3
+#: Rounds of first comparisons, bands in which a set must have the same pivot.
+STAR_ROUNDS, SHARED = 4, 3
 _MULTIPLIERS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -166,28 +166,25 @@ def frequent_shingles(docs: DataFrame, width: int, buckets: int) -> Frequent:
                 yield _split(flat % np.uint32(buckets), {"hashes": flat})
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [np.frombuffer(x, dtype=np.uint32) for batch in batches for x in batch["hashes"]]
-        if not parts:
-            return
-        value, count = np.unique(np.concatenate(parts), return_counts=True)
-        value = value.astype(np.uint64)
-        size, bucket = slice_bits(buckets), (value % np.uint64(buckets)).astype(np.int64)
-        rows = []
-        for level in range(1, 40):
-            many = count >= FREQUENT ** level
-            if not many.any():
-                break
-            for b in np.unique(bucket[many]).tolist():
+        size = slice_bits(buckets)
+        for bucket, parts in _by_bucket(batches, {"hashes": np.uint32}):
+            value, count = np.unique(parts["hashes"], return_counts=True)
+            value = value.astype(np.uint64)
+            rows = []
+            for level in range(1, 40):
+                mine = value[count >= FREQUENT**level]
+                if not len(mine):
+                    break
                 bits = np.zeros(size, dtype=np.uint8)
-                mine = value[many & (bucket == b)]
                 for place in _places(mine, size):
                     bits[place] = 1
-                rows.append((None, len(mine), level, b, zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)))
-        yield pd.DataFrame(rows, columns=["hash", "n", "level", "bucket", "bits"]).astype({"hash": "Int64", "level": "Int32", "bucket": "Int32"})
-        many = count >= 2 * FREQUENT
-        yield pd.DataFrame({"hash": value[many].view(np.int64), "n": count[many].astype(np.int64), "level": None, "bucket": None, "bits": None}).astype({"level": "Int32", "bucket": "Int32"})
+                rows.append((None, len(mine), level, bucket, zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)))
+            yield pd.DataFrame(rows, columns=["hash", "n", "level", "bucket", "bits"]).astype({"hash": "Int64", "level": "Int32", "bucket": "Int32"})
+            many = count >= 2 * FREQUENT
+            yield pd.DataFrame({"hash": value[many].view(np.int64), "n": count[many].astype(np.int64), "level": None, "bucket": None, "bits": None}).astype({"level": "Int32", "bucket": "Int32"})
 
-    made = docs.mapInPandas(packed, "bucket int, hashes binary").repartition("bucket").mapInPandas(counted, "hash long, n long, level int, bucket int, bits binary")
+    dealt = docs.mapInPandas(packed, "bucket int, hashes binary").repartition("bucket").sortWithinPartitions("bucket")
+    made = dealt.mapInPandas(counted, "hash long, n long, level int, bucket int, bits binary")
     found = written(made, "frequent")
     sizes = {r["level"]: r["n"] for r in found.where("level is not null").groupBy("level").agg(F.sum("n").alias("n")).collect()}
     level = min((k for k, n in sizes.items() if n <= FILTER_BITS // 8), default=None)
@@ -218,6 +215,24 @@ def _split(bucket: np.ndarray, columns: dict[str, np.ndarray], steps: str = "")
     return pd.DataFrame(out)
 
 
+def _by_bucket(batches: Iterator[pd.DataFrame], kinds: dict[str, type], steps: str = "") -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+    """What ``_split`` made, bucket by bucket, from rows ordered by bucket: a task holds one bucket at a time."""
+    parts: dict[str, list] = {name: [] for name in kinds}
+    now = None
+    joined = lambda: {name: np.concatenate(x) for name, x in parts.items()}
+    for batch in batches:
+        for k, bucket in enumerate(batch["bucket"].tolist()):
+            if bucket != now and now is not None:
+                yield now, joined()
+                parts = {name: [] for name in kinds}
+            now = bucket
+            for name, kind in kinds.items():
+                x = np.frombuffer(batch[name].iat[k], dtype=kind)
+                parts[name].append(np.cumsum(x) if name == steps else x)
+    if now is not None:
+        yield now, joined()
+
+
 class Order:
     """The one order of shingles: by hash, then those the filter holds, by hash, then the most frequent ones, rarest first."""
 
@@ -342,18 +357,13 @@ def candidates(entries: DataFrame, filter_, percent: int, buckets: int) -> DataF
                 yield _split(token % np.uint64(buckets), {"token": token, "doc": who["doc_id"], "n": who["n"].astype(np.int32), "at": place.astype(np.int32), "comp": who["comp"] ^ who["doc_id"], "bits": bits}, "doc")
 
     def paired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts: dict[str, list] = {"token": [], "doc": [], "n": [], "at": [], "comp": [], "bits": []}
         kinds = {"token": np.uint64, "doc": np.int64, "n": np.int32, "at": np.int32, "comp": np.int64, "bits": np.uint64}
-        for batch in batches:
-            for name, kind in kinds.items():
-                parts[name] += [np.cumsum(np.frombuffer(x, dtype=kind)) if name == "doc" else np.frombuffer(x, dtype=kind) for x in batch[name]]
-        if parts["token"]:
-            joined = {name: np.concatenate(x) for name, x in parts.items()}
-            for a, b in list_pairs(joined["token"], joined["doc"], joined["n"].astype(np.int64), joined["at"].astype(np.int64), joined["comp"] ^ joined["doc"], joined["bits"].reshape(-1, 4), percent):
+        for _, x in _by_bucket(batches, kinds, "doc"):
+            for a, b in list_pairs(x["token"], x["doc"], x["n"].astype(np.int64), x["at"].astype(np.int64), x["comp"] ^ x["doc"], x["bits"].reshape(-1, 4), percent):
                 both = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
                 yield pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
 
-    lists = entries.mapInPandas(listed, "bucket int, token binary, doc binary, n binary, at binary, comp binary, bits binary").repartition("bucket")
+    lists = entries.mapInPandas(listed, "bucket int, token binary, doc binary, n binary, at binary, comp binary, bits binary").repartition("bucket").sortWithinPartitions("bucket")
     return lists.mapInPandas(paired, "a long, b long").distinct()
 
 
@@ -385,25 +395,27 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
 def first_components(classes: DataFrame, docs: DataFrame, links: DataFrame, width: int, percent: int) -> DataFrame:
     """node and root of components by verified links among highly similar sets; what is missing is found later, nothing here has to be complete.
 
-    In each round the sets of a band key are compared with a few pivots of other components, those of smallest hash under new
-    seeds. Pivots are minima and a key of one component is left out, so a group of n similar sets costs n comparisons a pivot, never n * n.
+    In each round the sets of a band key are compared with its pivot, the set of smallest hash under a new seed, where that is in
+    another component. A key of one component is left out, so a group of n similar sets costs n comparisons a round, never n * n.
     """
     bands = classes.select("class_id", "bands")
     known = written(links, "links")
     roots = written(components(known), "roots")
     for r in range(STAR_ROUNDS):
         placed = bands.join(roots, F.col("class_id") == F.col("node"), "left").select("class_id", F.coalesce("root", "class_id").alias("comp"), F.posexplode("bands").alias("band", "key"))
-        one = F.struct("class_id", "comp")
-        chosen = F.array(*[F.min_by(one, F.xxhash64(F.lit(r * PIVOTS + k), "class_id")) for k in range(PIVOTS)])
-        pivots = placed.groupBy("band", "key").agg(F.array_distinct(chosen).alias("pivots"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").drop("low", "high")
-        near = placed.join(pivots, ["band", "key"]).select("class_id", "comp", F.explode("pivots").alias("p")).where("comp <> p.comp")
-        near = near.select(F.least("class_id", "p.class_id").alias("a"), F.greatest("class_id", "p.class_id").alias("b")).distinct()
-        near = near.join(bands.select(F.col("class_id").alias("a"), F.col("bands").alias("x")), "a").join(bands.select(F.col("class_id").alias("b"), F.col("bands").alias("y")), "b")
-        stars = written(near.where(F.size(F.array_intersect("x", "y")) >= SHARED).select("a", "b"), "stars")
+        pivot = F.min_by(F.struct("class_id", "comp"), F.xxhash64(F.lit(r), "class_id")).alias("p")
+        pivots = placed.groupBy("band", "key").agg(pivot, F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").drop("low", "high")
+        near = placed.join(pivots, ["band", "key"]).where("comp <> p.comp")
+        # One seed for all bands, so sets that share several keys mostly get one pivot there; partial counts leave one row for each such pair.
+        near = near.groupBy(F.least("class_id", "p.class_id").alias("a"), F.greatest("class_id", "p.class_id").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+        near = near.where(F.col("shared") >= SHARED)
+        stars = written(near.select("a", "b"), "stars")
         found = written(verified(stars, docs, width, percent), "links")
         if not found.take(1):
             break
-        known = known.unionByName(found)
+        both = written(known.unionByName(found), "links")
+        forget(known, found, stars)
+        known = both
         roots = written(components(known), "roots")
     return roots
 
@@ -452,5 +464,5 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
 
 def first_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` of which none is similar to one of smaller doc_id in its component; rows without shingles stay."""
-    found = written(jaccard_components(docs, width, percent).where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "near-copies")
-    return docs.join(found, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    found = written(jaccard_components(docs, width, percent).where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct(), "near-copies")
+    return docs.alias("d").join(found.alias("gone"), F.col("d.doc_id") == F.col("gone.doc_id"), "left_anti")

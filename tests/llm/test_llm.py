@@ -308,3 +308,45 @@ def test_exact_dedup_compares_bytes_where_digests_collide(docs, monkeypatch, fil
         groups.setdefault("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""), []).append(d)
     want = {d: (max(g), len(g), d == max(g)) for g in groups.values() for d in g}
     assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(docs, files_per_batch=files).collect()} == want
+
+
+def plain_jaccard(texts):
+    """Set size and smallest reachable id of each text, by comparing all pairs."""
+    import re
+
+    sets = {}
+    for d, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets[d] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    root = {d: d for d in sets}
+
+    def top(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[:k]:
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    return {d: (len(sets[d]), top(d)) for d in ids}
+
+
+def test_jaccard_large_group_of_near_copies(spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    base = [rng.choice(vocabulary) for _ in range(120)]
+    texts = {}
+    for k in range(500):
+        words = base.copy() if k < 350 else [rng.choice(vocabulary) for _ in range(rng.randint(3, 200))]
+        for _ in range(rng.randint(0, 6)):
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        texts[k] = " ".join(words) + (" " + " ".join(base[: rng.randint(20, 119)]) if k % 5 == 0 else "")
+    for k in range(500, 540):
+        texts[k] = texts[k - 500]
+    df = spark.createDataFrame([(d, t) for d, t in texts.items()], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df).collect()}
+    assert got == plain_jaccard(texts)
