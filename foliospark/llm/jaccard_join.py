@@ -10,10 +10,12 @@ skip work, among lists and among answers:
 3. Each representative enters its prefix (the shingles that come first in one order for all sets, as many as a set
    of such similarity must share one of) into index lists, with its size and position. Shingles that many prefixes hold
    come last in the order. A list whose sets are all in one component is skipped whole. In the others, entries are ordered
-   by size, so the blocks of sets too large are skipped by a binary search; pairs of one component, pairs whose
+   by size, so the blocks of sets too small or too large are skipped by a binary search, and only entries outside the list's largest component
+   look for partners; pairs of one component, pairs whose
    positions leave too few shingles, and in lists of frequent shingles pairs with too many different parity bits are skipped; what
    is left is verified by intersecting whole sets.
-4. Verified links join the components.
+4. Verified links join the components. The first pass over the lists names for each entry only its nearest set of another component, by
+   these bounds; most links are found so, and the second pass, which names all that is left, finds most lists to be of one component.
 
 A link inside a component is never needed to find components, so none is lost that matters: ``component_id`` is
 that of all links.
@@ -43,8 +45,10 @@ BANDS, ROWS = 8, 2
 #: Shingles that this many sets hold count as frequent. Tasks are told those of largest count one by one, at most so many (2 MB),
 #: and the others by a filter of so many bits (16 MB) that holds as many as it can at eight bits each, those of larger counts first.
 FREQUENT, MOST_FREQUENT, FILTER_BITS = 2, 1 << 18, 1 << 27
-#: Rounds of first comparisons, bands in which a set must have the same pivot.
-STAR_ROUNDS, SHARED = 4, 3
+#: Rounds of first comparisons; bands in which a set must have the same pivot.
+STAR_ROUNDS, SHARED = 1, 3
+#: Passes over the index lists in which each entry names its nearest one only, before that in which all are named.
+NEAREST_ROUNDS = 1
 _MULTIPLIERS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -278,8 +282,11 @@ def prefixes(docs: DataFrame, frequent, width: int, percent: int) -> DataFrame:
     return docs.mapInPandas(cut, "doc_id long, n long, prefix binary, bits binary")
 
 
-def list_pairs(token: np.ndarray, doc: np.ndarray, n: np.ndarray, at: np.ndarray, comp: np.ndarray, bits: np.ndarray, percent: int, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs from index lists, by the skips that the module names. bits: [entries, 4], zeros where an entry has none."""
+def list_pairs(token: np.ndarray, doc: np.ndarray, n: np.ndarray, at: np.ndarray, comp: np.ndarray, bits: np.ndarray, percent: int, nearest: bool = False, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs from index lists, by the skips that the module names. bits: [entries, 4], zeros where an entry has none.
+
+    ``nearest``: for each entry of a list only the pair that is furthest below its bound.
+    """
     order = np.lexsort((n, token))
     token, doc, n, at, comp, bits = token[order], doc[order], n[order], at[order], comp[order], bits[order]
     opens = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
@@ -290,32 +297,47 @@ def list_pairs(token: np.ndarray, doc: np.ndarray, n: np.ndarray, at: np.ndarray
     if not len(token):
         return
     number = np.cumsum(np.r_[False, token[1:] != token[:-1]]).astype(np.int64)
+    # Of the component that most entries of a list are in, none looks for a partner: those of other components find it.
+    by_comp = np.lexsort((comp, number))
+    runs = np.flatnonzero(np.r_[True, (number[by_comp][1:] != number[by_comp][:-1]) | (comp[by_comp][1:] != comp[by_comp][:-1])])
+    held = np.diff(np.r_[runs, len(by_comp)])
+    largest = np.lexsort((held, number[by_comp][runs]))
+    largest = largest[np.r_[np.diff(number[by_comp][runs][largest]) != 0, True]]
+    seeks = comp != comp[by_comp][runs[largest]][number]
     reach = int(n.max()) + 2
     key = number * reach + n
-    # Sets of more than n * 100 / percent shingles can't link with one of n: the end of the entries to look at.
-    end = np.searchsorted(key, number * reach + np.minimum(n * 100 // percent, reach - 1), side="right")
-    count = end - np.arange(len(token)) - 1
+    who = np.flatnonzero(seeks)
+    # Sets of less than n * percent / 100 or more than n * 100 / percent shingles can't link with one of n: those entries are skipped.
+    start = np.searchsorted(key, (number * reach)[who] + -(-n[who] * percent // 100), side="left")
+    count = np.searchsorted(key, (number * reach)[who] + np.minimum(n[who] * 100 // percent, reach - 1), side="right") - start
     total = np.cumsum(count)
     begin = 0
-    while begin < len(token):
+    while begin < len(who):
         stop = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + most, side="right")))
         c = count[begin:stop]
-        x = np.repeat(np.arange(begin, stop), c)
-        y = np.arange(len(x)) - np.repeat(np.cumsum(c) - c, c) + x + 1
+        x = np.repeat(who[begin:stop], c)
+        y = np.arange(len(x)) - np.repeat(np.cumsum(c) - c - start[begin:stop], c)
+        once = ~seeks[y] | (x < y)
+        x, y = x[once], y[once]
         need = -(-(n[x] + n[y]) * percent // (100 + percent))
         # Such sets share one of the first n - need + 1 of both, so other common places needn't name the pair again.
         good = (comp[x] != comp[y]) & (at[x] <= n[x] - need) & (at[y] <= n[y] - need) & (1 + np.minimum(n[x] - at[x] - 1, n[y] - at[y] - 1) + np.minimum(at[x], at[y]) >= need)
         x, y, need = x[good], y[good], need[good]
         # Sets that link differ in at most so many elements; parity bits that differ are no more than these.
         apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1)
-        close = apart <= n[x] + n[y] - 2 * need
-        x, y = x[close], y[close]
+        room = n[x] + n[y] - 2 * need - apart
+        close = room >= 0
+        x, y, room = x[close], y[close], room[close]
+        if nearest and len(x):
+            first = np.lexsort((-room, x))
+            first = first[np.r_[True, np.diff(x[first]) != 0]]
+            x, y = x[first], y[first]
         yield np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y])
         begin = stop
 
 
-def candidates(entries: DataFrame, filter_, percent: int, buckets: int) -> DataFrame:
-    """Distinct pairs (a, b) of representatives in different components that the index lists leave.
+def candidates(entries: DataFrame, filter_, percent: int, buckets: int, nearest: bool = False) -> DataFrame:
+    """Distinct pairs (a, b) of representatives in different components that the index lists leave; ``nearest``: one an entry at most.
 
     entries: doc_id, n, prefix, bits, comp. filter_: the broadcast of what is known of frequent shingles. Frequent shingles of which all entries are in one component are left out before the
     lists are made, by a small count of their own, so large groups of similar sets make no long lists.
@@ -358,10 +380,16 @@ def candidates(entries: DataFrame, filter_, percent: int, buckets: int) -> DataF
 
     def paired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kinds = {"token": np.uint64, "doc": np.int64, "n": np.int32, "at": np.int32, "comp": np.int64, "bits": np.uint64}
+        told = np.zeros((0, 2), np.int64)
         for _, x in _by_bucket(batches, kinds, "doc"):
-            for a, b in list_pairs(x["token"], x["doc"], x["n"].astype(np.int64), x["at"].astype(np.int64), x["comp"] ^ x["doc"], x["bits"].reshape(-1, 4), percent):
-                both = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-                yield pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
+            for a, b in list_pairs(x["token"], x["doc"], x["n"].astype(np.int64), x["at"].astype(np.int64), x["comp"] ^ x["doc"], x["bits"].reshape(-1, 4), percent, nearest):
+                if not len(a):
+                    continue
+                # What this task has named lately isn't named again; the pairs of all tasks are made distinct below.
+                every, first = np.unique(np.concatenate([told, np.stack([a, b], axis=1)]), axis=0, return_index=True)
+                fresh = every[first >= len(told)]
+                told = every if len(every) <= 2_000_000 else fresh
+                yield pd.DataFrame({"a": fresh[:, 0], "b": fresh[:, 1]})
 
     lists = entries.mapInPandas(listed, "bucket int, token binary, doc binary, n binary, at binary, comp binary, bits binary").repartition("bucket").sortWithinPartitions("bucket")
     return lists.mapInPandas(paired, "a long, b long").distinct()
@@ -436,18 +464,22 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
 
     frequent = frequent_shingles(docs, width, buckets)
     told = spark.sparkContext.broadcast(frequent)
-    reps = classes.join(roots, F.col("class_id") == F.col("node"), "left").select(F.col("class_id").alias("doc_id"), F.coalesce("root", "class_id").alias("comp"))
-    reps, _ = small_side(written(reps, "representatives"))
-    entries = written(prefixes(docs, told, width, percent).join(reps, "doc_id"), "prefixes")
-    pairs = written(candidates(entries, told, percent, buckets), "pairs")
-    found = verified(pairs, docs, width, percent)
-    up = reps.select(F.col("doc_id").alias("node"), "comp")
-    between = found.join(up.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(up.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
-    tops = components(between.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    comps = classes.join(roots, F.col("class_id") == F.col("node"), "left").select(F.col("class_id").alias("doc_id"), F.coalesce("root", "class_id").alias("comp"))
+    comps = written(comps, "representatives")
+    cut = written(prefixes(docs, told, width, percent).join(small_side(comps)[0].select("doc_id"), "doc_id"), "prefixes")
+    for nearest in [True] * NEAREST_ROUNDS + [False]:
+        reps, _ = small_side(comps)
+        pairs = written(candidates(cut.join(reps, "doc_id"), told, percent, buckets, nearest), "pairs")
+        found = verified(pairs, docs, width, percent)
+        up = reps.select(F.col("doc_id").alias("node"), "comp")
+        between = found.join(up.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(up.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
+        tops = components(between.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        joined = written(comps.join(tops, F.col("comp") == F.col("node"), "left").select("doc_id", F.coalesce("root", "comp").alias("comp")), "representatives")
+        forget(pairs, comps)
+        comps = joined
+    forget(cut)
     whole = written(
-        classes.join(reps.select(F.col("doc_id").alias("class_id"), "comp"), "class_id")
-        .join(tops, F.col("comp") == F.col("node"), "left")
-        .select("s0", "s1", "class_id", "class_size", F.coalesce("root", "comp").alias("component_id")),
+        classes.join(comps.select(F.col("doc_id").alias("class_id"), F.col("comp").alias("component_id")), "class_id").select("s0", "s1", "class_id", "class_size", "component_id"),
         "class-components",
     )
     out = signed.select("doc_id", "n", "s0", "s1").join(whole, ["s0", "s1"], "left")
