@@ -6,14 +6,14 @@ are looked at, in these steps:
 1. Anchors. The k-gram of smallest hash in a window of ``length`` bytes is its anchor; equal windows have equal
    anchors at the same place. Neighbouring windows of one anchor form a run. A run is reduced to the anchor's
    hash and a digest of its bytes: some two rows for each 300 bytes of text.
-2. Runs of equal digests are one class, counted with partial sums (a hot group of copies stays one row for each
+2. Runs of equal digests (128 bits of BLAKE2b over all bytes) are one class, counted with partial sums (a hot group of copies stays one row for each
    task). All windows of a class of several runs repeat.
 3. Only anchors with several classes need more. One run of each such class is fetched and the suffixes that start at its
    windows are sorted, within anchor and distance to the anchor: a mergesort whose comparisons find the common
    extension of two suffixes by binary search over prefix polynomial hashes. Neighbours that share ``length`` bytes repeat.
    As all windows of a run hold its anchor, the first and last that repeat bound what is removed; these two are
    verified byte by byte. Anchors with more than ``largest_group`` classes aren't sorted in one task: there windows are counted by
-   128-bit digests in a shuffle, which spreads any group.
+   such 128-bit digests in a shuffle, which spreads any group.
 4. The removed ranges of a document come together and are cut out of its text.
 
 Defined results: a null text is empty; a text shorter than ``length`` keeps all bytes; repeated rows count as occurrences of their
@@ -83,14 +83,14 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs_of(data: np.ndarray, owner_end: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
-    """(first window, last window, anchor, anchor hash, digest) of the runs in joined texts.
+    """(first window, last window, anchor, anchor hash) of the runs in joined texts.
 
     owner_end[i] is the end of the text that byte i belongs to; windows that cross it don't count.
     """
     n_windows = len(data) - length + 1
     none = np.zeros(0, dtype=np.int64)
     if n_windows <= 0:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64)
     prefix = prefix_hashes(data)
     start = np.arange(len(data) - k + 1)
     grams = range_hash(prefix, start, start + k)
@@ -99,12 +99,16 @@ def runs_of(data: np.ndarray, owner_end: np.ndarray, length: int, k: int) -> tup
     anchor = (sliding_least(ranked, length - k + 1) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     window = np.flatnonzero(np.arange(n_windows) + length <= owner_end[:n_windows])
     if not len(window):
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64)
     at = anchor[window]
     opens = np.r_[True, (np.diff(at) != 0) | (np.diff(window) != 1)]
     first, last, at = window[opens], window[np.r_[opens[1:], True]], at[opens]
-    digest = range_hash(prefix_hashes(data, 1), first, last + length, 1)
-    return first, last, at, grams[at], digest
+    return first, last, at, grams[at]
+
+
+def digests_of(raw: bytes, begin: np.ndarray, end: np.ndarray) -> list[bytes]:
+    """Collision-resistant digests of byte ranges; they stand for the bytes wherever equality alone is asked."""
+    return [hashlib.blake2b(raw[b:e], digest_size=16).digest() for b, e in zip(begin.tolist(), end.tolist(), strict=True)]
 
 
 class SuffixSort:
@@ -231,7 +235,7 @@ def repeated_bounds(contents: list[bytes], leads: np.ndarray, groups: np.ndarray
     return first, last
 
 
-RUN = "doc_id long, th long, h long, c long, first long, lead int, span int"
+RUN = "doc_id long, th long, h long, c binary, first long, lead int, span int"
 
 
 def _pieces(rows: Iterator[tuple], length: int) -> Iterator[list[tuple]]:
@@ -259,7 +263,8 @@ def text_runs(docs: DataFrame, length: int, k: int) -> DataFrame:
                 sizes = np.array([len(p[3]) for p in pieces])
                 ends = np.cumsum(sizes)
                 owner = np.repeat(np.arange(len(pieces)), sizes)
-                first, last, anchor, h, c = runs_of(np.frombuffer(b"".join(p[3] for p in pieces), dtype=np.uint8), ends[owner], length, k)
+                raw = b"".join(p[3] for p in pieces)
+                first, last, anchor, h = runs_of(np.frombuffer(raw, dtype=np.uint8), ends[owner], length, k)
                 who = owner[first]
                 shift = np.array([p[2] for p in pieces], dtype=np.int64) - (ends - sizes)
                 yield pd.DataFrame(
@@ -267,7 +272,7 @@ def text_runs(docs: DataFrame, length: int, k: int) -> DataFrame:
                         "doc_id": pd.array([pieces[i][0] for i in who.tolist()], dtype="Int64"),
                         "th": np.array([p[1] for p in pieces], dtype=np.int64)[who],
                         "h": h.view(np.int64),
-                        "c": c.view(np.int64),
+                        "c": digests_of(raw, first, last + length),
                         "first": first + shift[who],
                         "lead": (anchor - first).astype(np.int32),
                         "span": (last - first).astype(np.int32),
@@ -308,7 +313,7 @@ def _contents(docs: DataFrame, reps: DataFrame, length: int) -> DataFrame:
 
     # Rows of equal doc_id and text would give the same runs again; one of them is enough.
     joined = _packed(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
-    return joined.select("packed", "runs").mapInPandas(cut, "h long, c long, lead int, n long, k long, raw binary").dropDuplicates(["h", "c", "lead"])
+    return joined.select("packed", "runs").mapInPandas(cut, "h long, c binary, lead int, n long, k long, raw binary").dropDuplicates(["h", "c", "lead"])
 
 
 def _sorted_bounds(contents: DataFrame, length: int) -> DataFrame:
@@ -334,7 +339,7 @@ def _sorted_bounds(contents: DataFrame, length: int) -> DataFrame:
             yield solve(held)
 
     ordered = contents.select("h", "c", "lead", "raw").repartition("h").sortWithinPartitions("h")
-    return ordered.mapInPandas(bounds, "h long, c long, lead int, lo long, hi long")
+    return ordered.mapInPandas(bounds, "h long, c binary, lead int, lo long, hi long")
 
 
 def _counted_bounds(contents: DataFrame, length: int) -> DataFrame:
@@ -343,14 +348,12 @@ def _counted_bounds(contents: DataFrame, length: int) -> DataFrame:
     def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for h, c, lead, raw in zip(batch["h"], batch["c"], batch["lead"], batch["raw"], strict=True):
-                data = np.frombuffer(raw, dtype=np.uint8)
-                start = np.arange(len(data) - length + 1)
-                w = [range_hash(prefix_hashes(data, i), start, start + length, i).view(np.int64) for i in (0, 1)]
-                yield pd.DataFrame({"h": h, "c": c, "lead": lead, "at": start, "w0": w[0], "w1": w[1]})
-
-    windows = written(contents.select("h", "c", "lead", "raw").mapInPandas(digests, "h long, c long, lead int, at long, w0 long, w1 long"), "windows")
-    twice = windows.groupBy("w0", "w1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w0", "w1")
-    return windows.join(twice, ["w0", "w1"], "left_semi").groupBy("h", "c", "lead").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
+                start = np.arange(len(raw) - length + 1)
+                yield pd.DataFrame({"h": h, "c": [c] * len(start), "lead": lead, "at": start, "w": digests_of(raw, start, start + length)})
+
+    windows = written(contents.select("h", "c", "lead", "raw").mapInPandas(digests, "h long, c binary, lead int, at long, w binary"), "windows")
+    twice = windows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w")
+    return windows.join(twice, "w", "left_semi").groupBy("h", "c", "lead").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
 
 
 def repeated_ranges(docs: DataFrame, length: int = 400, k: int = 100, largest_group: int = 1 << 16) -> DataFrame:
