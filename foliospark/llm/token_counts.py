@@ -7,7 +7,8 @@ tokens; a symbol outside the vocabulary counts one token for each UTF-8 byte.
 
 Why splitting into pre-tokens is exact: no piece of such a vocabulary has a word mark after another
 character, so no merge crosses the start of a word. This is checked when the model is loaded; where
-it fails, a whole text is one pre-token.
+it fails, a whole text is one pre-token. In the same way words are cut between two characters that no piece has side by side. What
+is still longer than ``LONG`` symbols, such as a long run of letters, is merged pair by pair from a heap, in the same order.
 
 Defined results: a null text counts as empty, an empty text has 0 tokens, rows that repeat give
 repeated rows, an empty table gives an empty table, other columns are not read.
@@ -15,6 +16,7 @@ repeated rows, an empty table gives an empty table, other columns are not read.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,6 +31,8 @@ MARK = "▁"  # what sentencepiece writes for a space
 NONE = np.iinfo(np.int32).max
 #: Distinct words that a worker remembers, and the longest word that it remembers.
 REMEMBERED, LONGEST_REMEMBERED = 500_000, 64
+#: Symbols of a run above which its merges come from a heap.
+LONG = 2_000
 
 
 class PieceMerger:
@@ -74,12 +78,44 @@ class PieceMerger:
         order = np.argsort(keys)
         self.keys, self.ranks = np.array(keys, dtype=np.int64)[order], np.array(ranks, dtype=np.int32)[order]
         self.by_word = not any(MARK in p.lstrip(MARK) for p in pieces)
+        self.side_by_side = np.unique([symbol[a] * self.size + symbol[b] for p in pieces for a, b in zip(p, p[1:], strict=False)])
+        self.rank_of_pair: dict[int, int] = {}
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left.astype(np.int64) * self.size + right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], NONE).astype(np.int32)
 
+    def _touch(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether some piece has these two characters side by side; between others nothing merges."""
+        key = left.astype(np.int64) * self.size + right
+        at = np.minimum(np.searchsorted(self.side_by_side, key), len(self.side_by_side) - 1)
+        return self.side_by_side[at] == key
+
+    def _count_long(self, symbols: np.ndarray) -> int:
+        """The pieces of one long run: the best-ranked pair first, of equal ones the leftmost."""
+        if not self.rank_of_pair:
+            self.rank_of_pair = dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
+        n, held, rank = len(symbols), symbols.tolist(), self.rank_of_pair.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, held[i], held[i + 1]) for i, r in enumerate(self._rank(symbols[:-1], symbols[1:]).tolist()) if r != NONE]
+        heapq.heapify(heap)
+        while heap:
+            r, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if held[i] != a or j >= n or held[j] != b:
+                continue  # one of the two has merged with another
+            held[i], held[j] = int(self.made[r]), -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (r := rank(held[i] * self.size + held[k])) is not None:
+                    heapq.heappush(heap, (r, i, held[i], held[k]))
+            h = before[i]
+            if h >= 0 and (r := rank(held[h] * self.size + held[i])) is not None:
+                heapq.heappush(heap, (r, h, held[h], held[i]))
+        return int(self.cost[[s for s in held if s >= 0]].sum())
+
     def count(self, strings: list[str]) -> np.ndarray:
         """The number of pieces of each string, which holds marks in place of spaces."""
         totals = np.zeros(len(strings), dtype=np.int64)
@@ -88,7 +124,15 @@ class PieceMerger:
             return totals
         points = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         symbols = self.of_char[points]
-        owner = np.repeat(np.arange(len(strings)), lengths)
+        word = np.repeat(np.arange(len(strings)), lengths)
+        opens = np.r_[True, (word[1:] != word[:-1]) | ~self._touch(symbols[:-1], symbols[1:])]
+        owner = np.cumsum(opens) - 1
+        word = word[opens]
+        sizes = np.diff(np.r_[np.flatnonzero(opens), len(symbols)])
+        for run in np.flatnonzero(sizes > LONG).tolist():
+            totals[word[run]] += self._count_long(symbols[owner == run])
+        short = (sizes <= LONG)[owner]
+        symbols, owner = symbols[short], owner[short]
         ranks = np.full(len(symbols), NONE, dtype=np.int32)
         inside = np.flatnonzero(owner[1:] == owner[:-1])
         ranks[inside] = self._rank(symbols[inside], symbols[inside + 1])
@@ -98,8 +142,8 @@ class PieceMerger:
             sizes = np.diff(np.r_[starts, len(symbols)])
             best_here = np.repeat(best, sizes)
             done = best_here == NONE
-            if done.any():  # pre-tokens without a mergeable pair leave the batch
-                np.add.at(totals, owner[done], self.cost[symbols[done]])
+            if done.any():  # runs without a mergeable pair leave the batch
+                np.add.at(totals, word[owner[done]], self.cost[symbols[done]])
                 stay = ~done
                 symbols, owner, ranks, best_here = symbols[stay], owner[stay], ranks[stay], best_here[stay]
                 if not len(symbols):
