@@ -10,11 +10,13 @@ about ``SEGMENT_IDS`` ids each, with the binary code, the doc_ids and the length
 it, so a lost executor's shard is written again.
 
 Defined results: a null text counts as empty and gives the end id only; documents of equal doc_id are
-ordered by text; a null doc_id comes first; an empty table gives no segments; other columns are not read.
+ordered by text; a null doc_id comes first; an empty table gives no segments; other columns are not read. The running sums go over
+one small row for each shard, and for each segment of a shard, never over documents.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -106,16 +108,29 @@ _LETTERS = "a-z\xdf-\xf6\xf8-\xff"
 _PRE_TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^ \t\n\r0-9{_LETTERS}]+")
 
 
+# The normaliser and splitter that ``_PRE_TOKEN`` stands for on plain characters.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 class WordEncoder:
     """Encodes texts pre-token by pre-token and remembers frequent ones.
 
-    For lower-casing byte-level BPE tokenizers. Texts of plain characters without special strings are cut
-    here and the library's model encodes the new pre-tokens; other texts go to the tokenizer whole.
+    For the normaliser and splitter above, texts of plain characters without special strings are cut
+    here and the library's model encodes the new pre-tokens; other texts, and all texts of other tokenizers, go to the library whole.
     """
 
     def __init__(self, path: str):
         self.tokenizer, self.known = tokenizer_of(path), {}
         self.model = self.tokenizer.model
+        spec = json.loads(self.tokenizer.to_str())
+        self.by_word = spec["model"]["type"] == "BPE" and spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == PRE_TOKENIZER
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # Byte-level alphabets write printable Latin-1 bytes as themselves and the others from U+0100 on.
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -140,7 +155,7 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [
-            self._plain(t) if set(t) <= PLAIN and not any(s in t for s in self.special) else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4")
+            self._plain(t) if self.by_word and set(t) <= PLAIN and not any(s in t for s in self.special) else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4")
             for t in texts
         ]
 
