@@ -6,16 +6,17 @@ the weights or a limit on how often a source repeats. The weights are then reali
 source gets whole epochs of its documents and, for what remains, a prefix of a block permutation.
 
 Block permutation: a document's hash puts it into one of its source's blocks of about ``block_rows``
-documents; blocks come in hash order, documents in hash order within their block. Token sums of blocks decide which
+documents, at most ``most_blocks`` of them; blocks come in hash order, documents in hash order within their block. Token sums of blocks decide which
 blocks are in; only the one block of a source in which the budget ends is looked at document by
-document. So a source with a third of all rows is spread over its many blocks.
+document. So a source with a third of all rows is spread over its many blocks, and what one task orders is ``most_blocks`` sums or one
+block's documents, some numbers each (a source of 10**11 documents has 1.5 million in a block).
 
 What reaches the driver is one row for each source; more than ``most_sources`` raise an error.
 
 Defined results: null text has 0 tokens, null source is a source of its own, sources without tokens get weight 0 and
 leave the mix, repeated rows are mixed as often as they come, ties in hash order fall together (a
 document is in when its block's sum up to and including its ties is within the budget), an empty table gives an empty
-table; other columns stay as they are.
+table; other columns stay as they are. An added column of a name that the input has is left out; the input's column stays.
 """
 
 from __future__ import annotations
@@ -74,9 +75,11 @@ def mix(
     budget: int | None = None,
     seed: int = 17,
     block_rows: int = 1024,
+    most_blocks: int = 1 << 16,
     most_sources: int = 100_000,
 ) -> DataFrame:
-    """The rows of ``docs`` in the mix, once for each epoch they are in, with mix_source_tokens, mix_weight, mix_epoch, mix_block and mix_rank.
+    """The rows of ``docs`` in the mix, once for each epoch they are in, with mix_source_tokens, mix_weight, mix_tokens, mix_epoch, mix_block,
+    mix_block_mark and mix_mark.
 
     Reading order within a source is (mix_epoch, mix_block_mark, mix_mark). The budget is the corpus' tokens where none is given.
     """
@@ -84,7 +87,8 @@ def mix(
         raise ValueError("give a target entropy or a repetition limit")
     spark = docs.sparkSession
     mark = F.xxhash64(F.lit(seed), *[F.col(c) for c in ("doc_id", "text") if c in docs.columns])
-    rows = docs.withColumns({"mix_tokens": word_tokens(), "mix_mark": mark})
+    # The input's columns travel in one, so no name of theirs meets one of these.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "source", word_tokens().alias("mix_tokens"), mark.alias("mix_mark"))
     slim = written(rows.select("source", "mix_tokens", "mix_mark"), "mix-tokens")  # words are counted once for all sums
     totals = slim.groupBy("source").agg(F.sum("mix_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_docs")).limit(most_sources + 1).collect()
     if len(totals) > most_sources:
@@ -94,7 +98,7 @@ def mix(
     exponent = bisected(tokens, budget, target_entropy, repetition_limit)
     weights = weights_at(tokens, exponent)
     plan = [
-        (r["source"], r["tokens"], w, *divmod(int(w * budget), r["tokens"]), max(1, -(-r["n_docs"] // block_rows)))
+        (r["source"], r["tokens"], w, *divmod(int(w * budget), r["tokens"]), min(most_blocks, max(1, -(-r["n_docs"] // block_rows))))
         for r, w in zip(totals, weights, strict=True)
         if r["tokens"]
     ]
@@ -140,4 +144,5 @@ def mix(
     chosen = in_blocks(rows).join(ends, same)
     copies = F.col("mix_epochs") + F.coalesce((F.col("mix_mark") <= F.col("upto_mark")).cast("long"), F.lit(0))
     out = chosen.withColumn("mix_copies", copies).where("mix_copies > 0").withColumn("mix_epoch", F.explode(F.expr("sequence(1L, mix_copies)")))
-    return out.select(*docs.columns, "mix_source_tokens", "mix_weight", "mix_tokens", "mix_epoch", "mix_block", "mix_block_mark", "mix_mark")
+    added = [c for c in ("mix_source_tokens", "mix_weight", "mix_tokens", "mix_epoch", "mix_block", "mix_block_mark", "mix_mark") if c not in docs.columns]
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns], *added)
