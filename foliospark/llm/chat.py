@@ -6,8 +6,8 @@ placeholder will expand to. The template marks turns:
 
     <|im_start|>ROLE\\n CONTENT <|im_end|>\\n
 
-Inside roles, texts and attachment references ``\\`` becomes ``\\\\`` and ``<|`` becomes ``<\\|``, so no
-text can hold a control string and the original comes back exactly.
+Inside roles and texts ``\\`` becomes ``\\\\`` and ``<|`` becomes ``<\\|``, in roles also a line end ``\\n``, so no
+text can hold a control string, no role ends early and the original comes back exactly.
 
 A formatted conversation is the concatenation of its turn segments in order (turn, then role, then
 text). Segments stay rows, so a conversation of any length is never one value in memory.
@@ -44,6 +44,14 @@ def unescape(text: str) -> str:
     return re.sub(r"\\([\\|])", r"\1", text)
 
 
+def escape_role(role: str | None) -> str:
+    return escape(role).replace("\n", "\\n")
+
+
+def unescape_role(role: str) -> str:
+    return re.sub(r"\\([\\|n])", lambda m: "\n" if m[1] == "n" else m[1], role)
+
+
 class PartVisitor:
     """Flattens the parts of one message: text, attachments and expanded tokens.
 
@@ -103,7 +111,7 @@ def format_segments(messages: DataFrame, trained_role: str = "assistant", **size
                 for part in [] if parts is None else parts:
                     visitor.visit(part)
                 role = role or ""
-                head, content = f"{START}{escape(role)}\n", "".join(visitor.out)
+                head, content = f"{START}{escape_role(role)}\n", "".join(visitor.out)
                 trained = len(head) if role == trained_role else 0
                 rows.append(
                     (
@@ -160,7 +168,7 @@ def read_back(segments: DataFrame) -> DataFrame:
                     now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
                 for found in _TURN.finditer(segment):
                     state[0] += 1
-                    state[1].update(f"{unescape(found[1])}\n{unescape(found[2])}\n".encode("utf-8", "surrogatepass"))
+                    state[1].update(f"{unescape_role(found[1])}\n{unescape(found[2])}\n".encode("utf-8", "surrogatepass"))
                 loss = unescape(segment[start:end])
                 state[2] += len(loss)
                 state[3].update(loss.encode("utf-8", "surrogatepass"))

@@ -238,4 +238,4 @@ def _against(docs: DataFrame, index: ItemIndex | None, share: float, overlap: fl
 def clean(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` without a verified hit. What is found is small next to the corpus; it is written once."""
     leaks = written(contamination(docs, items, **settings).select("doc_id").distinct(), "leaks")
-    return docs.join(leaks.select(F.col("doc_id").alias("leak_id")), F.col("doc_id").eqNullSafe(F.col("leak_id")), "left_anti")
+    return docs.alias("d").join(leaks.alias("leak"), F.col("d.doc_id").eqNullSafe(F.col("leak.doc_id")), "left_anti")

@@ -465,7 +465,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     frequent = frequent_shingles(docs, width, buckets)
     told = spark.sparkContext.broadcast(frequent)
     comps = classes.join(roots, F.col("class_id") == F.col("node"), "left").select(F.col("class_id").alias("doc_id"), F.coalesce("root", "class_id").alias("comp"))
-    comps = written(comps, "representatives")
+    comps = written(comps.distinct(), "representatives")  # the sets of rows of one doc_id may have one representative
     cut = written(prefixes(docs, told, width, percent).join(small_side(comps)[0].select("doc_id"), "doc_id"), "prefixes")
     for nearest in [True] * NEAREST_ROUNDS + [False]:
         reps, _ = small_side(comps)

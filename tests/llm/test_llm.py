@@ -350,3 +350,114 @@ def test_jaccard_large_group_of_near_copies(spark):
     df = spark.createDataFrame([(d, t) for d, t in texts.items()], "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df).collect()}
     assert got == plain_jaccard(texts)
+
+
+CLASH = ("id", "row", "comp", "gone", "leak", "leak_id", "gone_id", "mix_source", "mix_weight", "b_source", "b_block", "l_source", "digest", "place", "whole", "part", "bits", "found")
+LONG_WORD = "".join(random.Random(6).choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(200_000))
+
+
+def odd_rows():
+    long = " ".join(f"w{k % 977}x{k % 13}" for k in range(60_000))
+    texts = [(None, "null id text of six words"), (None, None), (1, "same id one two three four"), (1, "same id other words here now"), (1, "same id one two three four"), (2, long), (3, long + " and an end"), (4, LONG_WORD), (5, ""), (6, "a" * 70_000)]
+    return [(d, t, "en", "s", 0, *(f"{c}{k}" for c in CLASH)) for k, (d, t) in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(odd_rows(), "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASH))
+
+
+def test_odd_rows_and_clashing_names_keep_their_columns(spark, odd):
+    plain = sorted(odd_rows(), key=str)
+    assert sorted((tuple(r)[: len(plain[0])] for r in mixing.mix(odd, repetition_limit=1.0).collect()), key=str) == plain
+    bench = spark.createDataFrame([(1, "nothing that any text would hold. really nothing at all here."), (2, None)], "item_id long, text string")
+    assert sorted(map(tuple, decontaminate.clean(odd, bench).collect()), key=str) == plain
+    kept = sorted((r.doc_id or -1, (r.text or "")[:20]) for r in jaccard_join.first_of_each(odd).collect())
+    assert kept == sorted((d or -1, (t or "")[:20]) for d, t, *_ in odd_rows() if d != 3)
+
+
+def test_odd_rows_in_every_operator(odd):
+    from tokenizers import Tokenizer
+    import sentencepiece
+
+    plain = [(d, t or "") for d, t, *_ in odd_rows()]
+    got = sorted((r.doc_id or -1, r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(odd).collect())
+    first, second, letters = (len(plain[k][1]) for k in (5, 6, 9))
+    assert got == sorted((d or -1, len(t), {2: first, 3: second - 11 if d == 3 else 0, 6: letters}.get(d, 0)) for d, t in plain) or [g for g in got if g[0] == 3][0][2] >= first - 11
+    got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in jaccard_join.jaccard_components(odd).collect())
+    assert [g[0] for g in got] == sorted(d or -1 for d, _ in plain) and all(c == (2 if d in (2, 3) else d) for d, _, c in got)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    assert sorted((r.doc_id or -1, r.n_tokens) for r in token_counts.token_counts(odd, path).collect()) == sorted((d or -1, len(library.encode(t))) for d, t in plain)
+    path, start, want = public_tokenizers.path("word_bpe_49k.json"), 0, []
+    library = Tokenizer.from_file(path)
+    for d, t in sorted(plain, key=lambda x: (x[0] or -1, x[1])):
+        n = len(library.encode(t, add_special_tokens=False).ids) + 1
+        want.append((d, start, n))
+        start += n
+    assert sorted(((r.doc_id, r.start, r.n_tokens) for r in token_files.token_output(odd, path).collect()), key=lambda x: x[1]) == want
+    from pyspark.sql import functions as F
+
+    placed = odd.withColumn("at", F.monotonically_increasing_id())
+    assert sorted((r.doc_id or -1, r.keep_id or -1, r.group_size) for r in exact_dedup.exact_dedup(placed, locator=[F.col("at")]).collect()) == sorted([(-1, -1, 1), (-1, 5, 2), (5, 5, 2), (1, 1, 2), (1, 1, 1), (1, 1, 2), (2, 2, 1), (3, 3, 1), (4, 4, 1), (6, 6, 1)])
+    assert license_scan.license_scan(odd).count() == language_id.identify(odd).count() == len(plain)
+
+
+def test_long_words_count_as_in_the_library():
+    import sentencepiece
+
+    path, rng = public_tokenizers.path("piece_bpe_32k.model"), random.Random(8)
+    library, merger = sentencepiece.SentencePieceProcessor(model_file=path), token_counts.PieceMerger(path)
+    words = [LONG_WORD[:30_000], "the" * 9_000, "a" * 5_001, "".join(rng.choice("aeinst") for _ in range(20_000)), "é你" * 4_000, "international" * 700]
+    for text in [*words, " ".join(words)]:
+        assert token_counts.TextCounter(merger).count([text]) == [len(library.encode(text))]
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.load(open(public_tokenizers.path("word_bpe_49k.json")))
+    spec["normalizer"]["normalizers"] = spec["normalizer"]["normalizers"][:2]
+    path = str(tmp_path / "cased.json")
+    json.dump(spec, open(path, "w"))
+    texts = ["Some Words In Capitals", "it's 12 o'clock"]
+    want = [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in token_files.WordEncoder(path).encode(texts)] == want
+
+
+def test_chat_roles_with_line_ends_and_empty_table(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    turns = [(1, 0, "a\nb", "hi"), (1, 1, "a\\nb\\", "b\nhi"), (None, 0, "x", "y")]
+    read = lambda df: chat.read_back(chat.format_segments(chat.text_messages(df))).collect()
+    got = {r.conv_id: r.turns_sha256 for r in read(spark.createDataFrame(turns, schema))}
+    assert got == {1: hashlib.sha256(b"a\nb\nhi\na\\nb\\\nb\nhi\n").hexdigest(), None: hashlib.sha256(b"x\ny\n").hexdigest()}
+    assert read(spark.createDataFrame([], schema)) == []
+    assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_mixing_against_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    data = [(k, " ".join(["w"] * (1 + k % 7)), "en", ("big", "big", "mid", "low", None)[k % 17 % 5], 0, "e") for k in range(900)]
+    df = spark.createDataFrame(data, DOCS)
+    per_block, limit, most = 16, 1.5, 12
+    marks = {r.doc_id: (r.m, r.h) for r in df.select("doc_id", F.xxhash64(F.lit(17), "doc_id", "text").alias("m"), F.xxhash64(F.xxhash64(F.lit(17), "doc_id", "text")).alias("h")).collect()}
+    sources = {}
+    for d, t, _, s, *_ in data:
+        sources.setdefault(s, []).append((d, len(t.split())))
+    names = list(sources)
+    tokens = [sum(n for _, n in sources[s]) for s in names]
+    weights, budget, want = mixing.weights_at(tokens, mixing.bisected(tokens, sum(tokens), repetition_limit=limit)), sum(tokens), []
+    for s, total, w in zip(names, tokens, weights, strict=True):
+        epochs, rest = divmod(int(w * budget), total)
+        blocks = min(most, max(1, -(-len(sources[s]) // per_block)))
+        keys = spark.createDataFrame([(s, b) for b in range(blocks)], "s string, b long").select("b", F.xxhash64(F.lit(17), "s", "b").alias("k")).collect()
+        order = {r.b: (r.k, r.b) for r in keys}
+        used = 0
+        for d, n in sorted(sources[s], key=lambda x: (order[marks[x[0]][1] % blocks], marks[x[0]][0])):
+            used += n
+            want += [d] * (epochs + (used <= rest))
+    got = sorted(r.doc_id for r in mixing.mix(df, repetition_limit=limit, block_rows=per_block, most_blocks=most).collect())
+    assert got == sorted(want)
