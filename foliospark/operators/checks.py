@@ -142,7 +142,7 @@ def et_al_unneeded(matches: DataFrame, refs: DataFrame) -> DataFrame:
 
 def long_author_lists(refs: DataFrame, docs: DataFrame) -> DataFrame:
     rows = _with_style(refs.drop("style_id", "family"), docs).where("author_count > full_up_to")
-    return issues(rows, "LONG_AUTHOR_LIST", "suggestion", F.substring("raw", 1, 150))
+    return issues(rows, "LONG_AUTHOR_LIST", "suggestion", F.col("raw"))
 
 
 def missing_fields() -> Column:
@@ -166,7 +166,7 @@ def institution_acronym_only(refs: DataFrame, acronyms: DataFrame) -> DataFrame:
     bare = F.regexp_replace(F.trim("first_author"), "\\.$", "")
     rows = refs.where(bare.rlike("^[A-Z]{2,8}$")).withColumn("acronym", F.lower(bare))
     rows = rows.join(acronyms.select("doc_id", "acronym"), ["doc_id", "acronym"], "left_anti").where(~F.upper("acronym").isin(*dims.ACRONYMS))
-    return issues(rows, "INSTITUTION_ACRONYM_ONLY", "suggestion", F.substring("raw", 1, 150))
+    return issues(rows, "INSTITUTION_ACRONYM_ONLY", "suggestion", F.col("raw"))
 
 
 def span_coverage(runs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ def italic_issues(runs: DataFrame, refs: DataFrame) -> DataFrame:
     found = span_coverage(runs, spans).join(refs.select("doc_id", F.col("line_no").alias("para_no"), "source_type", "raw"), ["doc_id", "para_no"])
     article = F.col("source_type") == "journal-article"
     bad = (article & (F.col("span") == "journal") & (F.col("coverage") < 0.6)) | (article & (F.col("span") == "title") & (F.col("coverage") > 0.4)) | (F.col("source_type").isin("book", "thesis", "report") & (F.col("span") == "title") & (F.col("coverage") < 0.6))
-    return issues(found.where(bad), "ITALIC", "suggestion", F.substring("raw", 1, 150), F.col("span"))
+    return issues(found.where(bad), "ITALIC", "suggestion", F.col("raw"), F.col("span"))
 
 
 def title_case_ratio(title: Column | str) -> Column:

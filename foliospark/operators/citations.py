@@ -206,23 +206,32 @@ def unopened_parentheses(base: DataFrame) -> DataFrame:
     return bad.select("doc_id", F.lit("missing_open_paren").alias("issue_type"), F.col("near").alias("position"), "raw", suggestion.alias("suggestion"))
 
 
+# The shapes of citations in a text; of bare numbers also what stands before them.
+BRACKETED = "\\[\\d{1,3}(?:\\s*[,\\-–]\\s*\\d{1,3})*\\]"
+BARE = "(?:\\d+\\.\\d+\\s*)?\\((?:Joint\\s+)?\\d{1,3}(?:\\s*[,\\-–]\\s*\\d{1,3})*\\)"
+DATED = "\\([\\p{Lu}\\p{Lo}][^()]*?,?\\s*\\d{4}[a-z]?\\)"
+PAGED = "\\([\\p{Lu}\\p{Lo}][\\p{L}'\\-]+\\s+\\d+(?:[-–]\\d+)?\\)"
+
+
 def mixed_style(df: DataFrame, text: str = "article") -> DataFrame:
-    """doc_id, counts of four citation shapes and whether at least two are used. Enumerations in prose, (1) ... (2) ... (3), are no citations."""
+    """doc_id, counts of four citation shapes and whether at least two are used.
+
+    Bare numbers, (1), behind a decimal score or as joint ranks are no citations, nor are three or more that count up at 25 to 400
+    characters from each other; they are used from five on, if above .3 of the author-date ones. Author-page ones are used where no
+    author-date one is.
+    """
     base = df.select("doc_id", text_of(text).alias("t"))
-    counts = base.select(
-        "doc_id",
-        F.regexp_count("t", F.lit("\\[\\d+(?:\\s*[,\\-–]\\s*\\d+)*\\]")).alias("bracket"),
-        F.regexp_count("t", F.lit("\\((?!Joint)[\\p{Lu}][^()\\d]{1,80},\\s*(?:\\d{4}[a-z]?|n\\.d\\.)[^()]*\\)")).alias("author_date"),
-        F.regexp_count("t", F.lit("\\([\\p{Lu}][\\p{L}'\\-]+(?:\\s+(?:and|&)\\s+[\\p{Lu}][\\p{L}'\\-]+)?\\s+\\d{1,3}(?:[-–]\\d{1,3})?\\)")).alias("author_page"),
-    )
-    singles = base.select("doc_id", F.explode(find_all("t", "\\(\\d{1,3}\\)")).alias("x")).select("doc_id", F.col("x.position").alias("at"), F.regexp_extract("x.raw", "\\d+", 0).cast("int").alias("n"))
+    counts = base.select("doc_id", *[F.regexp_count("t", F.lit(p)).alias(n) for p, n in ((BRACKETED, "bracket"), (DATED, "author_date"), (PAGED, "author_page"))])
+    bare = base.select("doc_id", F.explode(find_all("t", BARE)).alias("x")).where(F.col("x.raw").startswith("(") & ~F.lower("x.raw").contains("joint"))
+    bare = bare.select("doc_id", F.col("x.position").alias("at"), F.regexp_replace("x.raw", "\\D", "").cast("decimal(38,0)").alias("n"))
     w = Window.partitionBy("doc_id").orderBy("at")
-    follows = (F.col("n") == F.lag("n").over(w) + 1) & (F.col("at") - F.lag("at").over(w)).between(25, 400)
-    runs = singles.withColumn("run", F.sum(F.when(follows, 0).otherwise(1)).over(w)).groupBy("doc_id", "run").agg(F.count(F.lit(1)).alias("k"))
+    gap = F.col("at") - F.lag("at").over(w)
+    follows = F.coalesce((F.col("n") == F.lag("n").over(w) + 1) & (gap >= 25) & (gap < 400), F.lit(False))
+    runs = bare.withColumn("run", F.sum(F.when(follows, 0).otherwise(1)).over(w)).groupBy("doc_id", "run").agg(F.count(F.lit(1)).alias("k"))
     parens = runs.where("k < 3").groupBy("doc_id").agg(F.sum("k").alias("paren"))
     out = counts.join(parens, "doc_id", "left").withColumn("paren", F.coalesce("paren", F.lit(0)).cast("int"))
-    shapes = sum((F.col(c) > 0).cast("int") for c in ("bracket", "paren", "author_date", "author_page"))
-    return out.select("doc_id", "bracket", "paren", "author_date", "author_page", (shapes >= 2).alias("mixed"))
+    used = [F.col("bracket") > 0, (F.col("paren") >= 5) & (F.col("paren") > 0.3 * F.col("author_date")), F.col("author_date") > 0, (F.col("author_page") > 0) & (F.col("author_date") == 0)]
+    return out.select("doc_id", "bracket", "paren", "author_date", "author_page", (sum(u.cast("int") for u in used) >= 2).alias("mixed"))
 
 
 # Weights of the signals in a reference line, (style, pattern, weight).

@@ -168,8 +168,18 @@ def reference_lines(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "style_id", (F.col("pos") + 1).alias("line_no"), F.trim(F.regexp_replace("line", "\\r$", "")).alias("raw")).where("raw <> ''")
 
 
-def parsed(lines: DataFrame) -> DataFrame:
-    """All lines with what could be read; ``ok`` says whether that makes a reference, ``reason`` why not."""
+COLUMNS = ["doc_id", "line_no", "raw", "style_id", "family", "author_form", "num_label", "authors", "is_institutional", "author_count", "first_author", "year", "title", "journal", "issn", "eissn", "volume", "issue", "pages", "article_number", "publisher", "doi", "source_type"]
+OF_AUTHORS = {"authors", "is_institutional", "author_count", "first_author"}
+OF_JOURNALS = {"journal", "issn", "eissn", "volume", "issue", "pages", "article_number", "publisher"}
+
+
+def parsed(lines: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """All lines with what could be read; ``ok`` says whether that makes a reference, ``reason`` why not.
+
+    columns: those that are wanted, all where none are named; year and title are read in any case, authors, the DOI, the type and
+    the columns of journals only where one of them is wanted. A generator stands between the stages, so Spark can't leave them out itself.
+    """
+    want = set(COLUMNS if columns is None else columns)
     style = F.broadcast(dims.styles(lines.sparkSession)).drop("et_al_from", "separator", "ref_order", "full_up_to", "italics", "case_mode")
     rows = lines.join(style, "style_id")
     numeric = F.col("family") == "numeric"
@@ -201,27 +211,31 @@ def parsed(lines: DataFrame) -> DataFrame:
     comma_year = F.coalesce(first_match("raw", ",\\s*((?:19|20)\\d{2})\\b"), first_match("raw", "\\b((?:19|20)\\d{2})\\b"))
     year = F.when(numeric, year_of("rest")).otherwise(pick(dated=first_match("raw", dated, 2), parens=first_match("raw", in_parens, 2), quoted=comma_year))
     title = title_of(F.col("after"), F.coalesce("title_quote", F.lit("none")))
-    rows = staged(rows, year=year, title=title, authors=author_list("who", "author_form"), doi=doi_of("raw"), source_type=source_type("raw"))
-    rows = bibliographic(rows)
+    more = {"authors": author_list("who", "author_form")} if want & OF_AUTHORS else {}
+    more |= {c: f("raw") for c, f in (("doi", doi_of), ("source_type", source_type)) if c in want}
+    rows = staged(rows, year=year, title=title, **more)
+    if want & OF_JOURNALS:
+        rows = bibliographic(rows)
     unread = F.col("way").isNull() | (~numeric & (F.coalesce("who", F.lit("")) == ""))
     reason = F.when(unread, "no author and year in the style's form").when(F.col("year").isNull() & F.col("title").isNull(), "neither year nor title")
-    first = F.get("authors", F.lit(0))
-    rows = staged(rows, first_author=first, author_count=F.size("authors"), is_institutional=(F.size("authors") == 1) & institutional(first), reason=reason)
+    if want & OF_AUTHORS:
+        first = F.get("authors", F.lit(0))
+        rows = staged(rows, first_author=first, author_count=F.size("authors"), is_institutional=(F.size("authors") == 1) & institutional(first), reason=reason)
+    else:
+        rows = staged(rows, reason=reason)
     return rows.withColumn("ok", F.col("reason").isNull())
 
 
-COLUMNS = ["doc_id", "line_no", "raw", "style_id", "family", "author_form", "num_label", "authors", "is_institutional", "author_count", "first_author", "year", "title", "journal", "issn", "eissn", "volume", "issue", "pages", "article_number", "publisher", "doi", "source_type"]
-
-
-def build_refs(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(references, failures)."""
-    rows = parsed(lines)
-    return rows.where("ok").select(*COLUMNS), rows.where("not ok").select("doc_id", "line_no", F.col("raw").alias("text"), "reason")
+def build_refs(lines: DataFrame, columns: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(references, failures); of the references all columns or those named, with doc_id, line_no and raw."""
+    rows = parsed(lines, columns)
+    names = COLUMNS if columns is None else [c for c in COLUMNS if c in {"doc_id", "line_no", "raw", *columns}]
+    return rows.where("ok").select(*names), rows.where("not ok").select("doc_id", "line_no", F.col("raw").alias("text"), "reason")
 
 
 def parse_stats(lines: DataFrame) -> DataFrame:
     """doc_id with how many lines were found, read and not read."""
-    return parsed(lines).groupBy("doc_id").agg(F.count(F.lit(1)).alias("found"), F.count_if("ok").alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"))
+    return parsed(lines, []).groupBy("doc_id").agg(F.count(F.lit(1)).alias("found"), F.count_if("ok").alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"))
 
 
 def surname_of_ref(author: Column | str, form: Column | str) -> Column:

@@ -1,7 +1,7 @@
 """References against registries: documents, journals with coverage, proceedings, DOI metadata.
 
 Tiers run in order and each sees only what the one before left. The similarity tier blocks on title words in a shuffle join; pairs are
-made distinct before they are scored, and a word that very many registry titles share is salted by the registry row.
+made distinct before they are scored.
 """
 
 from __future__ import annotations

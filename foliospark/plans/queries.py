@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from foliospark.functions.text import word_count
 from foliospark.operators import citations, matching, prep, refs, registry, rules, stats
 from foliospark.plans import corpus
+from foliospark.session import settled
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,16 +35,16 @@ def apa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.apa_manuscripts(spark, sf_dir)
 
 
-def apa_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return refs.build_refs(refs.reference_lines(apa(spark, sf_dir)))[0]
+def apa_refs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return refs.build_refs(refs.reference_lines(apa(spark, sf_dir)), list(columns) or None)[0]
 
 
 def numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.numeric_manuscripts(spark, sf_dir)
 
 
-def numeric_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return refs.build_refs(refs.reference_lines(numeric(spark, sf_dir)))[0]
+def numeric_refs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return refs.build_refs(refs.reference_lines(numeric(spark, sf_dir)), list(columns) or None)[0]
 
 
 def apa_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +52,7 @@ def apa_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def number_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.number_matches(citations.numeric_citations(numeric(spark, sf_dir)), numeric_refs(spark, sf_dir))
+    return matching.number_matches(citations.numeric_citations(numeric(spark, sf_dir)), numeric_refs(spark, sf_dir, "num_label"))
 
 
 f = f"WITH f AS ({corpus.FACTS}), ok AS (SELECT * FROM f WHERE year IS NOT NULL)"
@@ -64,6 +65,8 @@ NUMBERS = (
 DATED = f"{f}, d AS (SELECT DISTINCT doc_id FROM f), c AS (SELECT doc_id, line_no, surname, year, n_authors, line_no % 2 = 0 AS paren FROM ok WHERE cited UNION ALL SELECT doc_id, 0, 'Nobody', '1999', 1, true FROM d WHERE doc_id % 7 = 0)"
 #: How many references of a document share a citation's key.
 KEYED = f"{DATED}, g AS (SELECT doc_id, surname, year, count(*) AS k, min(line_no) AS first_line FROM ok GROUP BY ALL), m AS (SELECT c.*, g.k, CASE WHEN g.k = 1 THEN g.first_line END AS ref_line FROM c LEFT JOIN g USING (doc_id, surname, year))"
+#: References in the order in which they are first cited, and whether that is the order of the list.
+LATE = "o AS (SELECT f.doc_id, f.line_no, cited FROM f JOIN d USING (doc_id) WHERE cited OR (k >= 3 AND f.line_no <= 3) OR (doc_id % 7 = 0 AND f.line_no = 1)), u AS (SELECT doc_id, coalesce(min(line_no) FILTER (WHERE NOT cited) > max(line_no) FILTER (WHERE cited), true) AS in_order FROM o GROUP BY doc_id)"
 round_half = "CAST(floor({} + 0.5) AS int)"
 
 
@@ -122,9 +125,19 @@ def p8_split_document(spark, sf_dir):
     return found.select("doc_id", "heading_text", "heading_is_typo", n.alias("n_entries"))
 
 
-@query(f"{f} SELECT DISTINCT doc_id, 0 AS intro_off FROM f WHERE doc_id % 7 = 0 OR doc_id IN (SELECT doc_id FROM ok WHERE cited)")
+@query(f"{f} SELECT DISTINCT doc_id, CASE WHEN doc_id % 2 = 0 THEN 22 ELSE 0 END AS intro_off FROM f WHERE doc_id % 7 = 0 OR doc_id IN (SELECT doc_id FROM ok WHERE cited)")
 def p7_intro_heading(spark, sf_dir):
-    return prep.find_intro_heading(apa(spark, sf_dir), "article").select("doc_id", F.col("start_off").alias("intro_off"))
+    """On articles of which every second one has two lines before its heading."""
+    fronted = apa(spark, sf_dir).withColumn("article", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Title\nSome words here\n"), "article")).otherwise(F.col("article")))
+    return prep.find_intro_heading(fronted, "article").select("doc_id", F.col("start_off").alias("intro_off"))
+
+
+@query(f"""{NUMBERS}, n AS (SELECT doc_id, count(*) FILTER (WHERE cited) + max(CASE WHEN k >= 3 THEN 1 ELSE 0 END) + max(CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END) AS b FROM f JOIN d USING (doc_id) GROUP BY doc_id),
+x AS (SELECT doc_id, b + CASE WHEN b = 0 AND doc_id % 2 = 0 THEN 1 ELSE 0 END AS n FROM n) SELECT doc_id, CAST(n AS bigint) AS n FROM x WHERE n > 0""")
+def p12_after_intro(spark, sf_dir):
+    """Citations in every second article's front matter don't count (P12); where no heading is found, all do."""
+    fronted = numeric(spark, sf_dir).withColumn("article", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Title\nSome words [1] here\n"), "article")).otherwise(F.col("article")))
+    return prep.after_intro(citations.numeric_citations(fronted), fronted).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---- citations
@@ -158,14 +171,18 @@ def c6_malformed_citations(spark, sf_dir):
 
 
 @query(f"""{NUMBERS}, n AS (SELECT doc_id, count(*) FILTER (WHERE cited) + max(CASE WHEN k >= 3 THEN 1 ELSE 0 END) + max(CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END) AS b FROM f JOIN d USING (doc_id) GROUP BY doc_id)
-SELECT doc_id, CAST(b AS int) AS bracket, false AS mixed FROM n""")
+SELECT doc_id, CAST(b AS int) AS bracket, CASE WHEN doc_id % 5 = 2 THEN 5 ELSE 0 END AS paren, CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS author_date, CASE WHEN doc_id % 5 = 4 THEN 1 ELSE 0 END AS author_page, b > 0 AND doc_id % 5 IN (0, 2, 4) AS mixed FROM n""")
 def c13_mixed_style(spark, sf_dir):
-    return citations.mixed_style(numeric(spark, sf_dir)).select("doc_id", "bracket", "mixed")
+    """On articles that also cite an author and year, show ranks, cite bare numbers, enumerate, or cite an author and page."""
+    tails = [" Others (Miller, 2001) agree.", " It scored 4.48 (1) and 3.1(2), else (Joint 3, 4).", " So (7), (7), (8, 9), (7) and (7).", " We (1) ask whom we can, then at last (2) read what they wrote, and (3) write it up as it is.", " As said (Miller 45) it holds."]
+    tail = F.element_at(F.array(*[F.lit(t) for t in tails]), (F.col("doc_id") % 5 + 1).cast("int"))
+    return citations.mixed_style(numeric(spark, sf_dir).withColumn("article", F.concat("article", tail))).select("doc_id", "bracket", "paren", "author_date", "author_page", "mixed")
 
 
-@query(f"{f} SELECT DISTINCT doc_id, 'ieee' AS style_id FROM f")
+@query(f"{f} SELECT DISTINCT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'ieee' ELSE 'apa7' END AS style_id FROM f")
 def c14_detect_style(spark, sf_dir):
-    return citations.detect_style(numeric(spark, sf_dir)).select("doc_id", "style_id")
+    """On numbered manuscripts and author-date ones by turns."""
+    return citations.detect_style(numeric(spark, sf_dir).where("doc_id % 2 = 0").unionByName(apa(spark, sf_dir).where("doc_id % 2 = 1"))).select("doc_id", "style_id")
 
 
 @query(f"{f} SELECT DISTINCT doc_id, 'author-date' AS family, 1 AS n FROM f WHERE doc_id % 5 = 0")
@@ -223,7 +240,7 @@ def j2_dangling(spark, sf_dir):
 
 @query(f"{NUMBERS} SELECT doc_id, CAST(line_no AS int) AS line_no FROM f WHERE NOT EXISTS (SELECT 1 FROM c WHERE f.doc_id = c.doc_id AND f.line_no = c.n)")
 def j3_uncited(spark, sf_dir):
-    return matching.uncited(numeric_refs(spark, sf_dir), number_matches(spark, sf_dir)).select("doc_id", "line_no")
+    return matching.uncited(numeric_refs(spark, sf_dir, "num_label"), number_matches(spark, sf_dir)).select("doc_id", "line_no")
 
 
 @query(f"""{KEYED} SELECT doc_id, surname AS first_author, year, CASE WHEN k IS NULL THEN 'none' WHEN k = 1 THEN 'exact' ELSE 'ambiguous' END AS status, CAST(coalesce(ref_line, -1) AS int) AS line_no, count(*) AS n FROM m GROUP BY ALL""")
@@ -291,29 +308,53 @@ def j20_doi_candidates(spark, sf_dir):
 # ---- statistics
 
 
-@query(f"{f} SELECT doc_id, lower(doi) AS doi, count(*) AS n FROM ok WHERE doi IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
+def same_dois(spark, sf_dir):
+    """References of which those of every second document all have one DOI."""
+    docs = apa(spark, sf_dir).withColumn("reference_text", F.when(F.col("doc_id") % 2 == 0, F.regexp_replace("reference_text", "doi\\.org/10\\.\\d+/p\\d+", "doi.org/10.1234/SAME")).otherwise(F.col("reference_text")))
+    return refs.build_refs(refs.reference_lines(docs), ["doi"])[0]
+
+
+@query(f"{f} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '10.1234/same' ELSE lower(doi) END AS doi, count(*) AS n FROM ok WHERE doi IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
 def a1_duplicate_dois(spark, sf_dir):
-    return stats.duplicate_dois(apa_refs(spark, sf_dir)).select("doc_id", "doi", "n")
+    return stats.duplicate_dois(same_dois(spark, sf_dir)).select("doc_id", "doi", "n")
 
 
 @query()
 def a2_near_duplicates(spark, sf_dir):
-    return stats.near_duplicates(apa_refs(spark, sf_dir))
+    return stats.near_duplicates(apa_refs(spark, sf_dir, "title", "first_author"))
 
 
 @query(f"{f} SELECT doc_id, lower(surname || ', ' || initial || CASE WHEN n_authors = 1 THEN '' ELSE '.' END) AS author, year, count(*) AS n FROM ok WHERE year <> 'n.d.' GROUP BY ALL HAVING count(*) > 1")
 def a3_ambiguous_years(spark, sf_dir):
-    return stats.ambiguous_years(apa_refs(spark, sf_dir))
+    return stats.ambiguous_years(apa_refs(spark, sf_dir, "first_author", "year"))
 
 
 @query(f"{f} SELECT doc_id, CAST(CASE WHEN year = 'n.d.' THEN '-1' ELSE year END AS int) AS year, count(*) AS n FROM ok GROUP BY ALL")
 def a5_year_histogram(spark, sf_dir):
-    return stats.year_histogram(apa_refs(spark, sf_dir)).withColumn("year", F.coalesce("year", F.lit(-1)))
+    return stats.year_histogram(apa_refs(spark, sf_dir, "year")).withColumn("year", F.coalesce("year", F.lit(-1)))
+
+
+KINDS = ("journal-article", "book", "website", "conference", "thesis", "report")
 
 
-@query(f"{f} SELECT doc_id, 'journal-article' AS source_type, count(*) AS n, 100 AS pct FROM ok GROUP BY doc_id")
+def mixed_lines(spark, sf_dir):
+    """Reference lines of six kinds by turns, without a year in none."""
+    who = F.concat("surname", F.lit(", "), "initial", F.lit(". ("), F.coalesce("year", F.lit("1990")), F.lit("). "), "title", F.lit(". "))
+    tails = [F.concat("journal", F.lit(", "), "volume", F.lit("("), "issue", F.lit("), "), "pages", F.lit(".")), F.lit("Oxford Press."), F.lit("https://example.org/x1"), F.lit("Proceedings of the Seventh Symposium."), F.lit("Doctoral dissertation, Some University."), F.lit("Working paper 12, Some Bank.")]
+    return corpus.facts(spark, sf_dir).select("doc_id", F.lit("apa7").alias("style_id"), F.col("line_no").cast("int").alias("line_no"), F.concat(who, F.element_at(F.array(*tails), (F.col("partkey") % 6 + 1).cast("int"))).alias("raw"))
+
+
+KIND = "CASE partkey % 6 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(KINDS)) + " END"
+
+
+@query(f"{f}, t AS (SELECT doc_id, {KIND} AS source_type, count(*) AS n FROM f GROUP BY ALL) SELECT doc_id, source_type, n, {pct('n', 'sum(n) OVER (PARTITION BY doc_id)')} AS pct FROM t")
 def a7_type_breakdown(spark, sf_dir):
-    return stats.type_breakdown(apa_refs(spark, sf_dir))
+    return stats.type_breakdown(refs.build_refs(mixed_lines(spark, sf_dir), ["source_type"])[0])
+
+
+@query(f"{f} SELECT doc_id, CAST(line_no AS int) AS line_no, {KIND} AS source_type FROM f")
+def r6_source_types(spark, sf_dir):
+    return refs.build_refs(mixed_lines(spark, sf_dir), ["source_type"])[0].select("doc_id", "line_no", "source_type")
 
 
 @query(f"""{DATED}, y AS (SELECT *, CAST(CASE WHEN year = 'n.d.' THEN NULL ELSE year END AS int) AS y FROM ok), p AS (SELECT doc_id, count(*) AS n_citations FROM c GROUP BY doc_id)
@@ -336,7 +377,7 @@ TOP = "row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, {0}) AS rank"
 @query(f"""{f}, a AS (SELECT doc_id, surname || ', ' || initial || CASE WHEN n_authors = 1 THEN '' ELSE '.' END AS first_author, count(*) AS n FROM ok GROUP BY ALL HAVING count(*) >= 2),
 r AS (SELECT *, {TOP.format('first_author')} FROM a) SELECT doc_id, first_author, n, CAST(rank AS int) AS rank FROM r WHERE rank <= 5""")
 def a12_dominant_authors(spark, sf_dir):
-    return stats.dominant_authors(apa_refs(spark, sf_dir))
+    return stats.dominant_authors(apa_refs(spark, sf_dir, "first_author"))
 
 
 @query(f"""{f}, a AS (SELECT doc_id, lower(journal) AS journal, count(*) AS n FROM ok GROUP BY ALL HAVING count(*) >= 2), r AS (SELECT *, {TOP.format('journal')} FROM a) SELECT doc_id, journal, n, CAST(rank AS int) AS rank FROM r WHERE rank <= 5""")
@@ -348,7 +389,7 @@ def a13_dominant_journals(spark, sf_dir):
 SELECT doc_id, count(*) FILTER (WHERE y BETWEEN 1998 AND 2002) AS in_range, count(*) FILTER (WHERE y NOT BETWEEN 1998 AND 2002) AS out_of_range, count(*) FILTER (WHERE y IS NULL) AS unknown,
 {pct('count(*) FILTER (WHERE y BETWEEN 1998 AND 2002)', 'count(y)')} AS pct_of_known, {pct('count(*) FILTER (WHERE y BETWEEN 1998 AND 2002)', 'count(*)')} AS pct_of_all FROM y GROUP BY doc_id""")
 def a14_year_range(spark, sf_dir):
-    return stats.year_range(apa_refs(spark, sf_dir), 1998, 2002)
+    return stats.year_range(apa_refs(spark, sf_dir, "year"), 1998, 2002)
 
 
 @query(f"""{NUMBERS}, k AS (SELECT doc_id, n, count(*) AS t FROM c WHERE n < 99 GROUP BY ALL), r AS (SELECT doc_id, n AS line_no, t, row_number() OVER (PARTITION BY doc_id ORDER BY t DESC, n) AS rank FROM k)
@@ -398,9 +439,11 @@ def w1_first_appearance(spark, sf_dir):
     return ck.first_appearance(number_matches(spark, sf_dir))
 
 
-@query(f"{f} SELECT doc_id, true AS sequential, CAST(0 AS bigint) AS n_missing FROM f GROUP BY doc_id")
+@query(f"{f} SELECT doc_id, NOT (count(*) >= 2 AND doc_id % 3 < 2) AS sequential, CAST(CASE WHEN count(*) >= 2 AND doc_id % 3 = 1 THEN 1 ELSE 0 END AS bigint) AS n_missing FROM f GROUP BY doc_id")
 def w2_numbering(spark, sf_dir):
-    return ck.numbering_check(numeric_refs(spark, sf_dir))
+    """On lists whose second number is wrong or missing in two of three documents."""
+    second = F.when(F.col("doc_id") % 3 == 0, F.regexp_replace("reference_text", "\n\\[2\\] ", "\n[9] ")).when(F.col("doc_id") % 3 == 1, F.regexp_replace("reference_text", "\n\\[2\\] ", "\n")).otherwise(F.col("reference_text"))
+    return ck.numbering_check(refs.build_refs(refs.reference_lines(numeric(spark, sf_dir).withColumn("reference_text", second)), ["num_label"])[0])
 
 
 @query(f"""{f}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY lower(surname), CASE WHEN n_authors = 1 THEN 0 ELSE 1 END, year, line_no) AS due FROM ok)
@@ -428,9 +471,20 @@ def v1_separator(spark, sf_dir):
     return ck.separator_issues(parts, docs).select("doc_id", "issue_code", "code", "correction")
 
 
-@query(f"""{KEYED} SELECT m.doc_id, 'ET_AL_UNNEEDED' AS issue_code, count(*) AS n FROM m JOIN ok ON ok.doc_id = m.doc_id AND ok.line_no = m.ref_line WHERE m.n_authors = 3 AND ok.n_authors <= 2 GROUP BY m.doc_id""")
+@query(f"""{KEYED} SELECT m.doc_id, 'ET_AL_UNNEEDED' AS issue_code, count(*) AS n FROM m JOIN ok ON ok.doc_id = m.doc_id AND ok.line_no = m.ref_line WHERE m.paren AND m.n_authors = 2 AND m.doc_id % 2 = 0 GROUP BY m.doc_id""")
 def v3_et_al_unneeded(spark, sf_dir):
-    return ck.et_al_unneeded(apa_matches(spark, sf_dir), apa_refs(spark, sf_dir)).groupBy("doc_id", "issue_code").agg(F.count(F.lit(1)).alias("n"))
+    """On articles that write et al. for the second of two authors in every second document."""
+    docs = apa(spark, sf_dir).withColumn("article", F.when(F.col("doc_id") % 2 == 0, F.regexp_replace("article", " & Lee,", " et al.,")).otherwise(F.col("article")))
+    r = apa_refs(spark, sf_dir)
+    return ck.et_al_unneeded(matching.author_date_matches(citations.author_date_citations(docs), r), r).groupBy("doc_id", "issue_code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{DATED} SELECT doc_id, 'ET_AL_MISSING' AS issue_code, count(*) AS n FROM c WHERE paren AND n_authors = 3 AND doc_id % 2 = 0 GROUP BY doc_id")
+def v2_et_al_missing(spark, sf_dir):
+    """On articles that name all three authors in every second document."""
+    docs = apa(spark, sf_dir).withColumn("article", F.when(F.col("doc_id") % 2 == 0, F.regexp_replace("article", " et al\\.,", ", Brown, & Lee,")).otherwise(F.col("article")))
+    parts = citations.parse_parts(citations.paren_citations(docs))
+    return ck.et_al_missing(parts, docs).groupBy("doc_id", "issue_code").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"{f} SELECT doc_id, CAST(line_no AS int) AS line_no, 'journal-article' AS source_type, 'year' AS missing FROM f WHERE year IS NULL OR year = 'n.d.'")
@@ -440,18 +494,69 @@ def v5_completeness(spark, sf_dir):
     return found.select("doc_id", "line_no", "source_type", F.array_join("missing", ",").alias("missing"))
 
 
-def author_date_issues(spark, sf_dir):
-    docs, r, m = apa(spark, sf_dir), apa_refs(spark, sf_dir), apa_matches(spark, sf_dir)
-    parts = citations.author_date_citations(docs)
+def common_issues(docs, r):
+    """What holds for any family: duplicates, fields, authors, case, citations that mix styles."""
+    return [
+        ck.issues(stats.duplicate_dois(r), "DUPLICATE_DOI", "error", F.col("doi")), ck.issues(titled(stats.near_duplicates(r), r), "DUPLICATE_TITLE", "error", F.concat_ws(" | ", "title", "title_b")),
+        ck.issues(ck.completeness(r), "METADATA_INCOMPLETE", "suggestion", F.col("raw"), F.array_join("missing", ", ")), ck.long_author_lists(r, docs), ck.case_issues(r),
+        ck.issues(citations.mixed_style(docs).where("mixed"), "MIXED_STYLE", "error", F.lit("article")),
+    ]
+
+
+def titled(pairs, r):
+    t = r.select("doc_id", "line_no", "title")
+    return pairs.join(t, ["doc_id", "line_no"]).join(t.select("doc_id", F.col("line_no").alias("line_b"), F.col("title").alias("title_b")), ["doc_id", "line_b"])
+
+
+def author_date_issues(spark, sf_dir, docs=None):
+    docs = apa(spark, sf_dir) if docs is None else docs
+    r = settled(refs.build_refs(refs.reference_lines(docs))[0])
+    parts = settled(citations.author_date_citations(docs))
+    m = settled(matching.author_date_matches(parts, r))
     label = F.concat_ws(", ", "first_author", "year")
-    unsorted = ck.alphabetical_check(r).where("not sorted")
+    acronyms = refs.acronym_map(docs.select("doc_id", F.concat_ws("\n", "article", "reference_text").alias("text")))
+    shared = F.concat_ws(", ", "key", "year")
+    clash = matching.collisions(r)
+    malformed = citations.malformed_citations(docs)
+    form = malformed.select("doc_id", F.concat(F.lit("FORMAT_"), F.upper("issue_type")).alias("issue_code"), F.lit("error").alias("severity"), F.col("raw").alias("code"), F.col("suggestion").alias("correction"))
     return ck.all_issues([
         ck.issues(m.where("status = 'none'"), "CITATION_NOT_IN_LIST", "error", label), ck.issues(m.where("status = 'ambiguous'"), "CITATION_AMBIGUOUS", "error", label), ck.issues(m.where("status = 'suggestion'"), "POSSIBLE_MISMATCH", "suggestion", label),
-        ck.issues(matching.author_date_uncited(r, m), "REF_UNCITED", "error", F.substring("raw", 1, 150)), ck.separator_issues(parts, docs), ck.et_al_missing(parts, docs), ck.et_al_unneeded(m, r),
-        ck.issues(unsorted, "LIST_NOT_ALPHABETICAL", "error", F.lit("list")), ck.issues(stats.duplicate_dois(r), "DUPLICATE_DOI", "error", F.col("doi")), ck.issues(ck.completeness(r), "METADATA_INCOMPLETE", "suggestion", F.substring("raw", 1, 150), F.array_join("missing", ", ")),
+        ck.issues(matching.author_date_uncited(r, m), "REF_UNCITED", "error", F.col("raw")), ck.separator_issues(parts, docs), ck.et_al_missing(parts, docs), ck.et_al_unneeded(m, r),
+        ck.issues(ck.alphabetical_check(r).where("not sorted"), "LIST_NOT_ALPHABETICAL", "error", F.lit("list")), ck.issues(ck.group_order_check(parts), "GROUP_NOT_ALPHABETICAL", "error", F.col("raw"), F.col("corrected")),
+        ck.issues(clash.where("same_person"), "COLLISION_SAME_PERSON", "error", shared), ck.issues(clash.where("not same_person"), "COLLISION_DIFFERENT_PEOPLE", "error", shared), ck.issues(stats.ambiguous_years(r), "AMBIGUOUS_YEAR", "error", F.concat_ws(", ", "author", "year")),
+        ck.issues(ck.acronym_first_use(parts, acronyms), "ACRONYM_BEFORE_FULL", "suggestion", F.col("raw"), F.col("full_name")), ck.institution_acronym_only(r, acronyms), form, *common_issues(docs, r),
+    ])
+
+
+def numeric_issues(spark, sf_dir, docs=None):
+    docs = numeric(spark, sf_dir) if docs is None else docs
+    r = settled(refs.build_refs(refs.reference_lines(docs))[0])
+    m = settled(matching.number_matches(citations.numeric_citations(docs), r))
+    labels = ck.numbering_check(r)
+    return ck.all_issues([
+        ck.issues(matching.dangling(m), "NUM_DANGLING", "error", F.concat(F.lit("["), F.col("n").cast("string"), F.lit("]"))), ck.issues(matching.uncited(r, m), "REF_UNCITED", "error", F.col("raw")),
+        ck.issues(labels.where("n_missing > 0"), "NUM_LABEL_MISSING", "error", F.col("n_missing")), ck.issues(labels.where("not sequential and n_missing = 0"), "NUM_NOT_SEQUENTIAL", "error", F.lit("list")),
+        ck.issues(ck.citation_order_check(r, m).where("not in_order"), "NUM_ORDER_MISMATCH", "error", F.lit("list")), *common_issues(docs, r),
     ])
 
 
+@query(f"""{NUMBERS}, {LATE}, i AS (SELECT doc_id, 'NUM_DANGLING' AS issue_code FROM d WHERE doc_id % 7 = 0 UNION ALL SELECT doc_id, 'NUM_ORDER_MISMATCH' FROM u WHERE NOT in_order
+UNION ALL SELECT doc_id, 'REF_UNCITED' FROM f WHERE NOT EXISTS (SELECT 1 FROM c WHERE f.doc_id = c.doc_id AND f.line_no = c.n)) SELECT doc_id, issue_code, count(*) AS n FROM i GROUP BY ALL""")
+def v10_numeric_issues(spark, sf_dir):
+    """Issues of numbers and of references that aren't cited, by code."""
+    return numeric_issues(spark, sf_dir).where("issue_code like 'NUM%' or issue_code = 'REF_UNCITED'").groupBy("doc_id", "issue_code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""{KEYED}, x AS (SELECT doc_id, surname, year, count(*) AS n, count(DISTINCT initial) AS people FROM ok GROUP BY ALL HAVING count(*) > 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS place, row_number() OVER (PARTITION BY doc_id ORDER BY lower(surname), CASE WHEN n_authors = 1 THEN 0 ELSE 1 END, year, line_no) AS due FROM ok),
+i AS (SELECT doc_id, CASE WHEN people = 1 THEN 'COLLISION_SAME_PERSON' ELSE 'COLLISION_DIFFERENT_PEOPLE' END AS issue_code FROM x UNION ALL SELECT DISTINCT doc_id, 'LIST_NOT_ALPHABETICAL' FROM o WHERE place <> due
+ UNION ALL SELECT DISTINCT doc_id, 'CITATION_NOT_IN_LIST' FROM m WHERE k IS NULL)
+SELECT doc_id, issue_code, count(*) AS n FROM i GROUP BY ALL""")
+def v10_author_date_issues(spark, sf_dir):
+    """Issues of the list and of citations without a reference, by code."""
+    return author_date_issues(spark, sf_dir).where("issue_code like 'COLLISION%' or issue_code in ('LIST_NOT_ALPHABETICAL', 'CITATION_NOT_IN_LIST')").groupBy("doc_id", "issue_code").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query()
 def v10_all_issues(spark, sf_dir):
     """All author-date issues with localised titles and places (W8), as one table."""
@@ -483,10 +588,12 @@ def v9_checklist(spark, sf_dir):
     return prep.checklist(prep.doc_stats(p), recent)
 
 
-@query(f"""{f} SELECT doc_id, count(year) FILTER (WHERE year <> 'n.d.') AS known FROM f GROUP BY doc_id""")
+@query(f"""{f}, y AS (SELECT doc_id, CAST(CASE WHEN year IS NULL OR year = 'n.d.' THEN NULL ELSE year END AS int) AS y FROM f)
+SELECT doc_id, count(y) AS with_year, count(*) - count(y) AS without_year, count(*) FILTER (WHERE y >= 1999) AS recent, {pct('count(*) FILTER (WHERE y >= 1999)', 'count(y)')} AS recent_pct FROM y GROUP BY doc_id""")
 def a15_recency_lines(spark, sf_dir):
-    """Reference lines whose parsed year is known."""
-    return refs.parsed(refs.reference_lines(apa(spark, sf_dir))).groupBy("doc_id").agg(F.count(stats.year_number()).alias("known"))
+    """Reference lines with any year, and those of the last three years before 2002. Links are left out, whose numbers may look like years."""
+    lines = refs.reference_lines(numeric(spark, sf_dir)).withColumn("raw", F.regexp_replace(F.regexp_replace("raw", " doi: \\S+$", ""), "item\\d+|pp\\. [\\d-]+", ""))
+    return stats.recency(lines, 2002, 3)
 
 
 # ---- conversion
@@ -543,18 +650,45 @@ def m10_relations(spark, sf_dir):
 def m9_concepts(spark, sf_dir):
     """Scores (M7), definitions (M6), types (M9), roles (M11), ids (M16)."""
     p = term_paragraphs(spark, sf_dir)
-    found = terms.mentions(p)
+    found = settled(terms.mentions(p))
     defined = terms.definitions(found)
     typed = terms.classify(terms.variable_scores(found), defined, terms.acronym_pairs(p))
     return terms.concept_ids(typed).join(terms.roles(terms.relations(found)), ["doc_id", "norm"], "left").withColumn("roles", F.array_join("roles", ",")).withColumn("related_to", F.array_join("related_to", ","))
 
 
-@query()
+NAMES = ("Academic Skill Rule", "Skill Rule Academic", "Rule Academic Skill")
+
+
+def renamed_paragraphs(spark, sf_dir):
+    """Three sentences for each lineitem about one thing under three names, which its part picks; in every third document a fourth tells them apart."""
+    a = F.element_at(F.array(*[F.lit(t) for t in NAMES]), (F.col("partkey") % 3 + 1).cast("int"))
+    text = F.concat(a, F.lit(" predicts Job Outcome Level. "), a, F.lit(" was measured using the Basic Attitude Scale. "), a, F.lit(" is defined as the degree to which people agree with it."))
+    apart = F.when((F.col("doc_id") % 3 == 0) & (F.col("line_no") == 1), F.lit(" Then Academic Skill Rule and Skill Rule Academic differ.")).otherwise(F.lit(""))
+    facts = corpus.facts(spark, sf_dir)
+    tested = F.concat(F.lit("Between Skill Rule Academic and all else, as in Rule Academic Skill, discriminant validity holds."), F.repeat(F.lit(" so it is"), 60))
+    first = facts.where("doc_id % 3 = 1").select("doc_id").distinct().select("doc_id", F.lit(0).cast("bigint").alias("para_no"), tested.alias("text"))
+    return facts.select("doc_id", F.col("line_no").cast("bigint").alias("para_no"), F.concat(text, apart).alias("text")).unionByName(first)
+
+
+def aliases(p):
+    """found, terms and pairs of paragraphs."""
+    found = settled(terms.mentions(p).where(~F.col("norm").contains("scale")))
+    defined, edges = terms.definitions(found), terms.relations(found)
+    scored = terms.variable_scores(found)
+    return found, scored, terms.alias_pairs(scored, defined, terms.instruments(defined), edges, found, p, terms.acronym_pairs(p))
+
+
+NAMED = "CASE {0} " + " ".join(f"WHEN {k} THEN '{n.lower()}'" for k, n in enumerate(NAMES)) + " END"
+#: Names with how often they are mentioned, those that come twice or more, and the pairs that nothing keeps apart.
+ALIASES = f"""{f}, one AS (SELECT doc_id, partkey % 3 AS name, 3 AS n FROM f UNION ALL SELECT doc_id, name, 1 FROM (SELECT DISTINCT doc_id FROM f) z, (VALUES (0), (1), (2)) v(name) WHERE (doc_id % 3 = 0 AND name < 2) OR (doc_id % 3 = 1 AND name > 0)),
+t AS (SELECT doc_id, name, CAST(sum(n) AS bigint) AS n_mentions, max(n) = 3 AS described FROM one GROUP BY ALL HAVING sum(n) >= 2),
+e AS (SELECT x.doc_id, x.name AS a, y.name AS b FROM t x JOIN t y ON x.doc_id = y.doc_id AND x.name <> y.name WHERE x.described AND y.described AND NOT (x.doc_id % 3 = 0 AND x.name < 2 AND y.name < 2) AND NOT (x.doc_id % 3 = 1 AND x.name > 0 AND y.name > 0))"""
+
+
+@query(f"""{ALIASES}, g AS (SELECT doc_id, {NAMED.format('a')} AS a, {NAMED.format('b')} AS b FROM e) SELECT doc_id, a, b, CAST(1.0 AS double) AS score FROM g WHERE a < b""")
 def m13_alias_pairs(spark, sf_dir):
-    p = term_paragraphs(spark, sf_dir)
-    found = terms.mentions(p)
-    defined = terms.definitions(found)
-    return terms.alias_pairs(terms.variable_scores(found), defined, terms.instruments(defined), terms.relations(found))
+    """Three names of one thing; a list of two of them, or a test of discriminant validity, keeps those two apart."""
+    return aliases(renamed_paragraphs(spark, sf_dir))[2].where("flag").select("doc_id", "a", "b", "score")
 
 
 @query(f"""{f}, t AS (SELECT doc_id, {TERM.format('partkey')} AS norm FROM f UNION SELECT doc_id, {TERM.format('suppkey')} FROM f),
@@ -611,16 +745,21 @@ def v8_case_issues(spark, sf_dir):
     return ck.case_issues(refs.build_refs(refs.reference_lines(docs))[0]).select("doc_id", "issue_code", "code")
 
 
-@query()
+
+
+@query(f"{NUMBERS}, {LATE} SELECT doc_id, in_order FROM u")
 def w3_citation_order(spark, sf_dir):
-    return ck.citation_order_check(numeric_refs(spark, sf_dir), number_matches(spark, sf_dir))
+    return ck.citation_order_check(numeric_refs(spark, sf_dir, "num_label"), number_matches(spark, sf_dir))
 
 
-@query(f"""{f}, t AS (SELECT DISTINCT doc_id, {TERM.format('partkey')} AS norm FROM f UNION SELECT doc_id, {TERM.format('suppkey')} FROM f) SELECT doc_id, norm, norm AS merged_into FROM t""")
+@query(f"""{ALIASES}, r AS (SELECT x.doc_id, x.name, y.name AS other FROM t x JOIN t y ON x.doc_id = y.doc_id WHERE x.name = y.name OR EXISTS (SELECT 1 FROM e WHERE e.doc_id = x.doc_id AND e.a = x.name AND e.b = y.name)
+ OR EXISTS (SELECT 1 FROM e p JOIN e q ON p.doc_id = q.doc_id AND p.b = q.a WHERE p.doc_id = x.doc_id AND p.a = x.name AND q.b = y.name)),
+k AS (SELECT r.doc_id, r.name, {NAMED.format('t.name')} AS other, t.n_mentions, sum(t.n_mentions) OVER (PARTITION BY r.doc_id, r.name) AS together FROM r JOIN t ON t.doc_id = r.doc_id AND t.name = r.other)
+SELECT DISTINCT doc_id, max_by(other, n_mentions * 1000 + CASE WHEN left(other, 1) = 's' THEN 3 WHEN left(other, 1) = 'r' THEN 2 ELSE 1 END) AS merged_into, CAST(max(together) AS bigint) AS n_mentions FROM k GROUP BY doc_id, name""")
 def m14_merged_terms(spark, sf_dir):
-    """Terms of which none is a strong alias of another, so each stays itself."""
-    p = term_paragraphs(spark, sf_dir)
-    found = terms.mentions(p).where(~F.col("norm").contains("scale"))
-    defined = terms.definitions(found)
-    scored = terms.variable_scores(found)
-    return terms.merged_terms(scored, terms.alias_pairs(scored, defined, terms.instruments(defined), terms.relations(found)))
+    """What is left of three names of one thing, and how often it is mentioned under all of them."""
+    p = renamed_paragraphs(spark, sf_dir)
+    found, scored, pairs = aliases(p)
+    defined, edges = terms.definitions(found), terms.relations(found)
+    out = terms.merged_concepts(terms.merged_terms(scored, pairs), scored, found, defined, terms.acronym_pairs(p), terms.instruments(defined), edges)
+    return out.where("merged_into <> 'job outcome level'").select("doc_id", "merged_into", "n_mentions")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship_package(spark: SparkSession) -> SparkSession:
@@ -17,3 +19,17 @@ def ship_package(spark: SparkSession) -> SparkSession:
     if root not in paths:
         known["PYTHONPATH"] = ":".join([*paths, root])
     return spark
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` as a checkpoint in the shared folder of ``spark.checkpoint.dir``: several consumers read it, and its lineage ends there.
+
+    Only a session in one process gets a temporary folder where none is set; any other raises.
+    """
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="foliospark-"))
+    return df.checkpoint()
