@@ -226,7 +226,7 @@ def _against(docs: DataFrame, index: ItemIndex | None, share: float, overlap: fl
         for batch in batches:
             texts = ["" if t is None else t for t in batch["text"].tolist()]
             rows = []
-            for begin, end in slices(texts, 1_000_000) if index else ():
+            for begin, end in slices(texts) if index else ():
                 for d, i, s, q, a in hits_in(texts[begin:end], index, share, overlap):
                     doc_id = batch["doc_id"].iloc[begin + d]
                     rows.append((None if pd.isna(doc_id) else int(doc_id), index.items[i], s, q, a))

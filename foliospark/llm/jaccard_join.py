@@ -282,7 +282,7 @@ def prefixes(docs: DataFrame, frequent, width: int, percent: int) -> DataFrame:
     return docs.mapInPandas(cut, "doc_id long, n long, prefix binary, bits binary")
 
 
-def list_pairs(token: np.ndarray, doc: np.ndarray, n: np.ndarray, at: np.ndarray, comp: np.ndarray, bits: np.ndarray, percent: int, nearest: bool = False, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def list_pairs(token: np.ndarray, doc: np.ndarray, n: np.ndarray, at: np.ndarray, comp: np.ndarray, bits: np.ndarray, percent: int, nearest: bool = False, most: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Candidate pairs from index lists, by the skips that the module names. bits: [entries, 4], zeros where an entry has none.
 
     ``nearest``: for each entry of a list only the pair that is furthest below its bound.
@@ -388,7 +388,7 @@ def candidates(entries: DataFrame, filter_, percent: int, buckets: int, nearest:
                 # What this task has named lately isn't named again; the pairs of all tasks are made distinct below.
                 every, first = np.unique(np.concatenate([told, np.stack([a, b], axis=1)]), axis=0, return_index=True)
                 fresh = every[first >= len(told)]
-                told = every if len(every) <= 2_000_000 else fresh
+                told = every if len(every) <= 200_000 else fresh
                 yield pd.DataFrame({"a": fresh[:, 0], "b": fresh[:, 1]})
 
     lists = entries.mapInPandas(listed, "bucket int, token binary, doc binary, n binary, at binary, comp binary, bits binary").repartition("bucket").sortWithinPartitions("bucket")

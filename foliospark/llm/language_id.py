@@ -34,7 +34,7 @@ from foliospark.llm.common import slices
 UND = "und"
 CHAIN = 64
 BUCKETS = 1 << 16
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: A run of letters; of a longer run, such as scripts without spaces have, every 40 characters and the rest are words of the chain.
 _WORD = re.compile(r"[^\W\d_]{1,40}")
 
