@@ -9,11 +9,25 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH_ROWS, BATCH_BYTES = 1_000, 8_000_000
+
+
+def spark_bytes(setting: str) -> int:
+    """A number of Spark's settings, with or without a unit of bytes."""
+    digits, unit = re.fullmatch(r"(-?\d+)([kmg]?)b?", setting.strip().lower()).groups()
+    return int(digits) * {"": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}[unit]
+
+
 def ship_package(spark: SparkSession) -> SparkSession:
-    """Puts the folder of this package on the Python path of the workers, where it isn't yet.
+    """Puts the folder of this package on the Python path of the workers, where it isn't yet, and bounds what they are sent at once.
 
-    Enough where executors see that folder; elsewhere the package is shipped with ``--py-files`` as usual.
+    Enough where executors see that folder; elsewhere the package is shipped with ``--py-files`` as usual. Batches hold ``BATCH_ROWS``
+    texts at most, and where Spark can bound bytes, ``BATCH_BYTES``; smaller settings stay.
     """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key, None)
+        if now is not None and not 0 < spark_bytes(now) <= most:
+            spark.conf.set(key, str(most))
     root, known = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
     paths = [p for p in known.get("PYTHONPATH", "").split(":") if p]
     if root not in paths:
