@@ -35,7 +35,7 @@ from foliospark.llm.common import scratch_path, slices
 MAGIC = b"DAC1"
 BITS = 512  # between two entries of a rank directory
 SEGMENT_IDS = 1 << 18
-REMEMBERED = 800_000  # words in a worker's memory
+REMEMBERED = 300_000  # words in a worker's memory
 SEGMENT = "shard int, segment int, n_ids long, doc_ids array<long>, lengths array<long>, code binary"
 
 
