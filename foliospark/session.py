@@ -6,6 +6,7 @@ import re
 import tempfile
 from pathlib import Path
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,8 +26,11 @@ def ship_package(spark: SparkSession) -> SparkSession:
     texts at most, and where Spark can bound bytes, ``BATCH_BYTES``; smaller settings stay.
     """
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = spark.conf.get(key, None)
-        if now is not None and not 0 < spark_bytes(now) <= most:
+        try:
+            now = spark.conf.get(key)
+        except PySparkException:  # this Spark has no such setting
+            continue
+        if not 0 < spark_bytes(now) <= most:
             spark.conf.set(key, str(most))
     root, known = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
     paths = [p for p in known.get("PYTHONPATH", "").split(":") if p]
