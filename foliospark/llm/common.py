@@ -57,7 +57,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship_package(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(texts: list[str], most_chars: int = 500_000):
+def slices(texts: list[str], most_chars: int = 250_000):
     """Index ranges of consecutive texts with about ``most_chars`` characters each, one text at least."""
     begin = held = 0
     for k, text in enumerate(texts):

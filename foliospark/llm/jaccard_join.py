@@ -43,8 +43,8 @@ from foliospark.llm.suffix_dedup import mixed, prefix_hashes, range_hash
 
 BANDS, ROWS = 8, 2
 #: Shingles that this many sets hold count as frequent. Tasks are told those of largest count one by one, at most so many (2 MB),
-#: and the others by a filter of so many bits (16 MB) that holds as many as it can at eight bits each, those of larger counts first.
-FREQUENT, MOST_FREQUENT, FILTER_BITS = 2, 1 << 18, 1 << 27
+#: and the others by a filter of so many bits (8 MB) that holds as many as it can at eight bits each, those of larger counts first.
+FREQUENT, MOST_FREQUENT, FILTER_BITS = 2, 1 << 18, 1 << 26
 #: Rounds of first comparisons; bands in which a set must have the same pivot.
 STAR_ROUNDS, SHARED = 1, 3
 #: Passes over the index lists in which each entry names its nearest one only, before that in which all are named.
