@@ -51,15 +51,20 @@ def first_match(c: Column | str, pattern: str, group: int = 1) -> Column:
 def find_all(c: Column | str, pattern: str) -> Column:
     """All matches of a pattern, in order, as array<struct<raw, position>>; positions count from 0.
 
-    A split on the pattern gives the gaps between matches, so positions are sums of lengths before.
+    A split on the pattern gives the gaps between matches; one pass over both adds their lengths up, so text is read twice however many
+    matches there are.
     """
     c = text_of(c)
     found, gaps = F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.split(c, pattern, -1)
-    length = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + F.length(x))
-    return F.transform(
-        found,
-        lambda m, i: F.struct(m.alias("raw"), (length(F.slice(gaps, 1, i + 1)) + length(F.slice(found, F.lit(1), i))).alias("position")),
-    )
+    pairs = F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("raw"), F.length(g).alias("gap")))
+    state = F.struct(F.array().cast("array<struct<raw:string,position:int>>").alias("out"), F.lit(0).alias("at"))
+
+    def step(s: Column, p: Column) -> Column:
+        start = s["at"] + p["gap"]
+        more = F.struct(F.array_append(s["out"], F.struct(p["raw"].alias("raw"), start.alias("position"))).alias("out"), (start + F.length(p["raw"])).alias("at"))
+        return F.when(p["raw"].isNull(), s).otherwise(more)
+
+    return F.aggregate(pairs, state, step, lambda s: s["out"])
 
 
 def js_round(c: Column, digits: int = 0) -> Column:

@@ -627,7 +627,7 @@ def term_paragraphs(spark, sf_dir):
     """Two sentences for each lineitem, about terms that its part and supplier pick."""
     a, b = (F.element_at(F.array(*[F.lit(t) for t in TERMS]), (F.col(c) % 5 + 1).cast("int")) for c in ("partkey", "suppkey"))
     text = F.concat(a, F.lit(" predicts "), b, F.lit(". "), a, F.lit(" was measured using the Basic Attitude Scale. "), b, F.lit(" is defined as the degree to which people agree with it."))
-    return corpus.facts(spark, sf_dir).select("doc_id", F.col("line_no").alias("para_no"), text.alias("text"))
+    return corpus.facts(spark, sf_dir).repartition("doc_id").select("doc_id", F.col("line_no").alias("para_no"), text.alias("text"))
 
 
 TERM = "CASE {0} % 5 " + " ".join(f"WHEN {k} THEN '{' '.join(t.lower().split())}'" for k, t in enumerate(TERMS)) + " END"
@@ -664,7 +664,7 @@ def renamed_paragraphs(spark, sf_dir):
     a = F.element_at(F.array(*[F.lit(t) for t in NAMES]), (F.col("partkey") % 3 + 1).cast("int"))
     text = F.concat(a, F.lit(" predicts Job Outcome Level. "), a, F.lit(" was measured using the Basic Attitude Scale. "), a, F.lit(" is defined as the degree to which people agree with it."))
     apart = F.when((F.col("doc_id") % 3 == 0) & (F.col("line_no") == 1), F.lit(" Then Academic Skill Rule and Skill Rule Academic differ.")).otherwise(F.lit(""))
-    facts = corpus.facts(spark, sf_dir)
+    facts = corpus.facts(spark, sf_dir).repartition("doc_id")
     tested = F.concat(F.lit("Between Skill Rule Academic and all else, as in Rule Academic Skill, discriminant validity holds."), F.repeat(F.lit(" so it is"), 60))
     first = facts.where("doc_id % 3 = 1").select("doc_id").distinct().select("doc_id", F.lit(0).cast("bigint").alias("para_no"), tested.alias("text"))
     return facts.select("doc_id", F.col("line_no").cast("bigint").alias("para_no"), F.concat(text, apart).alias("text")).unionByName(first)
