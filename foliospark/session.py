@@ -11,9 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 BATCH_ROWS, BATCH_BYTES = 1_000, 8_000_000
-#: Settings of the C library and of Arrow by which Python workers, which live as long as the session, give freed arrays back. Without them
-#: glibc raises its limit for mapped blocks to the largest array freed so far and keeps everything below it.
-WORKER_MEMORY = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "4194304", "MALLOC_TRIM_THRESHOLD_": "16777216", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def spark_bytes(setting: str) -> int:
@@ -39,8 +36,6 @@ def ship_package(spark: SparkSession) -> SparkSession:
     paths = [p for p in known.get("PYTHONPATH", "").split(":") if p]
     if root not in paths:
         known["PYTHONPATH"] = ":".join([*paths, root])
-    for key, value in WORKER_MEMORY.items():
-        known.setdefault(key, value)
     return spark
 
 
