@@ -48,23 +48,42 @@ def first_match(c: Column | str, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text_of(c), pattern, group), F.lit(""))
 
 
+def doublings(n: Column) -> Column:
+    """1, 2, 4, ... below n, as an array; empty for n of at most 1."""
+    return F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda p: p < n)
+
+
+def scan(items: Column, combine) -> Column:
+    """Inclusive running values of an array under an associative ``combine(before, own)``, null elements kept out.
+
+    Each round combines every element with the running value one, two, four, ... places before it: n log n steps, where a fold that appends to
+    an array copies all that it has made at each step.
+    """
+    step = lambda have, p: F.transform(have, lambda x, k: F.when(k < p, x).otherwise(combine(F.get(have, k - p), x)))
+    return let(items, lambda x: F.aggregate(doublings(F.size(x)), x, step))
+
+
 def find_all(c: Column | str, pattern: str) -> Column:
     """All matches of a pattern, in order, as array<struct<raw, position>>; positions count from 0.
 
-    A split on the pattern gives the gaps between matches; one pass over both adds their lengths up, so text is read twice however many
-    matches there are.
+    A split on the pattern gives the gaps between matches; running sums of the lengths of gaps and matches (``scan``) are the places where matches end.
     """
     c = text_of(c)
-    found, gaps = F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.split(c, pattern, -1)
-    pairs = F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("raw"), F.length(g).alias("gap")))
-    state = F.struct(F.array().cast("array<struct<raw:string,position:int>>").alias("out"), F.lit(0).alias("at"))
+    parts = F.struct(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)).alias("found"), F.split(c, pattern, -1).alias("gaps"))
+
+    def placed(p: Column) -> Column:
+        steps = F.transform(p["found"], lambda m, k: F.length(m) + F.coalesce(F.length(F.get(p["gaps"], k)), F.lit(0)))
+        at = lambda m, end: F.struct(m.alias("raw"), (end - F.length(m)).cast("int").alias("position"))
+        return F.zip_with(p["found"], scan(steps, lambda a, b: a + b), at)
+
+    return let(parts, placed)
 
-    def step(s: Column, p: Column) -> Column:
-        start = s["at"] + p["gap"]
-        more = F.struct(F.array_append(s["out"], F.struct(p["raw"].alias("raw"), start.alias("position"))).alias("out"), (start + F.length(p["raw"])).alias("at"))
-        return F.when(p["raw"].isNull(), s).otherwise(more)
 
-    return F.aggregate(pairs, state, step, lambda s: s["out"])
+def joined_runs(items: Column, apart: Column, between: str = " ") -> Column:
+    """Neighbouring strings as one, with ``between``, but where ``apart`` (a flag for each string) has it start anew; strings hold no line break."""
+    pieces = F.zip_with(items, apart, lambda x, a: F.struct(x.alias("x"), a.alias("a")))
+    text = F.array_join(F.transform(pieces, lambda p, k: F.concat(F.when(k == 0, F.lit("")).when(p["a"], F.lit("\n")).otherwise(F.lit(between)), p["x"])), "")
+    return F.when(F.size(items) > 0, F.split(text, "\n")).otherwise(F.array().cast("array<string>"))
 
 
 def js_round(c: Column, digits: int = 0) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import dims
-from foliospark.functions.text import text_of
+from foliospark.functions.text import let, text_of
 from foliospark.operators.citations import acronym_pair
 from foliospark.operators.refs import surname_of_ref
 
@@ -91,17 +91,14 @@ def acronym_first_use(parts: DataFrame, acronyms: DataFrame) -> DataFrame:
 
 def compressed_runs(numbers: Column) -> Column:
     """Sorted distinct numbers as text, three or more in a row as a range: 1-3, 5."""
-    distinct = F.array_sort(F.array_distinct(numbers))
-    start = F.array().cast("array<struct<a:int,b:int>>")
+    text = lambda a, b: F.when(b - a >= 2, F.concat(a.cast("string"), F.lit("-"), b.cast("string"))).when(b > a, F.concat(a.cast("string"), F.lit(", "), b.cast("string"))).otherwise(a.cast("string"))
 
-    def step(runs: Column, n: Column) -> Column:
-        last = F.get(runs, F.size(runs) - 1)
-        goes_on = F.coalesce(last["b"] + 1 == n, F.lit(False))
-        return F.when(goes_on, F.array_append(F.slice(runs, F.lit(1), F.greatest(F.size(runs) - 1, F.lit(0))), F.struct(last["a"].alias("a"), n.alias("b")))).otherwise(F.array_append(runs, F.struct(n.alias("a"), n.alias("b"))))
+    def runs(x: Column) -> Column:
+        first = F.filter(x, lambda n, k: F.coalesce(F.get(x, k - 1) + 1 != n, F.lit(True)))
+        last = F.filter(x, lambda n, k: F.coalesce(F.get(x, k + 1) - 1 != n, F.lit(True)))
+        return F.array_join(F.zip_with(first, last, text), ", ")
 
-    runs = F.aggregate(F.transform(distinct, lambda n: n.cast("int")), start, step)
-    text = lambda r: F.when(r["b"] - r["a"] >= 2, F.concat(r["a"].cast("string"), F.lit("-"), r["b"].cast("string"))).when(r["b"] > r["a"], F.concat(r["a"].cast("string"), F.lit(", "), r["b"].cast("string"))).otherwise(r["a"].cast("string"))
-    return F.array_join(F.transform(runs, text), ", ")
+    return let(F.array_sort(F.array_distinct(F.transform(numbers, lambda n: n.cast("int")))), runs)
 
 
 ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY")
@@ -170,11 +167,24 @@ def institution_acronym_only(refs: DataFrame, acronyms: DataFrame) -> DataFrame:
 
 
 def span_coverage(runs: DataFrame, spans: DataFrame) -> DataFrame:
-    """doc_id, para_no, span and the share of the span's characters that are italic. spans: doc_id, para_no, span, start, end."""
-    w = Window.partitionBy("doc_id", "para_no").orderBy("run_no").rowsBetween(Window.unboundedPreceding, -1)
-    placed = runs.withColumn("r0", F.coalesce(F.sum(F.length("text")).over(w), F.lit(0))).withColumn("r1", F.col("r0") + F.length("text"))
-    both = spans.join(placed, ["doc_id", "para_no"]).withColumn("common", F.greatest(F.lit(0), F.least("end", "r1") - F.greatest("start", "r0")))
-    return both.groupBy("doc_id", "para_no", "span").agg((F.coalesce(F.sum(F.when(F.col("italic"), F.col("common"))), F.lit(0)) / F.sum("common")).alias("coverage"))
+    """doc_id, para_no, span and the share of the span's characters that are italic. spans: doc_id, para_no, span, start, end.
+
+    Runs tell how many italic characters stand before their start; the ends of spans look that up at the last run that starts at or before them, by
+    one window over runs and ends in order of place, so a paragraph costs the sum of both, not the product. Null where no character is covered.
+    """
+    before = Window.partitionBy("doc_id", "para_no").orderBy("run_no").rowsBetween(Window.unboundedPreceding, -1)
+    sized = runs.select("doc_id", "para_no", "run_no", F.length(text_of("text")).alias("size"), F.coalesce("italic", F.lit(False)).alias("italic"))
+    told = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)).cast("long")
+    run = F.struct(told(F.col("size")).alias("at"), "size", "italic", told(F.when(F.col("italic"), F.col("size")).otherwise(0)).alias("slanted"))
+    marks = sized.select("doc_id", "para_no", run.alias("run")).select("doc_id", "para_no", F.col("run.at").alias("place"), "run", F.lit(None).cast("string").alias("span"), F.lit(None).cast("int").alias("side"))
+    side = lambda c, k: F.struct(F.greatest(F.col(c), F.lit(0)).cast("long").alias("place"), F.lit(k).alias("side"))
+    ends = spans.select("doc_id", "para_no", "span", F.inline(F.array(side("start", 0), side("end", 1)))).withColumn("run", F.lit(None).cast(marks.schema["run"].dataType))
+    upto = Window.partitionBy("doc_id", "para_no").orderBy("place", F.col("span").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = marks.unionByName(ends).withColumn("met", F.last("run", ignorenulls=True).over(upto)).where("span is not null and met is not null")
+    inside = F.least(F.col("place") - F.col("met.at"), F.col("met.size").cast("long"))
+    found = met.select("doc_id", "para_no", "span", "side", (F.col("met.at") + inside).alias("covered"), (F.col("met.slanted") + F.when(F.col("met.italic"), inside).otherwise(0)).alias("slanted"))
+    gone = lambda c: F.max(F.when(F.col("side") == 1, F.col(c))) - F.max(F.when(F.col("side") == 0, F.col(c)))
+    return found.groupBy("doc_id", "para_no", "span").agg((gone("slanted") / F.nullif(gone("covered"), F.lit(0))).alias("coverage"))
 
 
 def italic_issues(runs: DataFrame, refs: DataFrame) -> DataFrame:
@@ -211,7 +221,9 @@ def all_issues(parts: list[DataFrame]) -> DataFrame:
     out = parts[0].select(*ISSUE)
     for p in parts[1:]:
         out = out.unionByName(p.select(*ISSUE))
-    return out.withColumn("fingerprint", fingerprint()).dropDuplicates(["doc_id", "fingerprint"])
+    rest = [c for c in ISSUE if c != "doc_id"]
+    first = out.withColumn("fingerprint", fingerprint()).groupBy("doc_id", "fingerprint").agg(F.min(F.struct(*rest)).alias("x"))
+    return first.select("doc_id", *[f"x.{c}" for c in rest], "fingerprint")
 
 
 def without_dismissed(found: DataFrame, dismissed: DataFrame) -> DataFrame:
@@ -227,14 +239,14 @@ def localised(found: DataFrame, lang: str = "en") -> DataFrame:
 
 
 def located(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """Issues with source (references before article) and line of the first 50 characters of their text, nulls where it isn't found."""
+    """Issues with source and line of their text (references before article); where it isn't found, of its first 50 characters, else nulls."""
     d = docs.select("doc_id", "article", "reference_text")
-    rows = found.join(d, "doc_id", "left").withColumn("needle", F.substring(F.trim("code"), 1, 50))
-    at = lambda c: F.when(F.length("needle") > 0, F.expr(f"locate(needle, {c})"))
-    rows = rows.withColumn("r", at("reference_text")).withColumn("a", at("article"))
-    line = lambda c, p: F.size(F.split(F.substring(F.col(c), F.lit(1), F.col(p)), "\n"))
-    source = F.when(F.col("r") > 0, "references").when(F.col("a") > 0, "article")
-    return rows.withColumn("source", source).withColumn("line", F.when(F.col("r") > 0, line("reference_text", "r")).when(F.col("a") > 0, line("article", "a"))).drop("article", "reference_text", "needle", "r", "a")
+    rows = found.join(d, "doc_id", "left").withColumn("whole", F.trim("code")).withColumn("needle", F.substring("whole", 1, 50))
+    at = lambda n, c: F.nullif(F.when(F.length(n) > 0, F.expr(f"locate({n}, {c})")), F.lit(0))
+    hit = lambda source, n, c: F.struct(F.lit(source).alias("source"), F.size(F.split(F.substring(F.col(c), F.lit(1), at(n, c)), "\n")).alias("line"))
+    tries = [F.when(at(n, c).isNotNull(), hit(source, n, c)) for n in ("whole", "needle") for source, c in (("references", "reference_text"), ("article", "article"))]
+    rows = rows.withColumn("hit", F.coalesce(*tries))
+    return rows.withColumn("source", F.col("hit.source")).withColumn("line", F.col("hit.line")).drop("article", "reference_text", "whole", "needle", "hit")
 
 
 def ordered(found: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.functions.text import first_match
+from foliospark.functions.text import doublings, first_match, let
 from foliospark.operators.refs import initial_of_ref, initial_of_token, institutional, match_key, surname_of_ref, surname_of_token
 
 
@@ -136,18 +136,41 @@ def links(parts: DataFrame, refs: DataFrame) -> DataFrame:
     return c.join(link_index(refs), ["doc_id", "link_key"], "left")
 
 
+def first_wins(spans: Column) -> Column:
+    """Of spans ordered by start (array of structs with start and end), those that don't overlap one taken before.
+
+    From each span a pointer leads to the first one that starts at or behind its end, found by bisection over the starts. The spans taken are what the first one
+    reaches: each round adds what lies 1, 2, 4, ... pointers behind those known, with pointers that double. Empty spans at one place follow each other.
+    """
+
+    def reached(x: Column) -> Column:
+        starts = F.transform(x, lambda s: s["start"].cast("long"))
+
+        def chosen(known: Column) -> Column:
+            at, powers = known["at"], known["powers"]
+            # How many starts lie below an end, at least all up to the span itself: bit by bit from the highest.
+            ahead = lambda s, k: F.aggregate(powers, k + 1, lambda n, p: F.when(F.get(at, n + p - 1) < s["end"], n + p).otherwise(n))
+            begin = F.struct(F.transform(x, ahead).alias("next"), F.filter(F.array(F.lit(0)), lambda k: F.size(x) > 0).alias("taken"))
+
+            def round_(have: Column, _: Column) -> Column:
+                more = F.filter(F.transform(have["taken"], lambda k: F.get(have["next"], k)), lambda k: k < F.size(x))
+                return F.struct(F.transform(have["next"], lambda k: F.coalesce(F.get(have["next"], k), F.size(x))).alias("next"), F.concat(have["taken"], more).alias("taken"))
+
+            taken = F.aggregate(F.concat(F.array(F.lit(1)), doublings(F.size(x))), begin, round_, lambda have: F.array_sort(have["taken"]))
+            return F.transform(taken, lambda k: F.get(x, k))
+
+        powers = F.reverse(F.concat(F.array(F.lit(1)), F.transform(doublings(F.size(x)), lambda p: p * 2)))
+        return let(F.struct(starts.alias("at"), powers.alias("powers")), chosen)
+
+    return let(spans, reached)
+
+
 def accepted_spans(spans: DataFrame) -> DataFrame:
     """Spans (doc_id, start, end, ...) that don't overlap one accepted before: first by start wins, then the longer."""
     names = [c for c in spans.columns if c not in ("doc_id", "start", "end")]
     item = F.struct(F.col("start"), (-F.col("end")).alias("rank"), F.col("end"), *names)
     rows = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-
-    def step(s: Column, x: Column) -> Column:
-        free = x["start"] >= s["upto"]
-        return F.struct(F.when(free, F.array_append(s["kept"], x)).otherwise(s["kept"]).alias("kept"), F.when(free, x["end"].cast("int")).otherwise(s["upto"]).alias("upto"))
-
-    start = F.struct(F.filter("items", lambda x: F.lit(False)).alias("kept"), F.lit(0).alias("upto"))
-    kept = F.explode(F.aggregate("items", start, step)["kept"]).alias("x")
+    kept = F.explode(first_wins(F.col("items"))).alias("x")
     return rows.select("doc_id", kept).select("doc_id", "x.start", "x.end", *[f"x.{n}" for n in names])
 
 

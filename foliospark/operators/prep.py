@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import dims
-from foliospark.functions.text import SPACES, preview, squeeze, text_of, word_count
+from foliospark.functions.text import SPACES, joined_runs, let, preview, scan, squeeze, text_of, word_count
 
 # Abbreviations after which a sentence goes on.
 ABBREVIATIONS = "(?iu)(?<![\\p{L}\\p{N}])(et al|e\\.g|i\\.e|vs|cf|no|fig|tabel|dkk|st|dr|prof|misal)\\.$"
@@ -28,15 +28,13 @@ def lines(df: DataFrame, text: str = "text") -> DataFrame:
 
 def sentence_array(text: Column | str, least_words: int = 3) -> Column:
     """Sentences of at least ``least_words`` words; a part that ends in an abbreviation takes the next one on."""
-    parts = F.split(squeeze(text), "(?<=[.!?])\\s+")
-    state = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
-    def step(s: Column, p: Column) -> Column:
-        whole = F.when(s["open"] == "", p).otherwise(F.concat(s["open"], F.lit(" "), p))
-        more = whole.rlike(ABBREVIATIONS)
-        return F.struct(F.when(more, s["done"]).otherwise(F.array_append(s["done"], whole)).alias("done"), F.when(more, whole).otherwise(F.lit("")).alias("open"))
+    def whole(parts: Column) -> Column:
+        # No abbreviation reaches over the end of a part, so a part alone tells whether the sentence goes on behind it.
+        apart = lambda goes_on: F.transform(goes_on, lambda _, k: ~F.coalesce(F.get(goes_on, k - 1), F.lit(False)))
+        return joined_runs(parts, let(F.transform(parts, lambda p: p.rlike(ABBREVIATIONS)), apart))
 
-    found = F.aggregate(parts, state, step, lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.array_append(s["done"], s["open"])))
+    found = let(F.split(squeeze(text), "(?<=[.!?])\\s+"), whole)
     return F.filter(found, lambda s: (s != "") & (word_count(s) >= least_words))
 
 
@@ -102,16 +100,29 @@ def _capitals(t: Column) -> Column:
 
 
 def unwrapped(text: Column | str) -> Column:
-    """Article text with hard-wrapped lines joined: a line goes on where the one before neither ends a sentence nor is a heading in capitals, and it is none itself."""
-    parts = F.split(text_of(text), "\n")
+    """Article text with hard-wrapped lines joined: a line goes on where the one before neither ends a sentence nor is a heading in capitals, and it is none itself.
 
-    def step(done: Column, raw: Column) -> Column:
-        line, before = F.trim(raw), F.trim(F.coalesce(F.get(done, F.size(done) - 1), F.lit("")))
-        apart = (line == "") | (before == "") | before.rlike("[.!?:;][\")'\\]]?$") | _capitals(before) | _capitals(line)
-        joined = F.concat(F.rtrim(F.element_at(done, -1)), F.lit(" "), line)
-        return F.when((F.size(done) == 0) | apart, F.array_append(done, raw)).otherwise(F.array_append(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), joined))
+    Two neighbouring lines alone decide: a heading in capitals is never joined with a line, so the line before is all that has to be looked at.
+    """
+    def facts(raw: Column) -> Column:
+        t = F.trim(raw)
+        return F.struct(raw.alias("raw"), t.alias("t"), (t == "").alias("blank"), _capitals(t).alias("heading"), t.rlike("[.!?:;][\")'\\]]?$").alias("ends"))
+
+    def apart(x: Column, k: Column) -> Column:
+        before = lambda c: F.coalesce(F.get(x, k - 1)[c], F.lit(True))
+        own = lambda c: F.get(x, k)[c]
+        return own("blank") | own("heading") | before("blank") | before("heading") | before("ends")
+
+    def pieces(x: Column) -> Column:
+        def piece(p: Column, k: Column) -> Column:
+            fresh, closed = apart(x, k), (k + 1 >= F.size(x)) | apart(x, k + 1)
+            body = F.when(fresh, p["raw"]).otherwise(p["t"])
+            lead = F.when(k == 0, F.lit("")).when(fresh, F.lit("\n")).otherwise(F.lit(" "))
+            return F.concat(lead, F.when(closed, body).otherwise(F.rtrim(body)))
+
+        return F.array_join(F.transform(x, piece), "")
 
-    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "\n")
+    return let(F.transform(F.split(text_of(text), "\n"), facts), pieces)
 
 
 GENUINE = "\\b(19|20)\\d{2}[a-z]?\\b|(?i:\\bn\\.d\\.)|\\bdoi\\.org/|(?:^|\\s)10\\.\\d{4,9}/|https?://"
@@ -120,28 +131,32 @@ GENUINE = "\\b(19|20)\\d{2}[a-z]?\\b|(?i:\\bn\\.d\\.)|\\bdoi\\.org/|(?:^|\\s)10\
 def rejoined_references(text: Column | str) -> Column:
     """Reference entries of a list whose lines may be wrapped, as an array, in order; chunks without year, DOI or link are left out.
 
-    An entry starts at a numbered line, at a line that reads like authors with a year, after an empty line, and after an entry that is complete.
+    An entry starts at a numbered line, at a line that reads like authors with a year, behind an empty line, and behind an entry that is complete: one
+    that has a year in any of its lines and ends as entries do. Whether the open entry has a year depends on where it began, so each line
+    maps "the entry before it has a year" to "the entry it is in has one", two bits; running compositions of these maps (``scan``) give the state
+    at every line.
     """
-    parts = F.split(text_of(text), "\r?\n")
-    state = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-
-    def starts(t: Column) -> Column:
-        numbered = t.rlike("^\\s*(?:\\[\\d+\\]|\\(\\d+\\)|\\d+[.)])\\s*\\p{Lu}")
-        dated = t.rlike("^[\\p{Lu}\\p{Lo}]") & F.substring(t, 1, 100).contains(",") & F.substring(t, 1, 220).rlike("\\(\\d{4}[a-z]?\\)")
-        return numbered | dated
-
-    def complete(t: Column) -> Column:
-        year = t.rlike("\\(\\d{4}[a-z]?\\)|(?:^|\\s)(19|20)\\d{2}[a-z]?[.,)]") | t.rlike("(?i)\\bn\\.d\\.")
-        return year & F.rtrim(t).rlike("[.)]$|https?://\\S+$|\\d{4,9}/\\S*$")
-
-    def step(s: Column, raw: Column) -> Column:
-        t, open_ = F.trim(raw), s["open"]
-        closed = F.when(open_ == "", s["done"]).otherwise(F.array_append(s["done"], open_))
-        goes_on = (t != "") & (open_ != "") & ~starts(t) & ~complete(open_)
-        return F.struct(F.when(goes_on, s["done"]).otherwise(closed).alias("done"), F.when(goes_on, F.concat(open_, F.lit(" "), t)).otherwise(t).alias("open"))
-
-    chunks = F.aggregate(parts, state, step, lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.array_append(s["done"], s["open"])))
-    return F.filter(chunks, genuine_reference)
+    numbered = lambda t: t.rlike("^\\s*(?:\\[\\d+\\]|\\(\\d+\\)|\\d+[.)])\\s*\\p{Lu}")
+    dated = lambda t: t.rlike("^[\\p{Lu}\\p{Lo}]") & F.substring(t, 1, 100).contains(",") & F.substring(t, 1, 220).rlike("\\(\\d{4}[a-z]?\\)")
+    year = lambda t: t.rlike("\\(\\d{4}[a-z]?\\)|(?:^|\\s)(19|20)\\d{2}[a-z]?[.,)]") | t.rlike("(?i)\\bn\\.d\\.")
+    ends = lambda t: t.rlike("[.)]$|https?://\\S+$|\\d{4,9}/\\S*$")
+
+    def facts(raw: Column) -> Column:
+        t = F.trim(raw)
+        return F.struct(t.alias("t"), (t == "").alias("blank"), (numbered(t) | dated(t)).alias("starts"), year(t).alias("year"), ends(t).alias("ends"))
+
+    def chunks(x: Column) -> Column:
+        before = lambda k, c: F.coalesce(F.get(x, k - 1)[c], F.lit(c == "blank"))
+        first = lambda p, k: p["blank"] | p["starts"] | before(k, "blank")
+        # from_no, from_yes: whether the entry has a year after this line if the open one had none, or had one, before it.
+        maps = F.transform(x, lambda p, k: F.struct(p["year"].alias("from_no"), (p["year"] | ~(first(p, k) | before(k, "ends"))).alias("from_yes")))
+        after = lambda f, b: F.when(b, f["from_yes"]).otherwise(f["from_no"])
+        through = lambda a, b: F.struct(after(b, a["from_no"]).alias("from_no"), after(b, a["from_yes"]).alias("from_yes"))
+        apart = lambda states: F.transform(x, lambda p, k: first(p, k) | (before(k, "ends") & F.coalesce(F.get(states, k - 1)["from_no"], F.lit(False))))
+        return let(scan(maps, through), lambda states: joined_runs(F.transform(x, lambda p: p["t"]), apart(states)))
+
+    lines_ = F.transform(F.split(text_of(text), "\r?\n"), facts)
+    return F.filter(let(lines_, chunks), lambda t: (t != "") & genuine_reference(t))
 
 
 def genuine_reference(t: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Submission rules over reference lists: one aggregate by document, then one row for each rule that is on."""
+"""Submission rules over reference lists: one summary for each document, then one row for each rule that is on."""
 
 from __future__ import annotations
 
@@ -30,29 +30,45 @@ def with_origin(refs: DataFrame, overrides: DataFrame | None = None) -> DataFram
     return out.withColumn("origin", F.coalesce("manual", "origin")).withColumn("origin_confidence", F.when(F.col("manual").isNotNull(), "manual").otherwise(F.col("origin_confidence"))).drop("manual")
 
 
-def evaluate_rules(refs: DataFrame, rules: DataFrame, as_of: DataFrame, statuses: DataFrame | None = None) -> DataFrame:
-    """doc_id, rule_set, rule_id, actual, required and pass of every rule that is on.
+def reference_summary(refs: DataFrame, as_of: DataFrame, statuses: DataFrame | None = None) -> DataFrame:
+    """doc_id, as_of_year and kinds: how many references of each (year, source type, origin, registry status) a document has.
 
-    refs: with origin. as_of: doc_id, as_of_year. statuses: registry results; without any for a document that rule fails with a null
-    actual. The rule sets are a small table, crossed with one row for each document (and its rule-dependent counts).
+    References are counted twice, first by kind and then into one array for each document, so what any number of rule sets is evaluated on is one
+    row a document with as many entries as it has different kinds.
     """
     if statuses is not None:
         refs = refs.join(statuses.select("doc_id", "line_no", "status"), ["doc_id", "line_no"], "left")
     else:
         refs = refs.withColumn("status", F.lit(None).cast("string"))
-    r = refs.join(as_of.select("doc_id", "as_of_year"), "doc_id").join(F.broadcast(rules))
-    y = year_number()
+    kind = [year_number().alias("y"), F.col("source_type").alias("st"), (F.col("origin") == "international").alias("intl"), F.col("status")]
+    counted = refs.groupBy("doc_id", *kind).agg(F.count(F.lit(1)).alias("n"))
+    rows = counted.groupBy("doc_id").agg(F.collect_list(F.struct("y", "st", "intl", "status", "n")).alias("kinds"))
+    return rows.join(as_of.select("doc_id", "as_of_year"), "doc_id")
+
+
+#: Rule sets that may be broadcast; more are dealt out as a table of their own.
+MOST_RULE_SETS = 10_000
+
+
+def evaluate_rules(refs: DataFrame, rules: DataFrame, as_of: DataFrame, statuses: DataFrame | None = None) -> DataFrame:
+    """doc_id, rule_set, rule_id, actual, required and pass of every rule that is on.
+
+    refs: with origin. as_of: doc_id, as_of_year. statuses: registry results; without any for a document that rule fails with a null
+    actual. Every document meets every rule set after references are summed up, so only that result has a row for each of both.
+    """
+    few = rules.limit(MOST_RULE_SETS + 1).count() <= MOST_RULE_SETS
+    r = reference_summary(refs, as_of, statuses).crossJoin(F.broadcast(rules) if few else rules)
+    counted = lambda p: F.aggregate(F.filter("kinds", p), F.lit(0).cast("long"), lambda n, k: n + k["n"])
     share = lambda part, whole: F.when(whole > 0, js_round(100.0 * part / whole, 1)).otherwise(0.0)
-    n = F.count(F.lit(1))
-    settings = ["min_count", "years", "years_min_pct", "source_type", "type_min_pct", "intl_min_pct", "registry_min_pct"]
-    rows = r.select("doc_id", "rule_set", *[rules[c].alias(f"rule_{c}") for c in settings], y.alias("y"), "as_of_year", refs["source_type"].alias("st"), "origin", "status")
-    g = rows.groupBy("doc_id", "rule_set", *[f"rule_{c}" for c in settings]).agg(
-        n.alias("n"), share(F.count_if(F.col("y") >= F.col("as_of_year") - F.col("rule_years")), F.count("y")).alias("recent"), share(F.count_if(F.col("st") == F.col("rule_source_type")), n).alias("typed"),
-        share(F.count_if(F.col("origin") == "international"), n).alias("intl"), F.when(F.count("status") > 0, share(F.count_if(F.col("status").isin("SCOPUS", "SCOPUS_SOURCE_ONLY")), n)).alias("listed"),
-    )
-    checks = [("min_count", F.col("n").cast("double"), "rule_min_count"), ("year_range", F.col("recent"), "rule_years_min_pct"), ("source_type", F.col("typed"), "rule_type_min_pct"), ("origin", F.col("intl"), "rule_intl_min_pct"), ("registry", F.col("listed"), "rule_registry_min_pct")]
+    n = counted(lambda k: F.lit(True))
+    recent = share(counted(lambda k: k["y"] >= F.col("as_of_year") - F.col("years")), counted(lambda k: k["y"].isNotNull()))
+    listed = F.when(counted(lambda k: k["status"].isNotNull()) > 0, share(counted(lambda k: k["status"].isin("SCOPUS", "SCOPUS_SOURCE_ONLY")), n))
+    checks = [
+        ("min_count", n.cast("double"), "min_count"), ("year_range", recent, "years_min_pct"), ("source_type", share(counted(lambda k: k["st"] == F.col("source_type")), n), "type_min_pct"),
+        ("origin", share(counted(lambda k: k["intl"]), n), "intl_min_pct"), ("registry", listed, "registry_min_pct"),
+    ]
     made = F.array(*[F.when(F.col(need).isNotNull(), F.struct(F.lit(k).alias("rule_id"), actual.alias("actual"), F.col(need).cast("double").alias("required"))) for k, actual, need in checks])
-    return g.select("doc_id", "rule_set", F.explode(F.array_compact(made)).alias("c")).select("doc_id", "rule_set", "c.*", F.coalesce(F.col("c.actual") >= F.col("c.required"), F.lit(False)).alias("pass"))
+    return r.select("doc_id", "rule_set", F.explode(F.array_compact(made)).alias("c")).select("doc_id", "rule_set", "c.*", F.coalesce(F.col("c.actual") >= F.col("c.required"), F.lit(False)).alias("pass"))
 
 
 def rule_summary(docs: DataFrame, checks: DataFrame) -> DataFrame:
