@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.common import forget, slices, small_side, written
 from foliospark.llm.components import components
-from foliospark.llm.suffix_dedup import mixed, prefix_hashes, range_hash
+from foliospark.llm.suffix_dedup import BASES, PIECE, mixed, prefix_hashes, range_hash
 
 BANDS, ROWS = 8, 2
 #: Shingles that this many sets hold count as frequent. Tasks are told those of largest count one by one, at most so many (2 MB),
@@ -52,17 +52,57 @@ NEAREST_ROUNDS = 1
 _MULTIPLIERS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
+def _blank(data: np.ndarray) -> np.ndarray:
+    return (data == 32) | ((data >= 9) & (data <= 13))
+
+
+def _plain_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word of lower-case bytes that end in a blank, and where each begins."""
+    blank = _blank(data)
+    begin, end = np.flatnonzero(~blank & np.r_[True, blank[:-1]]), np.flatnonzero(blank & np.r_[False, ~blank[:-1]])
+    return range_hash(prefix_hashes(data), begin, end), begin
+
+
+def _long_hash(word: np.ndarray) -> np.ndarray:
+    """The same hash of one word that is longer than a piece: sums of its blocks, each times the power its place asks for."""
+    total, base = 0, int(BASES[0])
+    for at in range(0, len(word), PIECE):
+        total += int(prefix_hashes(word[at : at + PIECE])[-1]) * pow(base, at, 1 << 64)
+    return mixed(np.array([total % (1 << 64)], dtype=np.uint64))
+
+
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word of UTF-8 bytes that end in a blank, A-Z lower-case, and where each begins.
+
+    Long bytes are hashed in pieces of some ``PIECE`` that end at blanks, so no more than a piece is held in wider numbers.
+    """
+    data = np.frombuffer(raw, dtype=np.uint8)
+    lower = lambda x: np.where((x >= 65) & (x <= 90), x + np.uint8(32), x)
+    if len(data) <= PIECE:
+        return _plain_hashes(lower(data))
+    hashes, begins, at = [], [], 0
+    while at < len(data):
+        stop = min(len(data), at + PIECE)
+        ends = np.flatnonzero(_blank(data[at:stop]))
+        if len(ends):
+            stop = at + int(ends[-1]) + 1
+            h, b = _plain_hashes(lower(data[at:stop]))
+        else:  # one word goes on beyond the piece
+            while not _blank(data[stop - 1 : stop]).any():
+                more = np.flatnonzero(_blank(data[stop : stop + PIECE]))
+                stop = stop + int(more[0]) + 1 if len(more) else min(len(data), stop + PIECE)
+            h, b = _long_hash(lower(data[at : stop - 1])), np.zeros(1, dtype=np.int64)
+        hashes.append(h)
+        begins.append(b + at)
+        at = stop
+    return np.concatenate(hashes), np.concatenate(begins)
+
+
 def shingle_sets(texts: list[str], width: int = 5) -> list[np.ndarray]:
     """The ordered distinct shingle hashes of each text."""
-    joined = b"\n".join(t.encode("utf-8", "surrogatepass") for t in texts) + b"\n"
-    data = np.frombuffer(joined, dtype=np.uint8)
-    data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
-    ends_of_texts = np.cumsum([len(t.encode("utf-8", "surrogatepass")) + 1 for t in texts])
-    blank = (data == 32) | ((data >= 9) & (data <= 13))
-    word = np.flatnonzero(~blank & np.r_[True, blank[:-1]])
-    end = np.flatnonzero(blank & np.r_[False, ~blank[:-1]])
-    hashes = range_hash(prefix_hashes(data), word, end)
-    owner = np.searchsorted(ends_of_texts, word, side="right")
+    parts = [t.encode("utf-8", "surrogatepass") + b"\n" for t in texts]
+    hashes, word = word_hashes(b"".join(parts))
+    owner = np.searchsorted(np.cumsum([len(p) for p in parts]), word, side="right")
     n_words = np.bincount(owner, minlength=len(texts))
     first = np.cumsum(n_words) - n_words
     rolled = np.zeros(max(0, len(word) - width + 1), dtype=np.uint64)

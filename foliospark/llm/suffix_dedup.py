@@ -36,18 +36,20 @@ from foliospark.llm.common import written
 
 BASES = (np.uint64(0x9E3779B97F4A7C55), np.uint64(0xC2B2AE3D27D4EB4F))
 PIECE = 1 << 19
+KEPT_POWERS = PIECE + 1024
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 to n of a base and of its inverse modulo 2**64."""
+    """Powers 0 to n of a base and of its inverse modulo 2**64. Those that a piece needs are kept for the life of a worker, more aren't."""
     have = _POWERS.get(which)
     if have is None or len(have[0]) <= n:
-        size = 1 << int(n).bit_length()
+        size = 1 << int(n).bit_length() if n <= KEPT_POWERS else n
         base = BASES[which]
         inverse = np.uint64(pow(int(base), -1, 1 << 64))
         have = tuple(np.cumprod(np.r_[np.uint64(1), np.full(size, b, dtype=np.uint64)]) for b in (base, inverse))
-        _POWERS[which] = have
+        if n <= KEPT_POWERS:
+            _POWERS[which] = have
     return have
 
 
