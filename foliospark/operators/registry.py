@@ -1,7 +1,9 @@
 """References against registries: documents, journals with coverage, proceedings, DOI metadata.
 
-Tiers run in order and each sees only what the one before left. The similarity tier blocks on title words in a shuffle join; pairs are
-made distinct before they are scored.
+Tiers run in order and each sees only what the one before left. The similarity tier comes in two ways. ``metadata_matches`` blocks on title words
+in a shuffle join, which misses pairs whose long words all differ. ``exact_metadata_matches`` finds every pair of a least score: what authors,
+years, journals and pages can give at most leaves a least similarity of titles, for which two titles must share one of their rarest
+bigrams. ``doi_candidates`` asks the same join for ever lower scores until the k best of a reference are sure.
 """
 
 from __future__ import annotations
@@ -9,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.functions.text import compare_author, compare_volume_pages, compare_year, dice_bigram, leading_int, normalize_doi, normalize_isbn, normalize_issn, normalize_title, year_covered
+from foliospark.functions.text import compare_author, compare_volume_pages, compare_year, dice_bigram, leading_int, normalize_doi, normalize_isbn, normalize_issn, normalize_title, surname, year_covered
+from foliospark.session import settled
 
 FOUND, PROBABLE, SOURCE_ONLY, UNKNOWN = "SCOPUS", "PROBABLE_SCOPUS", "SCOPUS_SOURCE_ONLY", "UNKNOWN"
 SURE, LIKELY = 0.93, 0.80
@@ -40,16 +43,107 @@ def _scored(refs: DataFrame, documents: DataFrame) -> DataFrame:
     return pairs.join(mine, ["doc_id", "line_no"]).join(reg.select("rid", *[F.col(c).alias(f"r_{c}") for c in names]), "rid")
 
 
-def metadata_matches(refs: DataFrame, documents: DataFrame) -> DataFrame:
-    """doc_id, line_no, confidence and the registry document of the best candidate of each reference."""
+WEIGHTS = {"title": 0.60, "author": 0.15, "journal": 0.10, "year": 0.10, "place": 0.05}
+
+
+def _metadata_score() -> Column:
     pages, r_pages = F.coalesce(F.nullif("pages", F.lit("")), "article_number"), F.coalesce(F.nullif("r_pages", F.lit("")), "r_article_number")
-    score = (
+    return (
         0.60 * dice_bigram("title", "r_title") + 0.15 * compare_author("first_author", "r_first_author") + 0.10 * dice_bigram("journal", "r_journal")
         + 0.10 * compare_year("year", "r_year") + 0.05 * compare_volume_pages("volume", pages, "r_volume", r_pages)
     )
+
+
+def _best(rows: DataFrame) -> DataFrame:
     best = F.max_by(F.struct("score", F.col("r_doi").alias("doi"), F.col("r_title").alias("title")), F.struct("score", F.col("rid")))
-    rows = _scored(refs, documents).withColumn("score", score).groupBy("doc_id", "line_no").agg(best.alias("b"))
-    return rows.select("doc_id", "line_no", F.col("b.score").alias("confidence"), F.col("b.doi").alias("matched_doi"), F.col("b.title").alias("matched_title"))
+    found = rows.groupBy("doc_id", "line_no").agg(best.alias("b"))
+    return found.select("doc_id", "line_no", F.col("b.score").alias("confidence"), F.col("b.doi").alias("matched_doi"), F.col("b.title").alias("matched_title"))
+
+
+def metadata_matches(refs: DataFrame, documents: DataFrame) -> DataFrame:
+    """doc_id, line_no, confidence and the registry document of the best candidate of each reference, among those that share a long title word."""
+    return _best(_scored(refs, documents).withColumn("score", _metadata_score()))
+
+
+def title_grams(rows: DataFrame, key: str, title: str = "title") -> DataFrame:
+    """key, token and n of every bigram of a normalised title; bigrams that come again are numbered, so shared tokens count as Dice counts them."""
+    grams = rows.select(key, normalize_title(title).alias("t")).where(F.length("t") >= 3).select(key, F.posexplode(F.transform(F.sequence(F.lit(1), F.length("t") - 1), lambda i: F.substring(F.col("t"), i, F.lit(2)))).alias("at", "gram"))
+    again = F.row_number().over(Window.partitionBy(key, "gram").orderBy("at"))
+    return grams.select(key, F.struct("gram", again.alias("again")).alias("token")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(key)))
+
+
+#: Entries of one token that a task is to meet at most on the side of references; tokens of more are dealt out by salt.
+SPREAD = 20_000
+
+
+def gram_entries(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides' tokens (key, token, n, place, salts): ``place`` counts a title's tokens from the rarest over both sides on."""
+    sides = [title_grams(left, "lid"), title_grams(right, "rid")]
+    often = sides[0].select("token").unionByName(sides[1].select("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+    out = []
+    for rows, key in zip(sides, ("lid", "rid"), strict=True):
+        ranked = rows.join(often, "token").withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("c", "token")))
+        out.append(ranked.withColumn("salts", F.ceil(F.col("c") / SPREAD).cast("int")).drop("c"))
+    return out[0], out[1]
+
+
+def similar_titles(left: DataFrame, right: DataFrame, least: float, years: tuple[int, ...] | None) -> DataFrame:
+    """Distinct (lid, rid) of all pairs whose titles have a Dice similarity of ``least`` (above 0), and some others.
+
+    left, right: entries with lid or rid and y. ``years``: only pairs whose year differs by one of these; None: all pairs. With o shared tokens of n
+    and m, Dice is 2 * o / (n + m); so o is at least n * least / (2 - least), and of both titles one of the first n - o + 1 tokens is shared, in
+    any one order. At the first shared one, what follows on either side bounds o.
+    """
+    ratio = least / (2.0 - least)
+    prefix = lambda rows: rows.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * ratio - 1e-9) + 1)
+    a = prefix(left).select("lid", "token", F.col("n").alias("ln"), F.col("place").alias("lp"), F.col("y").alias("ly"), F.pmod(F.xxhash64("lid"), F.col("salts")).alias("salt"))
+    b = prefix(right).select("rid", "token", F.col("n").alias("rn"), F.col("place").alias("rp"), F.col("y").alias("ry"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1).cast("array<long>")).alias("salt"))
+    keys = ["token", "salt"]
+    if years is not None:
+        a = a.where("ly is not null").withColumn("ry", F.explode(F.array(*[F.col("ly") + d for d in years])))
+        keys.append("ry")
+    else:
+        b = b.drop("ry")
+    need = least * (F.col("ln") + F.col("rn")) / 2 - 1e-9
+    met = a.join(b, keys).where((F.least("ln", "rn") >= ratio * F.greatest("ln", "rn") - 1e-9) & (1 + F.least(F.col("ln") - F.col("lp"), F.col("rn") - F.col("rp")) >= need))
+    return met.select("lid", "rid").distinct()
+
+
+NAMES = ["doi", "title", "first_author", "journal", "year", "volume", "pages", "article_number"]
+
+
+def _keyed(refs: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """References with lid and y, and distinct registry rows with rid and y."""
+    left = refs.select("doc_id", "line_no", *NAMES).withColumn("lid", F.struct("doc_id", "line_no")).withColumn("y", leading_int("year"))
+    right = documents.select(*NAMES).distinct().withColumn("rid", F.xxhash64(*NAMES)).withColumn("y", leading_int("year"))
+    return left, right
+
+
+def _joined(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    return pairs.join(left.drop("y"), "lid").join(right.select("rid", *[F.col(c).alias(f"r_{c}") for c in NAMES]), "rid")
+
+
+def exact_metadata_matches(refs: DataFrame, documents: DataFrame, least: float = LIKELY) -> DataFrame:
+    """As ``metadata_matches``, over all pairs: the best registry document of each reference that has one of score ``least`` or more.
+
+    Registry rows are told apart by what they can give beside the title (no author, journal or volume and pages: nothing for these), pairs by
+    equal years, neighbouring ones and others. Each such class has a least title similarity of its own; a class in which it is above 1 isn't looked at.
+    """
+    left, right = _keyed(refs, documents)
+    has = lambda *cs: F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in cs]).isNotNull()
+    give = lambda kind, *cs: F.when(has(*cs), WEIGHTS[kind]).otherwise(0.0)
+    right = right.withColumn("most", F.round(give("author", "first_author") + give("journal", "journal") + give("place", "volume", "pages", "article_number"), 2))
+    lefts, rights = gram_entries(left, right)
+    lefts, rights = settled(lefts.join(left.select("lid", "y"), "lid")), settled(rights.join(right.select("rid", "y", "most"), "rid"))
+    same = left.select("lid", normalize_title("title").alias("t")).where("t <> ''").join(right.select("rid", normalize_title("title").alias("t")), "t").select("lid", "rid")
+    pairs = same
+    for most in sorted(r["most"] for r in right.select("most").distinct().collect()):
+        for years, share in (((0,), 1.0), ((-1, 1), 0.5), (None, 0.0)):
+            title = (least - most - WEIGHTS["year"] * share) / WEIGHTS["title"]
+            if title <= 1.0 + 1e-9:
+                pairs = pairs.unionByName(similar_titles(lefts, rights.where(F.col("most") == most), min(1.0, max(title, 0.01)), years))
+    rows = _joined(pairs.distinct(), left, right).withColumn("score", _metadata_score())
+    return _best(rows.where(F.col("score") >= least - 1e-9))
 
 
 def source_matches(refs: DataFrame, sources: DataFrame) -> DataFrame:
@@ -70,11 +164,11 @@ def proceedings_matches(refs: DataFrame, proceedings: DataFrame, isbn: str = "is
     return refs.withColumn("k", normalize_isbn(isbn)).join(known, "k").select("doc_id", "line_no", "p.*")
 
 
-def registry_matches(refs: DataFrame, documents: DataFrame, sources: DataFrame) -> DataFrame:
-    """doc_id, line_no, status, confidence, method, matched_title and discontinued_warning of every reference."""
+def registry_matches(refs: DataFrame, documents: DataFrame, sources: DataFrame, exact: bool = False) -> DataFrame:
+    """doc_id, line_no, status, confidence, method, matched_title and discontinued_warning of every reference; ``exact``: similarity over all pairs."""
     first = doi_matches(refs, documents).withColumn("tier1", F.lit(True))
     rest = refs.join(first.select("doc_id", "line_no"), ["doc_id", "line_no"], "left_anti")
-    second = metadata_matches(rest, documents).select("doc_id", "line_no", "confidence", F.col("matched_title").alias("meta_title"))
+    second = (exact_metadata_matches if exact else metadata_matches)(rest, documents).select("doc_id", "line_no", "confidence", F.col("matched_title").alias("meta_title"))
     third = source_matches(rest, sources)
     rows = refs.select("doc_id", "line_no").join(first.select("doc_id", "line_no", "tier1", "matched_title"), ["doc_id", "line_no"], "left")
     rows = rows.join(second, ["doc_id", "line_no"], "left").join(third, ["doc_id", "line_no"], "left")
@@ -97,7 +191,7 @@ def doi_status(refs: DataFrame, works: DataFrame, known_from: int | None = None,
 
     no_doi (not where the source type has none), unverified (the year lies outside the snapshot), not_found, mismatch, valid.
     """
-    w = works.groupBy(normalize_doi("doi").alias("k")).agg(F.max(F.struct("title", work_years().alias("years"), F.col("authors")[0]["family"].alias("family"))).alias("w"))
+    w = works.groupBy(normalize_doi("doi").alias("k")).agg(F.max(F.struct("title", work_years().alias("years"), F.get("authors", F.lit(0))["family"].alias("family"))).alias("w"))
     rows = refs.withColumn("k", normalize_doi("doi")).join(w, "k", "left")
     y = leading_int("year")
     title_ok = F.col("w.title").isNull() | F.col("title").isNull() | (dice_bigram("title", "w.title") > 0.6)
@@ -114,11 +208,80 @@ def doi_status(refs: DataFrame, works: DataFrame, known_from: int | None = None,
     return rows.select("doc_id", "line_no", status.alias("status"), flag(title_ok).alias("title_ok"), flag(year_ok).alias("year_ok"), flag(author_ok).alias("author_ok"))
 
 
-def doi_candidates(refs: DataFrame, works: DataFrame, k: int = 5) -> DataFrame:
-    """The k best DOI candidates of references without one, rank from 1: .60 title, .25 author, .15 year; what is missing counts half."""
-    docs = works.select("doi", "title", F.col("authors")[0]["family"].alias("first_author"), F.lit(None).cast("string").alias("journal"), F.get(work_years(), F.lit(0)).cast("string").alias("year"), *[F.lit(None).cast("string").alias(c) for c in ("volume", "pages", "article_number")])
+#: Scores down to which the k best DOI candidates are looked for in turn.
+LEVELS = (0.9, 0.8, 0.7, 0.6, 0.5, 0.4)
+
+
+def _candidate_score() -> Column:
     half = lambda a, b, s: F.when(F.col(a).isNull() | F.col(b).isNull(), F.lit(0.5)).otherwise(s)
-    score = 0.60 * dice_bigram("title", "r_title") + 0.25 * half("first_author", "r_first_author", compare_author("first_author", "r_first_author")) + 0.15 * half("year", "r_year", compare_year("year", "r_year"))
-    rows = _scored(refs.where("doi is null"), docs).withColumn("score", score)
-    w = Window.partitionBy("doc_id", "line_no").orderBy(F.desc("score"), "r_doi")
-    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("doc_id", "line_no", "rank", F.col("r_doi").alias("doi"), F.col("r_title").alias("title"), "score")
+    return 0.60 * dice_bigram("title", "r_title") + 0.25 * half("first_author", "r_first_author", compare_author("first_author", "r_first_author")) + 0.15 * half("year", "r_year", compare_year("year", "r_year"))
+
+
+def _by_author_and_year(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
+    """(lid, rid) that hold the k best pairs among those whose titles share nothing.
+
+    Without a title, a score depends on author and year alone; so of the works of one author and year, the k of smallest DOI are enough. They
+    are kept for every author, no author and any author, each with every year, no year and any year. A reference looks up its
+    authors (those whose names share a bigram with its own) and years (its own, both neighbours, none, any).
+    """
+    name = lambda: F.when(F.col("first_author").isNull(), F.lit("\u0000")).otherwise(surname("first_author"))
+    any_, none = "\u0001", "\u0000"
+    year = lambda c: F.coalesce(c.cast("string"), F.lit(none))
+    w = right.select("rid", "doi", F.explode(F.array_distinct(F.array(name(), F.lit(any_)))).alias("who"), year(F.col("y")).alias("own"))
+    w = w.select("rid", "doi", "who", F.explode(F.array("own", F.lit(any_))).alias("when"))
+    few = w.withColumn("n", F.row_number().over(Window.partitionBy("who", "when").orderBy("doi", "rid"))).where(F.col("n") <= k).select("who", "when", "rid")
+    names = lambda df: df.where("first_author is not null").select(surname("first_author").alias("name")).distinct()
+    grams = lambda df, key: title_grams(df.withColumn(key, F.col("name")), key, "name").select(key, F.col("token.gram").alias("gram")).distinct()
+    alike = grams(names(left), "mine").join(grams(names(right), "who"), "gram").select("mine", "who").distinct()
+    mine = left.select("lid", name().alias("mine"), F.explode(F.array_distinct(F.array(year(F.col("y")), year(F.col("y") - 1), year(F.col("y") + 1), F.lit(none), F.lit(any_)))).alias("when"))
+    fixed = mine.select("lid", "when", F.explode(F.array_distinct(F.array("mine", F.lit(none), F.lit(any_)))).alias("who"))
+    return fixed.unionByName(mine.join(alike, "mine").select("lid", "when", "who")).join(few, ["who", "when"]).select("lid", "rid").distinct()
+
+
+def doi_candidates(refs: DataFrame, works: DataFrame, k: int = 5, least: float = 0.0) -> DataFrame:
+    """The k best DOI candidates of references without one, rank from 1: .60 title, .25 author, .15 year; what is missing counts half. Ties: by DOI.
+
+    Over all pairs. In turn for each of ``LEVELS``, all pairs of such a score are found by the titles that it asks for (with equal, neighbouring or
+    other years); references whose k-th candidate reaches it are finished, and only the others go on. Those left at the end are compared with
+    all works that share a bigram, and with the best ones by author and year. ``least`` ends the search early: candidates below it aren't
+    given; a corpus with many references that have no match should set it.
+    """
+    docs = works.select("doi", "title", F.get("authors", F.lit(0))["family"].alias("first_author"), F.lit(None).cast("string").alias("journal"), F.get(work_years(), F.lit(0)).cast("string").alias("year"), *[F.lit(None).cast("string").alias(c) for c in ("volume", "pages", "article_number")])
+    left, right = _keyed(refs.where("doi is null"), docs)
+    lefts, rights = gram_entries(left, right)
+    lefts, rights = settled(lefts.join(left.select("lid", "y"), "lid")), settled(rights.join(right.select("rid", "y"), "rid"))
+    top = Window.partitionBy("lid").orderBy(F.desc("score"), "r_doi", "rid")
+
+    def ranked(pairs: DataFrame) -> DataFrame:
+        rows = _joined(pairs.distinct(), left, right).withColumn("score", _candidate_score()).where(F.col("score") >= least - 1e-12)
+        return rows.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).select("doc_id", "line_no", "lid", "rank", F.col("r_doi").alias("doi"), F.col("r_title").alias("title"), "score")
+
+    done: list[DataFrame] = []
+    open_ = settled(left.select("lid", normalize_title("title").alias("t")))
+    titles = settled(right.select("rid", normalize_title("title").alias("t")).where("t <> ''"))
+    # Years that aren't known count half on either side, as neighbouring ones do.
+    for level in [x for x in LEVELS if x > least] + [least]:
+        mine = lefts.join(open_.select("lid"), "lid", "left_semi")
+        pairs = open_.where("t <> ''").join(titles, "t").select("lid", "rid")
+        last = level == least
+        if last and least < LEVELS[-1]:
+            pairs = pairs.unionByName(similar_titles(mine, rights, 1e-6, None))
+            pairs = pairs.unionByName(_by_author_and_year(left.join(open_.select("lid"), "lid", "left_semi"), right, k))
+        else:
+            unknown = [(mine.where("y is null"), rights), (mine, rights.where("y is null"))]
+            for share, sides, years in [(0.15, [(mine, rights)], (0,)), (0.075, [(mine, rights)], (-1, 1)), (0.075, unknown, None), (0.0, [(mine, rights)], None)]:
+                title = (level - 0.25 - share) / 0.60
+                if title <= 1.0 + 1e-9:
+                    for a, b in sides:
+                        pairs = pairs.unionByName(similar_titles(a, b, min(1.0, max(title, 1e-6)), years))
+        found = settled(ranked(pairs))
+        if last:
+            done.append(found)
+            break
+        sure = settled(found.where((F.col("rank") == k) & (F.col("score") > level + 1e-9)).select("lid"))
+        done.append(found.join(sure, "lid", "left_semi"))
+        open_ = settled(open_.join(sure, "lid", "left_anti"))
+    out = done[0]
+    for rows in done[1:]:
+        out = out.unionByName(rows)
+    return out.select("doc_id", "line_no", "rank", "doi", "title", "score")
