@@ -62,10 +62,7 @@ words = st.lists(st.sampled_from(["a", "b", "cc", "d d", "e\n"]), max_size=8)
 
 @settings(max_examples=80, deadline=None)
 @given(words, words)
-def test_diff_gives_both_versions_back(old, new):
-    rows = diff.align(old, new)
-    assert sorted(a for _, a, _ in rows if a is not None) == list(range(len(old)))
-    assert sorted(b for _, _, b in rows if b is not None) == list(range(len(new)))
+def test_scripts_give_both_versions_back(old, new):
     script = diff.edit_script(" ".join(old), " ".join(new))
     assert "".join(t for k, t in script if k != "add") == " ".join(old)
     assert "".join(t for k, t in script if k != "del") == " ".join(new)
