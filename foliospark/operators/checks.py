@@ -15,14 +15,47 @@ from foliospark.operators.refs import surname_of_ref
 
 ISSUE = ["doc_id", "issue_code", "severity", "code", "correction"]
 
-# Titles of issues by language and code; others show their code.
-MESSAGES = [
-    ("en", "NUM_DANGLING", "Number not in the reference list"), ("en", "REF_UNCITED", "Reference not cited"), ("en", "CITATION_NOT_IN_LIST", "Citation not in the reference list"), ("en", "POSSIBLE_MISMATCH", "Possible mismatch"),
-    ("en", "ET_AL_MISSING", "et al. is missing"), ("en", "ET_AL_UNNEEDED", "et al. is not needed"), ("en", "WRONG_SEPARATOR", "Wrong separator between authors"), ("en", "LIST_NOT_ALPHABETICAL", "Reference list is not alphabetical"),
-    ("en", "GROUP_NOT_ALPHABETICAL", "Citations in one group are not alphabetical"), ("en", "METADATA_INCOMPLETE", "Metadata incomplete"), ("en", "LONG_AUTHOR_LIST", "Long author list"), ("en", "NUM_ORDER_MISMATCH", "References are not in order of citation"),
-    ("en", "NUM_NOT_SEQUENTIAL", "Numbers are not sequential"), ("en", "NUM_LABEL_MISSING", "Number missing"), ("id", "NUM_DANGLING", "Nomor tidak ada di daftar referensi"), ("id", "REF_UNCITED", "Referensi tidak disitasi"),
-    ("id", "CITATION_NOT_IN_LIST", "Sitasi tidak ada di daftar referensi"), ("id", "LIST_NOT_ALPHABETICAL", "Daftar referensi tidak alfabetis"),
-]
+# Titles of issues by code, in English and Indonesian; others show their code.
+TITLES = {
+    "NUM_LABEL_MISSING": ("Number missing", "Nomor tidak ada"),
+    "NUM_DANGLING": ("Number not in the reference list", "Nomor tidak ada di daftar referensi"),
+    "NUM_NOT_SEQUENTIAL": ("Numbers are not sequential", "Nomor tidak berurutan"),
+    "NUM_ORDER_MISMATCH": ("References are not in order of citation", "Urutan referensi tidak sesuai urutan sitasi"),
+    "REF_UNCITED": ("Reference not cited", "Referensi tidak disitasi"),
+    "LONG_AUTHOR_LIST": ("Long author list", "Daftar penulis panjang"),
+    "COLLISION_SAME_PERSON": ("Same author and year need a and b", "Penulis dan tahun sama perlu huruf a dan b"),
+    "COLLISION_DIFFERENT_PEOPLE": ("Different authors with one surname and year", "Penulis berbeda dengan nama belakang dan tahun sama"),
+    "WRONG_SEPARATOR": ("Wrong separator between authors", "Pemisah penulis salah"),
+    "ET_AL_MISSING": ("et al. is missing", "et al. tidak ada"),
+    "ET_AL_UNNEEDED": ("et al. is not needed", "et al. tidak perlu"),
+    "GROUP_NOT_ALPHABETICAL": ("Citations in one group are not alphabetical", "Sitasi dalam satu kurung tidak alfabetis"),
+    "CITATION_NOT_IN_LIST": ("Citation not in the reference list", "Sitasi tidak ada di daftar referensi"),
+    "POSSIBLE_MISMATCH": ("Possible mismatch", "Kemungkinan tidak cocok"),
+    "CITATION_AMBIGUOUS": ("Citation fits several references", "Sitasi cocok dengan beberapa referensi"),
+    "ACRONYM_BEFORE_FULL": ("Acronym before its full name", "Singkatan sebelum nama lengkap"),
+    "LIST_NOT_ALPHABETICAL": ("Reference list is not alphabetical", "Daftar referensi tidak alfabetis"),
+    "DUPLICATE_DOI": ("Same DOI in several references", "DOI sama pada beberapa referensi"),
+    "DUPLICATE_TITLE": ("References are nearly the same", "Referensi hampir sama"),
+    "AMBIGUOUS_YEAR": ("Same author and year without a letter", "Penulis dan tahun sama tanpa huruf"),
+    "MIXED_STYLE": ("Citation styles are mixed", "Gaya sitasi bercampur"),
+    "METADATA_INCOMPLETE": ("Metadata incomplete", "Metadata tidak lengkap"),
+    "FORMAT_NO_SPACE_BEFORE_PAREN": ("No space before the parenthesis", "Tidak ada spasi sebelum kurung"),
+    "FORMAT_ET_AL_CASE": ("et al. is written wrongly", "Penulisan et al. salah"),
+    "FORMAT_MISSING_OPEN_PAREN": ("Parenthesis without a partner", "Kurung tanpa pasangan"),
+    "FORMAT_MULTIPLE_AUTHORS_BEFORE_ET_AL": ("Two names before et al.", "Dua nama sebelum et al."),
+    "FORMAT_NO_SPACE_AROUND_AMPERSAND": ("No space around &", "Tidak ada spasi di sekitar &"),
+    "FORMAT_EXTRA_SPACE_IN_PAREN": ("Space inside the parenthesis", "Spasi di dalam kurung"),
+    "FORMAT_NO_SPACE_AFTER_PAREN": ("No space after the parenthesis", "Tidak ada spasi setelah kurung"),
+    "INSTITUTION_ACRONYM_ONLY": ("Institution is only an acronym", "Lembaga hanya berupa singkatan"),
+    "ITALIC": ("Italics", "Huruf miring"),
+    "CASE": ("Capitals in the title", "Huruf besar pada judul"),
+    "DOI_NONE": ("No DOI", "Tanpa DOI"),
+    "DOI_UNVERIFIED": ("DOI cannot be verified", "DOI tidak dapat diverifikasi"),
+    "DOI_NOT_FOUND": ("DOI not found", "DOI tidak ditemukan"),
+    "DOI_MISMATCH": ("DOI valid, metadata differ", "DOI valid, metadata tidak sesuai"),
+    "DOI_VALID": ("DOI valid, metadata fit", "DOI valid & metadata sesuai"),
+}
+MESSAGES = [(lang, code, titles[k]) for code, titles in TITLES.items() for k, lang in enumerate(("en", "id"))]
 
 # Fields that references of a type need, and groups of which one is enough.
 NEEDED = {"journal-article": (["journal", "volume"], [("pages", "article_number")]), "book": (["publisher"], []), "report": (["publisher"], [])}
@@ -187,17 +220,53 @@ def span_coverage(runs: DataFrame, spans: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "para_no", "span").agg((gone("slanted") / F.nullif(gone("covered"), F.lit(0))).alias("coverage"))
 
 
+def italic_spans(refs: DataFrame) -> DataFrame:
+    """doc_id, para_no, span, start and end of what the style has a rule for: whole lines of styles without italics; title and journal of articles, title of books, title and book of chapters."""
+    rows = refs if "style_id" in refs.columns else refs.withColumn("style_id", F.lit("apa7"))
+    slanted = F.broadcast(dims.styles(refs.sparkSession)).select("style_id", "italics")
+    rows = rows.join(slanted, "style_id").select("doc_id", F.col("line_no").alias("para_no"), text_of("raw").alias("raw"), "title", "source_type", "italics")
+    rows = rows.withColumn("at", F.when(F.col("title") != "", F.nullif(F.instr("raw", F.col("title")), F.lit(0))) - 1)
+    # The journal is what stands between the title and a comma with a number; the book between the editors and its pages.
+    rows = rows.withColumn("rest", F.expr("substring(raw, at + length(title) + 1)")).withColumn("skip", F.length(F.regexp_extract("rest", "^[.\\s]+", 0)))
+    rows = rows.withColumn("journal", F.trim(F.regexp_extract(F.expr("substring(rest, skip + 1)"), "^([^,]+),\\s*\\d", 1)))
+    editors = "(?i)\\(Eds?\\.\\)\\s*,\\s*"
+    rows = rows.withColumn("behind", F.nullif(F.regexp_instr("raw", F.lit(editors)), F.lit(0)) - 1 + F.length(F.regexp_extract("raw", editors, 0)))
+    rows = rows.withColumn("book", F.regexp_replace(F.regexp_replace(F.expr("substring(raw, behind + 1)"), "(?is)\\(pp\\.\\s*\\d.*$", ""), "[,.\\s]+$", ""))
+    kind, plain = F.col("source_type"), ~F.coalesce("italics", F.lit(True))
+    span = lambda name, start, size: F.struct(F.lit(name).alias("span"), start.cast("int").alias("start"), (start + size).cast("int").alias("end"))
+    made = F.array(
+        F.when(plain & (F.trim("raw") != ""), span("whole", F.lit(0), F.length("raw"))),
+        F.when(~plain & kind.isin("journal-article", "book", "book-chapter") & F.col("at").isNotNull(), span("title", F.col("at"), F.length("title"))),
+        F.when(~plain & (kind == "journal-article") & (F.col("journal") != ""), span("journal", F.col("at") + F.length("title") + F.col("skip"), F.length("journal"))),
+        F.when(~plain & (kind == "book-chapter") & (F.col("book") != ""), span("book", F.col("behind"), F.length("book"))),
+    )
+    return rows.select("doc_id", "para_no", F.inline(F.array_compact(made)))
+
+
 def italic_issues(runs: DataFrame, refs: DataFrame) -> DataFrame:
-    """References whose journal (articles) or title (books, theses, reports) isn't in italics, 60 percent of it at least; a title of an article that is, over 40."""
-    span = lambda c: F.struct(F.lit(c).alias("span"), (F.instr("raw", F.col(c)) - 1).alias("start"), (F.instr("raw", F.col(c)) - 1 + F.length(c)).alias("end"))
-    both = F.array(*[F.when(F.col(c).isNotNull() & (F.instr("raw", F.col(c)) > 0), span(c)) for c in ("title", "journal")])
-    spans = refs.select("doc_id", F.col("line_no").alias("para_no"), F.explode(F.array_compact(both)).alias("s")).select("doc_id", "para_no", "s.*")
-    found = span_coverage(runs, spans).join(refs.select("doc_id", F.col("line_no").alias("para_no"), "source_type", "raw"), ["doc_id", "para_no"])
-    article = F.col("source_type") == "journal-article"
-    bad = (article & (F.col("span") == "journal") & (F.col("coverage") < 0.6)) | (article & (F.col("span") == "title") & (F.col("coverage") > 0.4)) | (F.col("source_type").isin("book", "thesis", "report") & (F.col("span") == "title") & (F.col("coverage") < 0.6))
+    """Names in italics to less than 60 percent that the style has in italics (journals, books), titles of articles and chapters that are to over 40, and any over 4 in a style without."""
+    spans = italic_spans(refs)
+    found = spans.join(span_coverage(runs, spans), ["doc_id", "para_no", "span"], "left").withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))
+    # Only lines that have runs say anything about italics.
+    found = found.join(runs.where(F.trim("text") != "").select("doc_id", "para_no").distinct(), ["doc_id", "para_no"], "left_semi")
+    found = found.join(refs.select("doc_id", F.col("line_no").alias("para_no"), "source_type", "raw"), ["doc_id", "para_no"])
+    slanted = F.col("span").isin("journal", "book") | ((F.col("span") == "title") & (F.col("source_type") == "book"))
+    bad = F.when(F.col("span") == "whole", F.col("coverage") > 0.04).when(slanted, F.col("coverage") < 0.6).otherwise(F.col("coverage") > 0.4)
     return issues(found.where(bad), "ITALIC", "suggestion", F.col("raw"), F.col("span"))
 
 
+#: The issue that a DOI's status gives; where no DOI is expected, none.
+DOI_ISSUES = {"no_doi": ("DOI_NONE", "info"), "unverified": ("DOI_UNVERIFIED", "warning"), "not_found": ("DOI_NOT_FOUND", "error"), "mismatch": ("DOI_MISMATCH", "warning"), "valid": ("DOI_VALID", "success")}
+
+
+def doi_issues(statuses: DataFrame, refs: DataFrame) -> DataFrame:
+    """One issue for each reference with the status of its DOI (doc_id, line_no, status), about the link or, without one, author and year."""
+    rows = statuses.join(refs.select("doc_id", "line_no", "doi", "first_author", "year"), ["doc_id", "line_no"])
+    pick = lambda k: F.coalesce(*[F.when(F.col("status") == s, F.lit(v[k])) for s, v in DOI_ISSUES.items()])
+    about = F.coalesce(F.concat(F.lit("https://doi.org/"), F.col("doi")), F.concat_ws(", ", F.coalesce("first_author", F.lit("-")), "year"))
+    return rows.where(F.col("status").isin(*DOI_ISSUES)).select("doc_id", pick(0).alias("issue_code"), pick(1).alias("severity"), about.alias("code"), F.lit(None).cast("string").alias("correction"))
+
+
 def title_case_ratio(title: Column | str) -> Column:
     """The share of the words of four letters or more, the first left out, that begin with a capital; null without such words."""
     words = F.filter(F.slice(F.split(F.trim(text_of(title)), "\\s+"), 2, 2**30), lambda w: F.regexp_replace(w, "[^\\p{L}]", "").rlike("^.{4,}$") & ~w.rlike("^\\p{Lu}+$"))

@@ -688,7 +688,7 @@ e AS (SELECT x.doc_id, x.name AS a, y.name AS b FROM t x JOIN t y ON x.doc_id =
 @query(f"""{ALIASES}, g AS (SELECT doc_id, {NAMED.format('a')} AS a, {NAMED.format('b')} AS b FROM e) SELECT doc_id, a, b, CAST(1.0 AS double) AS score FROM g WHERE a < b""")
 def m13_alias_pairs(spark, sf_dir):
     """Three names of one thing; a list of two of them, or a test of discriminant validity, keeps those two apart."""
-    return aliases(renamed_paragraphs(spark, sf_dir))[2].where("flag").select("doc_id", "a", "b", "score")
+    return aliases(renamed_paragraphs(spark, sf_dir))[2].where("flag or merge").select("doc_id", "a", "b", "score")
 
 
 @query(f"""{f}, t AS (SELECT doc_id, {TERM.format('partkey')} AS norm FROM f UNION SELECT doc_id, {TERM.format('suppkey')} FROM f),

@@ -56,3 +56,42 @@ def test_italics_and_table_evidence(spark):
     cells = spark.createDataFrame([(1, "Path coefficient", "Job Satisfaction")], "doc_id long, header string, label string")
     named = spark.createDataFrame([(1, "job satisfaction"), (1, "other term")], "doc_id long, norm string")
     assert [r["norm"] for r in terms.table_evidence(cells, named).collect()] == ["job satisfaction"]
+
+
+def test_rows_meet_terms_in_four_ways(spark):
+    cells = spark.createDataFrame(
+        [(1, "Factor Loading", "Academic Self-Regulation", ["0.8"]), (1, "CR", "Self Regulation", ["x", "0.7"]), (1, "AVE", " asr ", ["0.7"]), (1, "Path", "Brand Image", ["1"]), (1, "R²", "Brand Image", ["n/a"]), (2, "β, VIF and beta", "Total Brand Images Score", ["1"]), (2, "alpha", "  ", ["1"])],
+        "doc_id long, header string, label string, numbers array<string>",
+    )
+    named = spark.createDataFrame([(1, "academic self regulation"), (1, "active sport role"), (1, "brand image"), (2, "brand image"), (2, "job role"), (None, "x y")], "doc_id long, norm string")
+    acronyms = spark.createDataFrame([(1, "active sport role", "ASR"), (2, "job role", "ASR")], "doc_id long, norm string, acronym string")
+    got = {(r.doc_id, r.norm) for r in terms.table_evidence(cells, named, acronyms).collect()}
+    assert got == {(1, "academic self regulation"), (1, "active sport role"), (2, "brand image")}
+    only = terms.table_evidence(cells.where("trim(label) = 'Self Regulation'"), named).collect()
+    assert [r.norm for r in only] == ["academic self regulation"]
+
+
+def test_containment_equals_all_comparisons(spark):
+    import random
+
+    rng = random.Random(2)
+    inner, outer = ([(rng.randint(1, 3), "".join(rng.choice("ab ") for _ in range(rng.randint(0, n)))) for _ in range(120)] for n in (5, 14))
+    got = {tuple(r) for r in terms.contained(spark.createDataFrame(inner, "doc_id long, inner string"), spark.createDataFrame(outer, "doc_id long, outer string")).collect()}
+    assert got == {(d, a, b) for d, a in inner if a for e, b in outer if d == e and a in b}
+
+
+def test_italics_of_each_kind(spark):
+    lines = [
+        ("apa7", "Smith, J. (2020). A title. Journal X, 1(2), 3-4.", "A title", "journal-article", "Journal X", ["journal"]),
+        ("apa7", "Smith, J. (2020). A book. Publisher.", "A book", "book", "A book", ["title"]),
+        ("apa7", "Smith, J. (2020). A chapter. In K. Lee (Ed.), The Whole Book (pp. 1-9). Publisher.", "A chapter", "book-chapter", "The Whole Book", ["book"]),
+        ("vancouver", "Smith J. A title. J X. 2020;1(2):3-4.", "A title", "journal-article", "", []),
+        ("apa7", "Smith, J. (2020). A thesis. University.", "A thesis", "thesis", "A thesis", []),
+    ]
+    refs = spark.createDataFrame([(1, k, raw, title, kind, style) for k, (style, raw, title, kind, *_) in enumerate(lines)], "doc_id long, line_no int, raw string, title string, source_type string, style_id string")
+    cut = lambda k, raw, part, on: [(1, k, n, t, i) for n, (t, i) in enumerate([(raw.partition(part)[0], not on), (part, on), (raw.partition(part)[2], not on)] if part else [(raw, not on)])]
+    runs = lambda on: spark.createDataFrame([r for k, (_, raw, _, _, part, _) in enumerate(lines) for r in cut(k, raw, part, on)], "doc_id long, para_no int, run_no int, text string, italic boolean")
+    right = {(r.code, r.correction) for r in checks.italic_issues(runs(True), refs).collect()}
+    assert right == set()
+    wrong = {(r.code, r.correction) for r in checks.italic_issues(runs(False), refs).collect()}
+    assert wrong == {(lines[0][1], "journal"), (lines[0][1], "title"), (lines[1][1], "title"), (lines[2][1], "book"), (lines[2][1], "title"), (lines[3][1], "whole")}
