@@ -32,10 +32,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: cuts the lineage, survives lost executors."""
+    """``df`` written as Parquet in the shared folder and read again: cuts the lineage, survives lost executors.
+
+    Compressed by zstd, whose buffers are on the heap; those of the default codec are as large as the largest page, lie outside, and stay.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch = path
     return out
