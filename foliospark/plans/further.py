@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from foliospark.operators import checks as ck
 from foliospark.operators import citations, diff, matching, refs, registry, rules, stats, terms
 from foliospark.plans import corpus
-from foliospark.plans.queries import DATED, SQL, W, apa, apa_refs, f, numeric_issues, query, version_pairs
+from foliospark.plans.queries import DATED, KEYED, QUERIES, SQL, W, apa, apa_matches, apa_refs, f, numeric, numeric_issues, query, version_pairs
 
 # ---- spans
 
@@ -201,3 +201,72 @@ def m15_undefined(spark, sf_dir):
     p = corpus.facts(spark, sf_dir).select("doc_id", F.col("line_no").alias("para_no"), said.alias("text"))
     found = terms.mentions(p)
     return terms.undefined_terms(terms.variable_scores(found), terms.definitions(found)).select("doc_id", "norm")
+
+
+# ---- formats, maps and the cascade
+
+#: What a tail of an article does wrong, by the rest of doc_id by eight; none for 0.
+FAULTS = ("", "no_space_before_paren", "et_al_case", "missing_open_paren", "multiple_authors_before_et_al", "no_space_around_ampersand", "extra_space_in_paren", "no_space_after_paren")
+TAILS = ("(Miller, 2001) it", "(Miller, 2001) it", "(Miller Et al, 2001) it", "Miller, 2001) it", "(Miller, Ode, et al., 2001) it", "(Miller&Ode, 2001) it", "( Miller, 2001) it", "(Miller, 2001)it")
+FAULT = "CASE doc_id % 8 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(FAULTS)) + " END"
+
+
+@query(f"{f} SELECT DISTINCT doc_id, {FAULT} AS issue_type, CAST(1 AS bigint) AS n FROM f WHERE doc_id % 8 <> 0")
+def c6_format_kinds(spark, sf_dir):
+    """One malformed citation of each kind (C6 to C12) at the end of numeric articles."""
+    tail = F.element_at(F.array(*[F.lit(f" As said{'' if k == 1 else ' '}{x} holds.") for k, x in enumerate(TAILS)]), (F.col("doc_id") % 8 + 1).cast("int"))
+    found = citations.malformed_citations(numeric(spark, sf_dir).withColumn("article", F.concat("article", tail)))
+    return found.groupBy("doc_id", "issue_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+LABEL = "surname || ', ' || initial || CASE WHEN n_authors = 1 THEN '' ELSE '.' END || ', ' || year"
+
+SQL["j9_citation_map"] = f"""{KEYED}, x AS (SELECT doc_id, CASE WHEN k = 1 THEN ref_line END AS c_line, lower(surname) || ', ' || year AS cite_label, count(*) AS n FROM m GROUP BY ALL),
+r AS (SELECT doc_id, line_no, {LABEL} AS ref_label FROM ok)
+SELECT coalesce(x.doc_id, r.doc_id) AS doc_id, CAST(coalesce(c_line, line_no) AS int) AS line_no, cite_label, ref_label, coalesce(n, 0) AS times_cited, c_line IS NOT NULL AND line_no IS NOT NULL AS matched
+FROM x FULL JOIN r ON x.doc_id = r.doc_id AND x.c_line = r.line_no"""
+
+
+@query(f"{KEYED} SELECT doc_id, lower(surname) || '_' || year AS link_key, CAST(coalesce(max(first_line), -1) AS int) AS line_no, count(*) AS n FROM (SELECT c.*, g.first_line FROM c LEFT JOIN g USING (doc_id, surname, year)) z GROUP BY ALL")
+def j11_link_keys(spark, sf_dir):
+    """Citations by link key, with the first reference of that key."""
+    found = matching.links(citations.author_date_citations(apa(spark, sf_dir)), apa_refs(spark, sf_dir))
+    return found.groupBy("doc_id", "link_key").agg(F.max(F.coalesce("line_no", F.lit(-1))).alias("line_no"), F.count(F.lit(1)).alias("n"))
+
+
+SQL["j17_registry_matches"] = f"""{W}, s AS ({corpus.SOURCES}), y AS (SELECT ok.*, w.title AS known, CAST(CASE WHEN year = 'n.d.' THEN NULL ELSE year END AS int) AS y FROM ok LEFT JOIN w USING (doi)),
+l AS (SELECT y.*, s.title AS listed, discontinued, CASE WHEN s.title IS NULL THEN 'none' WHEN y IS NULL THEN 'open' WHEN (CASE WHEN coverage LIKE '%;%' THEN y BETWEEN 1995 AND 1997 OR y = 2000 ELSE y BETWEEN 1996 AND 2005 END) THEN 'open' ELSE 'late' END AS cover FROM y LEFT JOIN s ON s.title = y.journal)
+SELECT doc_id, CAST(line_no AS int) AS line_no, CASE WHEN known IS NOT NULL THEN 'SCOPUS' WHEN cover = 'open' THEN 'SCOPUS_SOURCE_ONLY' ELSE 'UNKNOWN' END AS status, CASE WHEN known IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS confidence,
+ CASE WHEN known IS NOT NULL THEN 'DOI_EXACT' WHEN cover = 'late' THEN 'JOURNAL_FOUND_YEAR_NOT_COVERED' WHEN cover = 'open' THEN 'JOURNAL_IN_SOURCE_LIST' ELSE 'NO_RELIABLE_MATCH' END AS method, coalesce(known, listed) AS matched_title,
+ known IS NULL AND cover = 'open' AND coalesce(discontinued, false) AS discontinued_warning FROM l"""
+
+
+# ---- densities, the registry rule, indicators
+
+SAID = "CASE WHEN year IS NULL OR NOT cited THEN 0 WHEN n_authors = 1 THEN 5 ELSE 7 END"
+
+
+@query(f"""{DATED}, p AS (SELECT doc_id, count(*) AS n FROM c GROUP BY ALL), w AS (SELECT doc_id, 6 + sum({SAID}) + CASE WHEN doc_id % 7 = 0 THEN 4 ELSE 0 END AS words FROM f GROUP BY doc_id)
+SELECT doc_id, floor(1000.0 * coalesce(n, 0) / words * 10 + 0.5) / 10 AS per_1000_words, floor(coalesce(n, 0) / 2.0 * 10 + 0.5) / 10 AS per_paragraph FROM w LEFT JOIN p USING (doc_id) WHERE doc_id IN (SELECT doc_id FROM ok)""")
+def a10_densities(spark, sf_dir):
+    """Citations for 1,000 words and for a paragraph; every article has two."""
+    parts = stats.citation_count(parts=citations.author_date_citations(apa(spark, sf_dir)))
+    return stats.ref_stats(apa_refs(spark, sf_dir), apa(spark, sf_dir), parts).select("doc_id", "per_1000_words", "per_paragraph")
+
+
+@query(f"""{f}, s AS (SELECT *, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN partkey % 3 = 0 THEN 'SCOPUS' WHEN partkey % 3 = 1 THEN 'SCOPUS_SOURCE_ONLY' ELSE 'UNKNOWN' END AS st FROM ok),
+g AS (SELECT doc_id, count(*) AS n, count(st) AS known, count(*) FILTER (WHERE st LIKE 'SCOPUS%') AS good FROM s GROUP BY ALL), a AS (SELECT doc_id, CASE WHEN known > 0 THEN floor(1000.0 * good / n + 0.5) / 10 END AS actual FROM g)
+SELECT doc_id, v.name AS rule_set, 'registry' AS rule_id, actual, v.least AS required, coalesce(actual >= v.least, false) AS pass FROM a, (VALUES ('half', 50.0::DOUBLE), ('most', 80.0::DOUBLE)) v(name, least)""")
+def a20_registry_rule(spark, sf_dir):
+    """The share of references that the registry knows, under two rule sets; every fifth document has no results and fails."""
+    third = F.col("partkey") % 3
+    statuses = corpus.facts(spark, sf_dir).where("doc_id % 5 <> 0").select("doc_id", F.col("line_no").cast("int").alias("line_no"), F.when(third == 0, "SCOPUS").when(third == 1, "SCOPUS_SOURCE_ONLY").otherwise("UNKNOWN").alias("status"))
+    sets = spark.createDataFrame([("half", None, None, None, None, None, None, 50.0), ("most", None, None, None, None, None, None, 80.0)], "rule_set string, min_count int, years int, years_min_pct double, source_type string, type_min_pct double, intl_min_pct double, registry_min_pct double")
+    return rules.evaluate_rules(rules.with_origin(apa_refs(spark, sf_dir)), sets, apa(spark, sf_dir), statuses)
+
+
+@query(f"{f} SELECT doc_id, 'short video addiction' AS norm, count(DISTINCT line_no % 4) AS n_indicators FROM f GROUP BY doc_id")
+def m12_indicators(spark, sf_dir):
+    """Codes that carry the acronym of a term count as its indicators, each once; those of another acronym don't."""
+    p = corpus.facts(spark, sf_dir).select("doc_id", F.col("line_no").alias("para_no"), F.concat(F.lit("Short Video Addiction (SVA) loads on SVA"), (F.col("line_no") % 4 + 1).cast("string"), F.lit(" and on XYZ1.")).alias("text"))
+    return terms.indicator_parents(p, terms.acronym_pairs(p)).select("doc_id", "norm", "n_indicators")
