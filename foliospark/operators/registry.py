@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.functions.text import compare_author, compare_volume_pages, compare_year, dice_bigram, leading_int, normalize_doi, normalize_isbn, normalize_issn, normalize_title, surname, year_covered
+from foliospark.functions.text import compare_author, compare_volume_pages, compare_year, dice_bigram, leading_int, let, normalize_doi, normalize_isbn, normalize_issn, normalize_title, surname, year_covered
 from foliospark.session import settled
 
 FOUND, PROBABLE, SOURCE_ONLY, UNKNOWN = "SCOPUS", "PROBABLE_SCOPUS", "SCOPUS_SOURCE_ONLY", "UNKNOWN"
@@ -46,10 +46,16 @@ def _scored(refs: DataFrame, documents: DataFrame) -> DataFrame:
 WEIGHTS = {"title": 0.60, "author": 0.15, "journal": 0.10, "year": 0.10, "place": 0.05}
 
 
-def _metadata_score() -> Column:
+def _title_score() -> Column:
+    """Dice of two titles whose numbered bigrams are at hand."""
+    shared = 2.0 * F.size(F.array_intersect("grams", "r_grams")) / (F.size("grams") + F.size("r_grams"))
+    return F.when((F.col("t") != "") & (F.col("t") == F.col("r_t")), 1.0).otherwise(F.coalesce(shared, F.lit(0.0)))
+
+
+def _metadata_score(title: Column | None = None) -> Column:
     pages, r_pages = F.coalesce(F.nullif("pages", F.lit("")), "article_number"), F.coalesce(F.nullif("r_pages", F.lit("")), "r_article_number")
     return (
-        0.60 * dice_bigram("title", "r_title") + 0.15 * compare_author("first_author", "r_first_author") + 0.10 * dice_bigram("journal", "r_journal")
+        0.60 * (dice_bigram("title", "r_title") if title is None else title) + 0.15 * compare_author("first_author", "r_first_author") + 0.10 * dice_bigram("journal", "r_journal")
         + 0.10 * compare_year("year", "r_year") + 0.05 * compare_volume_pages("volume", pages, "r_volume", r_pages)
     )
 
@@ -65,11 +71,17 @@ def metadata_matches(refs: DataFrame, documents: DataFrame) -> DataFrame:
     return _best(_scored(refs, documents).withColumn("score", _metadata_score()))
 
 
+def numbered_grams(title: Column | str) -> Column:
+    """Bigrams of a normalised title as an array; those that come again are numbered, so two titles share as many as Dice counts. Null under three characters."""
+    again = lambda grams: F.transform(grams, lambda g, k: F.concat(g, F.size(F.filter(F.slice(grams, F.lit(1), k), lambda h: h == g)).cast("string")))
+    grams = lambda t: let(F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2))), again)
+    return let(normalize_title(title), lambda t: F.when(F.length(t) >= 3, grams(t)))
+
+
 def title_grams(rows: DataFrame, key: str, title: str = "title") -> DataFrame:
-    """key, token and n of every bigram of a normalised title; bigrams that come again are numbered, so shared tokens count as Dice counts them."""
-    grams = rows.select(key, normalize_title(title).alias("t")).where(F.length("t") >= 3).select(key, F.posexplode(F.transform(F.sequence(F.lit(1), F.length("t") - 1), lambda i: F.substring(F.col("t"), i, F.lit(2)))).alias("at", "gram"))
-    again = F.row_number().over(Window.partitionBy(key, "gram").orderBy("at"))
-    return grams.select(key, F.struct("gram", again.alias("again")).alias("token")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    """key, token and n (of all its tokens) of every numbered bigram of a title."""
+    found = rows.select(key, (F.col("grams") if "grams" in rows.columns else numbered_grams(title)).alias("grams"))
+    return found.select(key, F.explode("grams").alias("token"), F.size("grams").cast("long").alias("n"))
 
 
 #: Entries of one token that a task is to meet at most on the side of references; tokens of more are dealt out by salt.
@@ -113,14 +125,15 @@ NAMES = ["doi", "title", "first_author", "journal", "year", "volume", "pages", "
 
 
 def _keyed(refs: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """References with lid and y, and distinct registry rows with rid and y."""
-    left = refs.select("doc_id", "line_no", *NAMES).withColumn("lid", F.struct("doc_id", "line_no")).withColumn("y", leading_int("year"))
-    right = documents.select(*NAMES).distinct().withColumn("rid", F.xxhash64(*NAMES)).withColumn("y", leading_int("year"))
-    return left, right
+    """References with lid and distinct registry rows with rid, with year, normalised title and bigrams of both, as checkpoints."""
+    more = {"y": leading_int("year"), "t": normalize_title("title"), "grams": numbered_grams("title")}
+    left = refs.select("doc_id", "line_no", *NAMES).withColumn("lid", F.struct("doc_id", "line_no")).withColumns(more)
+    right = documents.select(*NAMES).distinct().withColumn("rid", F.xxhash64(*NAMES)).withColumns(more)
+    return settled(left), settled(right)  # both are read by every class or level
 
 
 def _joined(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    return pairs.join(left.drop("y"), "lid").join(right.select("rid", *[F.col(c).alias(f"r_{c}") for c in NAMES]), "rid")
+    return pairs.join(left.drop("y"), "lid").join(right.select("rid", *[F.col(c).alias(f"r_{c}") for c in [*NAMES, "t", "grams"]]), "rid")
 
 
 def exact_metadata_matches(refs: DataFrame, documents: DataFrame, least: float = LIKELY) -> DataFrame:
@@ -135,14 +148,14 @@ def exact_metadata_matches(refs: DataFrame, documents: DataFrame, least: float =
     right = right.withColumn("most", F.round(give("author", "first_author") + give("journal", "journal") + give("place", "volume", "pages", "article_number"), 2))
     lefts, rights = gram_entries(left, right)
     lefts, rights = settled(lefts.join(left.select("lid", "y"), "lid")), settled(rights.join(right.select("rid", "y", "most"), "rid"))
-    same = left.select("lid", normalize_title("title").alias("t")).where("t <> ''").join(right.select("rid", normalize_title("title").alias("t")), "t").select("lid", "rid")
+    same = left.select("lid", "t").where("t <> ''").join(right.select("rid", "t"), "t").select("lid", "rid")
     pairs = same
     for most in sorted(r["most"] for r in right.select("most").distinct().collect()):
         for years, share in (((0,), 1.0), ((-1, 1), 0.5), (None, 0.0)):
             title = (least - most - WEIGHTS["year"] * share) / WEIGHTS["title"]
             if title <= 1.0 + 1e-9:
                 pairs = pairs.unionByName(similar_titles(lefts, rights.where(F.col("most") == most), min(1.0, max(title, 0.01)), years))
-    rows = _joined(pairs.distinct(), left, right).withColumn("score", _metadata_score())
+    rows = _joined(pairs.distinct(), left, right).withColumn("score", _metadata_score(_title_score()))
     return _best(rows.where(F.col("score") >= least - 1e-9))
 
 
@@ -209,12 +222,12 @@ def doi_status(refs: DataFrame, works: DataFrame, known_from: int | None = None,
 
 
 #: Scores down to which the k best DOI candidates are looked for in turn.
-LEVELS = (0.9, 0.8, 0.7, 0.6, 0.5, 0.4)
+LEVELS = (0.8, 0.6, 0.4)
 
 
 def _candidate_score() -> Column:
     half = lambda a, b, s: F.when(F.col(a).isNull() | F.col(b).isNull(), F.lit(0.5)).otherwise(s)
-    return 0.60 * dice_bigram("title", "r_title") + 0.25 * half("first_author", "r_first_author", compare_author("first_author", "r_first_author")) + 0.15 * half("year", "r_year", compare_year("year", "r_year"))
+    return 0.60 * _title_score() + 0.25 * half("first_author", "r_first_author", compare_author("first_author", "r_first_author")) + 0.15 * half("year", "r_year", compare_year("year", "r_year"))
 
 
 def _by_author_and_year(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
@@ -231,7 +244,7 @@ def _by_author_and_year(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
     w = w.select("rid", "doi", "who", F.explode(F.array("own", F.lit(any_))).alias("when"))
     few = w.withColumn("n", F.row_number().over(Window.partitionBy("who", "when").orderBy("doi", "rid"))).where(F.col("n") <= k).select("who", "when", "rid")
     names = lambda df: df.where("first_author is not null").select(surname("first_author").alias("name")).distinct()
-    grams = lambda df, key: title_grams(df.withColumn(key, F.col("name")), key, "name").select(key, F.col("token.gram").alias("gram")).distinct()
+    grams = lambda df, key: title_grams(df.withColumn(key, F.col("name")), key, "name").select(key, F.substring("token", 1, 2).alias("gram")).distinct()
     alike = grams(names(left), "mine").join(grams(names(right), "who"), "gram").select("mine", "who").distinct()
     mine = left.select("lid", name().alias("mine"), F.explode(F.array_distinct(F.array(year(F.col("y")), year(F.col("y") - 1), year(F.col("y") + 1), F.lit(none), F.lit(any_)))).alias("when"))
     fixed = mine.select("lid", "when", F.explode(F.array_distinct(F.array("mine", F.lit(none), F.lit(any_)))).alias("who"))
@@ -253,12 +266,11 @@ def doi_candidates(refs: DataFrame, works: DataFrame, k: int = 5, least: float =
     top = Window.partitionBy("lid").orderBy(F.desc("score"), "r_doi", "rid")
 
     def ranked(pairs: DataFrame) -> DataFrame:
-        rows = _joined(pairs.distinct(), left, right).withColumn("score", _candidate_score()).where(F.col("score") >= least - 1e-12)
+        rows = _joined(pairs.distinct(), left, right).withColumn("score", F.round(_candidate_score(), 9)).where(F.col("score") >= least)
         return rows.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).select("doc_id", "line_no", "lid", "rank", F.col("r_doi").alias("doi"), F.col("r_title").alias("title"), "score")
 
     done: list[DataFrame] = []
-    open_ = settled(left.select("lid", normalize_title("title").alias("t")))
-    titles = settled(right.select("rid", normalize_title("title").alias("t")).where("t <> ''"))
+    open_, titles = left.select("lid", "t"), right.select("rid", "t").where("t <> ''")
     # Years that aren't known count half on either side, as neighbouring ones do.
     for level in [x for x in LEVELS if x > least] + [least]:
         mine = lefts.join(open_.select("lid"), "lid", "left_semi")

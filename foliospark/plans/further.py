@@ -58,6 +58,15 @@ def j13_exact_matches(spark, sf_dir):
     return found.select("doc_id", "line_no", F.round("confidence", 6).alias("confidence"))
 
 
+SQL["j20_doi_candidates"] = f"""{W}, {GRAMS}, {KNOWN}, a AS (SELECT DISTINCT lower(surname) AS s FROM f), b AS (SELECT s, unnest(list_transform(range(1, length(s)), lambda i: substring(s, CAST(i AS int), 2))) AS x FROM a),
+h AS (SELECT s, x, count(*) AS c FROM b GROUP BY ALL), e AS (SELECT i.s AS s, j.s AS o, 2.0 * sum(least(i.c, j.c)) / (length(i.s) + length(j.s) - 2) AS alike FROM h i JOIN h j USING (x) WHERE i.s <> j.s GROUP BY i.s, j.s),
+y AS (SELECT doc_id, line_no, partkey, lower(surname) AS s, CASE WHEN year = 'n.d.' THEN NULL ELSE CAST(year AS int) END AS y FROM ok WHERE doi IS NULL),
+c AS (SELECT y.doc_id, y.line_no, r.doi, r.title, 0.60 * coalesce(t.dice, 0) + 0.25 * CASE WHEN y.s = lower(r.family) THEN 1.0::DOUBLE ELSE coalesce(e.alike, 0) END + 0.15 * CASE WHEN y.y = r.issued THEN 1.0::DOUBLE WHEN abs(y.y - r.issued) = 1 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS score
+ FROM y CROSS JOIN r LEFT JOIN t ON t.i = y.partkey AND t.j = r.j LEFT JOIN e ON e.s = y.s AND e.o = lower(r.family)),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY round(score, 9) DESC, doi) AS rank FROM c)
+SELECT doc_id, CAST(line_no AS int) AS line_no, CAST(rank AS int) AS rank, doi, title, round(score, 6) AS score FROM k WHERE rank <= 5"""
+
+
 # ---- versions
 
 

@@ -302,7 +302,8 @@ def j18_doi_status(spark, sf_dir):
 
 @query()
 def j20_doi_candidates(spark, sf_dir):
-    return registry.doi_candidates(apa_refs(spark, sf_dir), corpus.works(spark, sf_dir))
+    """The five best works for each reference without a DOI, over all pairs."""
+    return registry.doi_candidates(apa_refs(spark, sf_dir), corpus.works(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
 # ---- statistics
