@@ -10,7 +10,8 @@ digits, the sign itself), where a word that repeats the word before it has a sha
 signs; whole texts are read, some ``STEP`` tokens at a time.
 
 Fitting uses a bounded sample: at most ``per_class`` labelled rows of each label, those of smallest hash, of at most ``longest``
-characters. Their n-gram sets are made by tasks, so two times ``per_class`` packed sets reach the driver. The label
+characters. Up to 1,000 rows a label, Spark ranks within each task first, so no more than that leave it (a larger ``per_class`` ranks all
+rows of a label in one task). Their n-gram sets are made by tasks, so two times ``per_class`` packed sets reach the driver. The label
 shares are counted over all training rows.
 
 Defined results: a null text is empty and gets the score of a text without n-grams; without rows of both labels the score is the share of
@@ -194,7 +195,7 @@ def fit(sets: list[np.ndarray], good: np.ndarray, share: float, folds: int = 3)
     return whole
 
 
-def training_sets(docs: DataFrame, labels: DataFrame, per_class: int = 1500, longest: int = 20_000) -> tuple[list[np.ndarray], np.ndarray, float]:
+def training_sets(docs: DataFrame, labels: DataFrame, per_class: int = 1000, longest: int = 20_000) -> tuple[list[np.ndarray], np.ndarray, float]:
     """The n-gram sets and labels of the bounded sample, and (good + 1) / (all + 2) over all training rows."""
     told = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most"))
     told = told.where("quality = most").where(~held_out()).select("doc_id", (F.col("quality") == 1).alias("good"))
@@ -216,7 +217,7 @@ def training_sets(docs: DataFrame, labels: DataFrame, per_class: int = 1500, lon
     return [np.frombuffer(r["found"], dtype=np.int32).astype(np.int64) for r in rows], np.array([r["good"] for r in rows], dtype=bool), share
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> QualityModel:
+def fit_on(docs: DataFrame, labels: DataFrame, per_class: int = 1000) -> QualityModel:
     sets, good, share = training_sets(docs, labels, per_class)
     if good.all() or not good.any():
         nothing = np.zeros(BUCKETS, dtype=np.float32)
