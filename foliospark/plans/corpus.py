@@ -131,3 +131,31 @@ def registry_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables(spark, sf_dir, "part")
     s = _spark_sql(spark, SOURCES)
     return s.select(F.lit(None).cast("string").alias("issn"), F.lit(None).cast("string").alias("eissn"), "title", F.lit(True).alias("active"), "coverage", F.lit("Journal").alias("source_type"), "discontinued", F.lit(0).alias("load_order"))
+
+
+#: References whose titles are names of parts with misprints, and a registry of one work for each part. Where a reference names no DOI, doi is null.
+MISPRINTS = f"""
+SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS line_no, l_partkey AS partkey,
+       CASE l_linenumber % 4 WHEN 0 THEN 'q' || substring(p_name, 2, 200) WHEN 1 THEN substring(p_name, 1, 7) || substring(p_name, 9, 200) WHEN 2 THEN p_name || ' review' ELSE p_name END AS title,
+       {_pick('l_suppkey % 8', SURNAMES)} AS surname, 1990 + l_suppkey % 10 AS y
+FROM lineitem JOIN part ON p_partkey = l_partkey"""
+PART_WORKS = f"SELECT '10.1/p' || CAST(p_partkey AS varchar(20)) AS doi, p_name AS title, {_pick('p_partkey % 8', SURNAMES)} AS family, 1990 + p_partkey % 10 AS issued FROM part"
+
+
+def misprinted_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    tables(spark, sf_dir, "lineitem", "part")
+    r = _spark_sql(spark, MISPRINTS)
+    none = F.lit(None).cast("string")
+    return r.select("doc_id", F.col("line_no").cast("int").alias("line_no"), F.when(F.col("partkey") % 5 != 0, F.concat(F.lit("10.2/"), "partkey")).alias("doi"), "title", F.concat("surname", F.lit(", A.")).alias("first_author"), none.alias("journal"), F.col("y").cast("string").alias("year"), none.alias("volume"), none.alias("pages"), none.alias("article_number"))
+
+
+def part_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The works of parts in the schema of a DOI snapshot."""
+    from pyspark.sql import functions as F
+
+    tables(spark, sf_dir, "part")
+    none = F.lit(None).cast("int")
+    w = _spark_sql(spark, PART_WORKS)
+    return w.select("doi", "title", F.array(F.struct("family", F.lit(None).cast("string").alias("given"))).alias("authors"), F.col("issued").cast("int").alias("issued"), none.alias("published"), none.alias("published_print"), none.alias("published_online"), none.alias("created"))

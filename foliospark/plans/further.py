@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from foliospark.operators import checks as ck
 from foliospark.operators import citations, diff, matching, refs, registry, rules, stats, terms
 from foliospark.plans import corpus
-from foliospark.plans.queries import DATED, KEYED, QUERIES, SQL, W, apa, apa_matches, apa_refs, f, numeric, numeric_issues, query, version_pairs
+from foliospark.plans.queries import DATED, KEYED, SQL, W, apa, apa_refs, f, numeric, numeric_issues, query, version_pairs
 
 # ---- spans
 
@@ -39,32 +39,30 @@ def j23_merged_spans(spark, sf_dir):
 
 # ---- registry over all pairs
 
-#: Titles of any part, without what doesn't differ, as bigrams with the number of each.
-GRAMS = """g AS (SELECT k, list_transform(range(1, length(t)), lambda i: substring(t, CAST(i AS int), 2)) AS l FROM (SELECT DISTINCT partkey AS k, lower(title) AS t FROM f) z),
-n AS (SELECT k, x, count(*) AS c FROM (SELECT k, unnest(l) AS x FROM g) z GROUP BY ALL), s AS (SELECT k, len(l) AS m FROM g),
-p AS (SELECT a.k AS i, b.k AS j, sum(least(a.c, b.c)) AS o FROM n a JOIN n b USING (x) GROUP BY ALL),
-t AS (SELECT i, j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 2.0 * o / (a.m + b.m) END AS dice FROM p JOIN s a ON a.k = i JOIN s b ON b.k = j)"""
-#: The work of each registry row, with the part that its title names.
-KNOWN = "r AS (SELECT w.*, CAST(replace(replace(title, 'On the use of item', ''), ' in a new way', '') AS bigint) AS j FROM w)"
+#: Dice of every title of a reference (i) and every work (doi) that share a bigram, by counts of bigrams; of names of authors too.
+ALIKE = f"""WITH m AS ({corpus.MISPRINTS}), w AS ({corpus.PART_WORKS}), n(t) AS (SELECT DISTINCT title FROM m UNION SELECT title FROM w UNION SELECT lower(surname) FROM m UNION SELECT lower(family) FROM w),
+g AS (SELECT t, unnest(list_transform(range(1, length(t)), lambda i: substring(t, CAST(i AS int), 2))) AS x FROM n), k AS (SELECT t, x, count(*) AS c FROM g GROUP BY ALL),
+p AS (SELECT a.t AS i, b.t AS j, 2.0 * sum(least(a.c, b.c)) / any_value(length(a.t) + length(b.t) - 2) AS dice FROM k a JOIN k b USING (x) GROUP BY a.t, b.t),
+s AS (SELECT m.doc_id, m.line_no, m.partkey, w.doi, w.title, CASE WHEN m.title = w.title THEN 1.0::DOUBLE ELSE t.dice END AS dice, CASE WHEN m.surname = w.family THEN 1.0::DOUBLE ELSE coalesce(e.dice, 0) END AS who,
+ CASE abs(m.y - w.issued) WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS yr FROM m JOIN p t ON t.i = m.title JOIN w ON w.title = t.j LEFT JOIN p e ON e.i = lower(m.surname) AND e.j = lower(w.family) WHERE t.dice >= 0.4)"""
 
 
-@query(f"""{W}, {GRAMS}, {KNOWN}, y AS (SELECT ok.*, CASE WHEN year = 'n.d.' THEN NULL ELSE CAST(year AS int) END AS y FROM ok),
-c AS (SELECT y.doc_id, y.line_no, 0.60 * t.dice + CASE WHEN y.surname = r.family THEN 0.15 ELSE 0 END + CASE WHEN y.y = r.issued THEN 0.10 WHEN abs(y.y - r.issued) = 1 THEN 0.05 ELSE 0 END AS score
- FROM y JOIN t ON t.i = y.partkey JOIN r ON r.j = t.j WHERE t.dice >= 0.66)
-SELECT doc_id, CAST(line_no AS int) AS line_no, round(max(score), 6) AS confidence FROM c WHERE score >= 0.8 - 1e-9 GROUP BY ALL""")
+@query(f"{ALIKE} SELECT doc_id, CAST(line_no AS int) AS line_no, round(max(0.60 * dice + 0.15 * who + 0.10 * yr), 6) AS confidence FROM s WHERE 0.60 * dice + 0.15 * who + 0.10 * yr >= 0.8 - 1e-9 GROUP BY ALL")
 def j13_exact_matches(spark, sf_dir):
-    """The best registry document by metadata over all pairs, where it reaches the score of a probable match."""
-    found = registry.exact_metadata_matches(apa_refs(spark, sf_dir), corpus.registry_documents(spark, sf_dir))
+    """The best registry document by metadata over all pairs, where it reaches the score of a probable match; titles have misprints."""
+    works = corpus.part_works(spark, sf_dir)
+    none = F.lit(None).cast("string")
+    known = works.select("doi", "title", F.get("authors", F.lit(0))["family"].alias("first_author"), none.alias("journal"), F.col("issued").cast("string").alias("year"), none.alias("volume"), none.alias("pages"), none.alias("article_number"))
+    found = registry.exact_metadata_matches(corpus.misprinted_refs(spark, sf_dir), known)
     return found.select("doc_id", "line_no", F.round("confidence", 6).alias("confidence"))
 
 
-SQL["j20_doi_candidates"] = f"""{W}, {GRAMS}, {KNOWN}, a AS (SELECT DISTINCT lower(surname) AS s FROM f), b AS (SELECT s, unnest(list_transform(range(1, length(s)), lambda i: substring(s, CAST(i AS int), 2))) AS x FROM a),
-h AS (SELECT s, x, count(*) AS c FROM b GROUP BY ALL), e AS (SELECT i.s AS s, j.s AS o, 2.0 * sum(least(i.c, j.c)) / (length(i.s) + length(j.s) - 2) AS alike FROM h i JOIN h j USING (x) WHERE i.s <> j.s GROUP BY i.s, j.s),
-y AS (SELECT doc_id, line_no, partkey, lower(surname) AS s, CASE WHEN year = 'n.d.' THEN NULL ELSE CAST(year AS int) END AS y FROM ok WHERE doi IS NULL),
-c AS (SELECT y.doc_id, y.line_no, r.doi, r.title, 0.60 * coalesce(t.dice, 0) + 0.25 * CASE WHEN y.s = lower(r.family) THEN 1.0::DOUBLE ELSE coalesce(e.alike, 0) END + 0.15 * CASE WHEN y.y = r.issued THEN 1.0::DOUBLE WHEN abs(y.y - r.issued) = 1 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS score
- FROM y CROSS JOIN r LEFT JOIN t ON t.i = y.partkey AND t.j = r.j LEFT JOIN e ON e.s = y.s AND e.o = lower(r.family)),
-k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY round(score, 9) DESC, doi) AS rank FROM c)
-SELECT doc_id, CAST(line_no AS int) AS line_no, CAST(rank AS int) AS rank, doi, title, round(score, 6) AS score FROM k WHERE rank <= 5"""
+@query(f"""{ALIKE}, c AS (SELECT doc_id, line_no, doi, title, 0.60 * dice + 0.25 * who + 0.15 * yr AS score FROM s WHERE partkey % 5 = 0), best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY round(score, 9) DESC, doi) AS rank FROM c WHERE round(score, 9) >= 0.7)
+SELECT doc_id, CAST(line_no AS int) AS line_no, CAST(rank AS int) AS rank, doi, title, round(score, 6) AS score FROM best WHERE rank <= 5""")
+def j20_doi_candidates(spark, sf_dir):
+    """The five best works, over all pairs, for each reference without a DOI; candidates of a score of .7 or more."""
+    found = registry.doi_candidates(corpus.misprinted_refs(spark, sf_dir), corpus.part_works(spark, sf_dir), least=0.7)
+    return found.withColumn("score", F.round("score", 6))
 
 
 # ---- versions

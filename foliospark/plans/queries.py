@@ -300,12 +300,6 @@ def j18_doi_status(spark, sf_dir):
     return registry.doi_status(apa_refs(spark, sf_dir), corpus.works(spark, sf_dir)).select("doc_id", "line_no", "status")
 
 
-@query()
-def j20_doi_candidates(spark, sf_dir):
-    """The five best works for each reference without a DOI, over all pairs."""
-    return registry.doi_candidates(apa_refs(spark, sf_dir), corpus.works(spark, sf_dir)).withColumn("score", F.round("score", 6))
-
-
 # ---- statistics
 
 
