@@ -82,18 +82,38 @@ FROM d
 
 
 def op9_sql() -> str:
-    known = ", ".join(f"('{s}', '{i}')" for s, i in license_scan.SENTENCES.items())
-    rules = ", ".join(f"('{name}', '{license_scan._pattern(ids)}')" for name, ids in license_scan.RULES)
-    return f"""
-WITH known(sentence, id) AS (VALUES {known}),
-rules(name, pattern) AS (VALUES {rules}),
+    quoted = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" for x in row) + ")" for row in rows)
+    least, most = (f(map(len, license_scan.SENTENCES)) for f in (min, max))
+    line = license_scan.SPDX_LINE
+    return rf"""
+WITH known(sentence, id) AS (VALUES {quoted(license_scan.SENTENCES.items())}),
+spdx(name) AS (VALUES {quoted((x,) for x in license_scan.SPDX)}),
+rules(name, pattern) AS (VALUES {quoted((name, license_scan._pattern(ids)) for name, ids in license_scan.RULES)}),
 cut AS (
-  SELECT doc_id, string_split(lower(regexp_replace(regexp_replace(coalesce(text, ''), '([.!?;:])[ \t\r\n\f]+', '\1\n', 'g'), '[^A-Za-z0-9\n]+', ' ', 'g')), chr(10)) AS s
+  SELECT doc_id, string_split(lower(regexp_replace(regexp_replace(coalesce(text, ''), '([.!?;:])[ \t\r\n\f]+', '\1' || chr(10), 'g'), '[^A-Za-z0-9\n]+', ' ', 'g')), chr(10)) AS s
   FROM documents
 ),
 parts AS (SELECT doc_id, list_filter(list_transform(s, lambda x: trim(x)), lambda x: x <> '') AS s FROM cut),
-numbered AS (SELECT doc_id, unnest(s) AS sentence, generate_subscripts(s, 1) AS k FROM parts),
-hits AS (SELECT n.doc_id, string_agg(id, ' ' ORDER BY k) AS ids FROM numbered n JOIN known USING (sentence) GROUP BY 1),
+numbered AS (SELECT doc_id, s, unnest(s) AS piece, generate_subscripts(s, 1) AS k FROM parts),
+placed AS (SELECT *, sum(length(piece) + 1) OVER (PARTITION BY doc_id ORDER BY k) AS upto FROM numbered),
+ends AS (SELECT doc_id, upto - 1 AS at FROM placed),
+opened AS (SELECT p.doc_id, p.k, p.upto - length(p.piece) AS at, substring(array_to_string(p.s[p.k:p.k + {most}], ' '), 1, {most}) AS ahead FROM placed p),
+spans AS (
+  SELECT o.doc_id, o.k, arg_max(n.id, length(n.sentence)) AS id
+  FROM opened o JOIN known n ON left(o.ahead, {least}) = left(n.sentence, {least}) AND starts_with(o.ahead, n.sentence)
+  JOIN ends e ON e.doc_id = o.doc_id AND e.at = o.at + length(n.sentence) - 1
+  GROUP BY ALL
+),
+lines AS (
+  SELECT doc_id, k, CASE WHEN piece = '{line}' THEN s[k + 1] WHEN starts_with(piece, '{line} ') THEN substring(piece, {len(line) + 2}) END AS said FROM numbered
+),
+named AS (SELECT doc_id, k, regexp_split_to_array(replace(said, ' or later', ' orlater'), ' (?:or|and) ') AS l FROM lines WHERE said IS NOT NULL),
+each AS (SELECT doc_id, k, generate_subscripts(l, 1) AS j, replace(regexp_replace(unnest(l), ' with .*$', ''), ' orlater', ' or later') AS name FROM named),
+spoken AS (
+  SELECT doc_id, k, string_agg('spdx.' || replace(e.name, ' ', '_'), ' ' ORDER BY j) AS id FROM each e LEFT JOIN spdx USING (name)
+  GROUP BY ALL HAVING count(*) = count(spdx.name)
+),
+hits AS (SELECT doc_id, string_agg(id, ' ' ORDER BY k) AS ids FROM (SELECT * FROM spans UNION ALL SELECT * FROM spoken) u GROUP BY 1),
 met AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses FROM hits JOIN rules ON regexp_matches(' ' || ids || ' ', pattern) GROUP BY 1)
 SELECT p.doc_id, CAST(len(p.s) AS BIGINT) AS n_sentences, coalesce(h.ids, '') AS sentence_ids, coalesce(m.licenses, '') AS licenses
 FROM parts p LEFT JOIN hits h USING (doc_id) LEFT JOIN met m USING (doc_id)
