@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliospark.operators import checks as ck
-from foliospark.operators import citations, diff, matching, refs, registry, rules, stats, terms
+from foliospark.operators import citations, convert, diff, matching, prep, refs, registry, rules, stats, terms
 from foliospark.plans import corpus
-from foliospark.plans.queries import DATED, KEYED, SQL, W, apa, apa_refs, f, numeric, numeric_issues, query, version_pairs
+from foliospark.plans.queries import DATED, KEYED, SQL, TERM, W, apa, apa_refs, f, numeric, numeric_issues, numeric_refs, pct, query, term_paragraphs, version_pairs
 
 # ---- spans
 
@@ -277,3 +277,107 @@ def m12_indicators(spark, sf_dir):
     """Codes that carry the acronym of a term count as its indicators, each once; those of another acronym don't."""
     p = corpus.facts(spark, sf_dir).select("doc_id", F.col("line_no").alias("para_no"), F.concat(F.lit("Short Video Addiction (SVA) loads on SVA"), (F.col("line_no") % 4 + 1).cast("string"), F.lit(" and on XYZ1.")).alias("text"))
     return terms.indicator_parents(p, terms.acronym_pairs(p)).select("doc_id", "norm", "n_indicators")
+
+
+# ---- sections, structure and checklist
+
+#: How many words of abstract and how many keywords a document has, and whether it has a method and results.
+STRUCTURE = f"""{f}, s AS (SELECT doc_id, count(*) AS n, count(year) AS dated, 145 + 10 * (doc_id % 13) AS a, 1 + doc_id % 7 AS k, doc_id % 3 <> 0 AS method, doc_id % 5 <> 0 AS results, doc_id % 2 = 0 AS named FROM f GROUP BY doc_id)"""
+
+
+def structured(spark, sf_dir):
+    """Manuscripts as paragraphs: title, authors, abstract, keywords, up to four sections, and a line for each reference."""
+    d = F.col("doc_id")
+    words = lambda x, n: F.trim(F.repeat(F.lit(x), n.cast("int")))
+    facts = corpus.facts(spark, sf_dir)
+    whole = facts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    parts = [
+        (0, F.lit("A Study of Many Parts in Use")), (1, F.when(d % 2 == 0, "a.miller@site.org, Faculty of Trade").otherwise("By A. Miller")),
+        (2, F.concat(F.lit("Abstract: "), words("word ", 145 + 10 * (d % 13)))), (3, F.concat(F.lit("Keywords: part"), F.repeat(F.lit(", part"), (d % 7).cast("int")))),
+        (4, F.lit("1. INTRODUCTION")), (5, words("Parts are used here. ", F.col("n"))), (6, F.when(d % 3 != 0, "2. METHOD")), (7, F.when(d % 3 != 0, "It was counted.")),
+        (8, F.when(d % 5 != 0, "3. RESULTS AND DISCUSSION")), (9, F.when(d % 5 != 0, "All held.")), (10, F.lit("4. CONCLUSION")), (11, F.lit("So be it.")), (12, F.lit("REFERENCES")),
+    ]
+    rows = whole.select("doc_id", F.explode(F.array(*[F.struct(F.lit(k).alias("para_no"), x.alias("text")) for k, x in parts])).alias("x")).select("doc_id", "x.*").where("text is not null")
+    listed = F.concat("surname", F.lit(", A."), F.coalesce(F.concat(F.lit(" ("), "year", F.lit(").")), F.lit("")), F.lit(" T."))
+    return rows.unionByName(facts.select("doc_id", (F.col("line_no") + 12).cast("int").alias("para_no"), listed.alias("text")))
+
+
+KEYS = "(VALUES ('abstract', 2), ('keywords', 3), ('introduction', 4), ('method', 6), ('results_discussion', 8), ('conclusion', 10), ('references', 12)) v(key, start_para)"
+THERE = "(key <> 'method' OR method) AND (key <> 'results_discussion' OR results)"
+
+
+@query(f"""{STRUCTURE}, h AS (SELECT * FROM s, {KEYS} WHERE {THERE})
+SELECT doc_id, key, CAST(start_para AS int) AS start_para, CAST(coalesce(lead(start_para) OVER (PARTITION BY doc_id ORDER BY start_para), n + 13) AS int) AS end_para FROM h""")
+def p13_sections(spark, sf_dir):
+    return prep.sections(structured(spark, sf_dir)).select("doc_id", "key", F.col("start_para").cast("int").alias("start_para"), F.col("end_para").cast("int").alias("end_para"))
+
+
+@query(f"""{STRUCTURE} SELECT doc_id, key, CAST(CASE key WHEN 'abstract' THEN a WHEN 'keywords' THEN k WHEN 'introduction' THEN 4 * n WHEN 'method' THEN 3 WHEN 'results_discussion' THEN 2 WHEN 'conclusion' THEN 3 ELSE 3 * n + dated END AS int) AS words,
+CAST(CASE key WHEN 'introduction' THEN n WHEN 'references' THEN NULL WHEN 'keywords' THEN CASE WHEN k >= 3 THEN 1 ELSE 0 END WHEN 'results_discussion' THEN 0 ELSE 1 END AS int) AS sentences FROM s, {KEYS} WHERE {THERE}""")
+def p14_section_texts(spark, sf_dir):
+    """Words of every section, and sentences, which have three words at least; reference lists have no sentences to speak of."""
+    p = structured(spark, sf_dir)
+    found = prep.section_text(prep.sections(p), p)
+    return found.select("doc_id", "key", F.col("words").cast("int").alias("words"), F.when(F.col("key") != "references", F.col("sentences")).cast("int").alias("sentences"))
+
+
+@query(f"""{STRUCTURE} SELECT doc_id, 'A Study of Many Parts in Use' AS title, CAST(7 AS int) AS title_words, CAST(a AS int) AS abstract_words, CAST(k AS int) AS keyword_count,
+ concat_ws(',', CASE WHEN NOT method THEN 'method' END, CASE WHEN NOT results THEN 'results,discussion' END) AS missing,
+ CAST(CASE WHEN named THEN 4 ELSE 3 END + 1 + a + 1 + k + 2 + 4 * n + CASE WHEN method THEN 5 ELSE 0 END + CASE WHEN results THEN 6 ELSE 0 END + 5 AS bigint) AS total_words,
+ CAST(9 + CASE WHEN method THEN 2 ELSE 0 END + CASE WHEN results THEN 2 ELSE 0 END + n AS bigint) AS paragraph_count, n AS reference_count, named AS has_email, named AS has_affiliation FROM s""")
+def a22_structure(spark, sf_dir):
+    found = prep.doc_stats(structured(spark, sf_dir)).withColumn("missing", F.array_join("missing", ","))
+    counts = [F.col(c).cast("int").alias(c) for c in ("title_words", "abstract_words", "keyword_count")] + [F.col(c).cast("long").alias(c) for c in ("total_words", "paragraph_count", "reference_count")]
+    return found.select("doc_id", "title", "missing", "has_email", "has_affiliation", *counts)
+
+
+@query(f"""{STRUCTURE}, y AS (SELECT doc_id, CAST(CASE WHEN year = 'n.d.' THEN NULL ELSE year END AS int) AS y FROM f), r AS (SELECT doc_id, {pct('count(*) FILTER (WHERE y >= 1997)', 'count(y)')} AS recent FROM y GROUP BY doc_id),
+c AS (SELECT doc_id, check_id, CASE check_id WHEN 'title' THEN true WHEN 'abstract' THEN a BETWEEN 150 AND 250 WHEN 'keywords' THEN k BETWEEN 3 AND 6 WHEN 'imrad' THEN method AND results WHEN 'references' THEN n >= 20 WHEN 'recency' THEN coalesce(recent >= 50, false) ELSE named END AS pass
+ FROM s JOIN r USING (doc_id), (VALUES ('title'), ('abstract'), ('keywords'), ('imrad'), ('references'), ('recency'), ('email'), ('affiliation')) v(check_id))
+SELECT doc_id, check_id, pass FROM c""")
+def v9_submission(spark, sf_dir):
+    """All checks; what is recent comes from the reference lines."""
+    p = structured(spark, sf_dir)
+    recent = stats.recency(p.where("para_no > 12").select("doc_id", F.col("text").alias("raw")), 2002, 5)
+    return prep.checklist(prep.doc_stats(p), recent)
+
+
+# ---- conversion
+
+@query(f"""{f}, d AS (SELECT doc_id, count(*) AS k FROM f GROUP BY doc_id), o AS (SELECT f.*, CASE WHEN cited THEN 0 WHEN k >= 3 AND line_no <= 3 THEN 1 WHEN doc_id % 7 = 0 AND line_no = 1 THEN 2 ELSE 3 END AS turn FROM f JOIN d USING (doc_id))
+SELECT doc_id, CAST(line_no AS int) AS line_no, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY turn, line_no) AS int) AS rank, turn < 3 AS cited FROM o""")
+def k3_citation_order(spark, sf_dir):
+    """The new places of references in a list by first citation, those that aren't cited after the others."""
+    r = numeric_refs(spark, sf_dir)
+    order = convert.new_order(r, matching.resolve_any(convert.citation_events(numeric(spark, sf_dir)), r), "ieee")
+    return order.select("doc_id", F.col("line_no").cast("int").alias("line_no"), "rank", "cited")
+
+
+@query(f"""{f}, b AS (SELECT *, CASE WHEN year <> 'n.d.' THEN year END AS y FROM f)
+SELECT doc_id, CAST(line_no AS int) AS line_no, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY lower(surname), coalesce(y, ''), line_no) AS int) AS rank,
+ surname || ', ' || initial || '.' || CASE n_authors WHEN 2 THEN ', & Lee, K.' WHEN 3 THEN ', Brown, B., & Lee, K.' ELSE '' END || ', "' || title || '," ' || journal || ', vol. ' || volume || ', no. ' || issue || ', pp. ' || pages || coalesce(', ' || y, '') || '.' || coalesce(' doi: ' || doi, '') AS line FROM b""")
+def k4_apa_references(spark, sf_dir):
+    """Numbered references with the authors as an author-date style has them, by the alphabet."""
+    r = numeric_refs(spark, sf_dir)
+    order = convert.new_order(r, matching.resolve_any(convert.citation_events(numeric(spark, sf_dir)), r), "apa7")
+    return convert.converted_references(r, order, "apa7").select("doc_id", F.col("line_no").cast("int").alias("line_no"), "rank", "line")
+
+
+@query(f"""{f}, b AS (SELECT doc_id, line_no, cited, surname || CASE n_authors WHEN 1 THEN '' WHEN 2 THEN ' & Lee' ELSE ' et al.' END || ', ' || CASE WHEN year IS NULL THEN 'n.d.' ELSE year END AS said FROM f)
+SELECT doc_id, 'Introduction' || chr(10) || 'This order is studied here.' || coalesce(string_agg(' See (' || said || ').', '' ORDER BY line_no) FILTER (WHERE cited), '')
+ || CASE WHEN count(*) >= 3 THEN ' In sum (' || string_agg(said, '; ' ORDER BY line_no) FILTER (WHERE line_no <= 3) || ').' ELSE '' END || CASE WHEN doc_id % 7 = 0 THEN ' But see [99, 1].' ELSE '' END AS article FROM b GROUP BY doc_id""")
+def k7_apa_articles(spark, sf_dir):
+    """Articles whose numbers became names and years; a citation with an unknown number stays as it is."""
+    return convert.convert(numeric(spark, sf_dir), numeric_refs(spark, sf_dir), "apa7")[0].select("doc_id", "article")
+
+
+# ---- roles of terms
+
+
+@query(f"""{f}, e AS (SELECT DISTINCT doc_id, {TERM.format('partkey')} AS a, {TERM.format('suppkey')} AS b FROM f WHERE partkey % 5 <> suppkey % 5),
+x AS (SELECT doc_id, a AS norm, b AS other, 1 AS said FROM e UNION ALL SELECT doc_id, b, a, 2 FROM e)
+SELECT doc_id, norm, CASE bit_or(said) WHEN 1 THEN 'predictor' WHEN 2 THEN 'outcome' ELSE 'intermediate' END AS roles, string_agg(DISTINCT other, ',' ORDER BY other) AS related_to FROM x GROUP BY doc_id, norm""")
+def m11_roles(spark, sf_dir):
+    """Terms that only predict, are only predicted, or both, with the terms they are related to."""
+    found = terms.roles(terms.relations(terms.mentions(term_paragraphs(spark, sf_dir))))
+    return found.select("doc_id", "norm", F.array_join("roles", ",").alias("roles"), F.array_join("related_to", ",").alias("related_to"))
