@@ -8,6 +8,7 @@ from foliospark.operators import checks as ck
 from foliospark.operators import citations, convert, diff, matching, prep, refs, registry, rules, stats, terms
 from foliospark.plans import corpus
 from foliospark.plans.queries import DATED, KEYED, SQL, TERM, W, apa, apa_refs, f, numeric, numeric_issues, numeric_refs, pct, query, term_paragraphs, version_pairs
+from foliospark.session import settled
 
 # ---- spans
 
@@ -381,3 +382,16 @@ def m11_roles(spark, sf_dir):
     """Terms that only predict, are only predicted, or both, with the terms they are related to."""
     found = terms.roles(terms.relations(terms.mentions(term_paragraphs(spark, sf_dir))))
     return found.select("doc_id", "norm", F.array_join("roles", ",").alias("roles"), F.array_join("related_to", ",").alias("related_to"))
+
+
+@query(f"""{f}, t AS (SELECT doc_id, {TERM.format('partkey')} AS norm, true AS measured FROM f UNION ALL SELECT doc_id, {TERM.format('suppkey')}, false FROM f),
+g AS (SELECT doc_id, norm, 2 * count(*) AS n, bool_or(measured) AS measured FROM t GROUP BY ALL),
+s AS (SELECT doc_id, norm, n, round(CASE WHEN measured THEN 0.25 ELSE 0 END + 0.20 + 0.10 * least(1.0, n / 5.0), 2) AS score FROM g
+ UNION ALL SELECT doc_id, 'basic attitude scale', count(*), round(0.25 + 0.10 * least(1.0, count(*) / 5.0), 2) FROM f GROUP BY doc_id HAVING count(*) >= 2)
+SELECT doc_id, norm, n AS n_mentions, CAST(score AS DOUBLE) AS score, CASE WHEN norm LIKE '%scale' THEN 'INSTRUMENT' WHEN score >= 0.5 THEN 'CANDIDATE_VARIABLE' ELSE 'GENERAL_CONCEPT' END AS type FROM s""")
+def m9_types(spark, sf_dir):
+    """Scores by evidence (M7) and types, an instrument among them; how a term is measured defines it, too."""
+    p = term_paragraphs(spark, sf_dir)
+    found = settled(terms.mentions(p))
+    typed = terms.classify(terms.variable_scores(found), terms.definitions(found), terms.acronym_pairs(p))
+    return typed.select("doc_id", "norm", F.col("n_mentions").cast("long").alias("n_mentions"), "score", "type")
