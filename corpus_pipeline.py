@@ -65,7 +65,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("token_files", _ready(token_stage)),
 ]
 
-#: The language model and the token ids can't be expressed in SQL; tests hold the stages against brute force.
+#: The language model and the token ids can't be expressed in SQL. A test runs the chain over planted rows and holds near duplicates and token ids
+#: against plain Python; of language ID and mixing it only asks that clean documents stay.
 ORACLE_SQL = None
 
 
