@@ -76,6 +76,12 @@ def test_reference_columns(spark):
     assert [r["line_no"] for r in bad.collect()] == [3]
 
 
+def test_years_of_dois_are_no_years(spark):
+    texts = ['[1] J. Smith, "A title," Journal C, vol. 3. doi: 10.1942/p7', '[2] J. Smith, "A title," Journal C, vol. 3, 1996. doi: 10.1942/p7', '[3] J. Smith, "A title," Journal C. https://a.org/2019/x', '[4] J. Smith, "A title," Journal C. doi: 10.1016/j.x.2019.05', '[5] J. Smith, "A title," Journal C, pp. 1-10.2003.']
+    rows = refs.build_refs(spark.createDataFrame([(1, "ieee", k + 1, t) for k, t in enumerate(texts)], "doc_id long, style_id string, line_no int, raw string"))[0]
+    assert [r["year"] for r in rows.orderBy("line_no").collect()] == [None, "1996", None, None, "2003"]
+
+
 def test_matching_statuses(spark):
     docs = spark.createDataFrame(
         [(1, "(Zhang, 2020) (Smith, 2020) (Nobody, 1999) (Garciaa, 2021)", "Smith, J. (2020). T. Journal A, 1(1), 1-2.\nZhang, A. (2020). U. Journal A, 1(1), 3-4.\nZhang, B. (2020). V. Journal A, 1(1), 5-6.\nGarcia, B. (2021). W. Journal A, 1(1), 7-8.", "apa7", 2022)],
