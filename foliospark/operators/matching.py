@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 
 from foliospark.functions.text import doublings, first_match, let
 from foliospark.operators.refs import initial_of_ref, initial_of_token, institutional, match_key, surname_of_ref, surname_of_token
+from foliospark.session import settled
+
+
+#: The columns of references that author-date matching and the link index read.
+KEY_COLUMNS = ("first_author", "is_institutional", "author_form", "year")
 
 
 def number_matches(citations: DataFrame, refs: DataFrame) -> DataFrame:
@@ -53,7 +58,8 @@ def author_date_matches(parts: DataFrame, refs: DataFrame) -> DataFrame:
     status: exact, resolved (several references of the key, one has the initial), ambiguous, alternative (joint name of an institution),
     suggestion (same year, same first three letters; the first such reference; not counted as cited), none.
     """
-    c, r = keyed_citations(parts), keyed_refs(refs)
+    # Three groupings read the references; as a checkpoint of what they need they are read from the text once.
+    c, r = keyed_citations(parts), settled(keyed_refs(refs).select("doc_id", "line_no", "key", "initial", "prefix", "year"))
     groups = r.groupBy("doc_id", "key", "year").agg(F.min("line_no").alias("first_line"), F.count(F.lit(1)).alias("n_refs"), F.collect_list(F.struct("initial", "line_no")).alias("options"))
     alt = groups.select("doc_id", F.col("key").alias("alt_key"), "year", F.col("first_line").alias("alt_line"))
     near = r.where("prefix is not null").groupBy("doc_id", "prefix", "year").agg(F.min("line_no").alias("near_line"))

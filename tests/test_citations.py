@@ -91,3 +91,11 @@ def test_matching_statuses(spark):
     m = matching.author_date_matches(citations.author_date_citations(docs), r)
     assert {x["first_author"]: x["status"] for x in m.collect()} == {"Zhang": "ambiguous", "Smith": "exact", "Nobody": "none", "Garciaa": "suggestion"}
     assert sorted(x["line_no"] for x in matching.author_date_uncited(r, m).collect()) == [2, 3]
+
+
+def test_matching_reads_references_once(spark):
+    docs = spark.createDataFrame([(1, "(Smith, 2020)", "Smith, J. (2020). T. Journal A, 1(1), 1-2.", "apa7", 2022)], "doc_id long, article string, reference_text string, style_id string, as_of_year int")
+    r = refs.build_refs(refs.reference_lines(docs.withColumnRenamed("article", "a")), list(matching.KEY_COLUMNS))[0]
+    m = matching.author_date_matches(citations.author_date_citations(docs), r)
+    assert "author_form" not in m._jdf.queryExecution().analyzed().toString()
+    assert [(x["status"], x["line_no"]) for x in m.collect()] == [("exact", 1)]
