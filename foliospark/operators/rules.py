@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions import dims
-from foliospark.functions.text import js_round, text_of
+from foliospark.functions.text import any_word, js_round, let, staged, text_of
 from foliospark.operators.stats import year_number
 
 PUBLISHERS = "(?i)\\b(elsevier|springer|wiley|sage|taylor\\s*&\\s*francis|ieee|emerald|nature|science direct|mdpi|jstor)\\b"
@@ -14,15 +14,18 @@ PUBLISHERS = "(?i)\\b(elsevier|springer|wiley|sage|taylor\\s*&\\s*francis|ieee|e
 
 def origin(raw: Column | str) -> Column:
     """struct<origin, confidence>: local by word or domain (high), by ISSN without an international publisher (low), else international (low)."""
-    t = F.lower(text_of(raw))
-    local = t.rlike("|".join(dims.LOCAL_WORDS)) | t.rlike("\\.ac\\.id\\b|\\.go\\.id\\b|\\.or\\.id\\b|\\.id/\\S*$")
-    weak = t.rlike("\\bp-?issn\\b|\\be-?issn\\b") & ~t.rlike(PUBLISHERS)
+    return let(F.lower(text_of(raw)), _origin_of)
+
+
+def _origin_of(t: Column) -> Column:
+    local = t.rlike(any_word(dims.LOCAL_WORDS)) | (t.contains(".id") & t.rlike("\\.ac\\.id\\b|\\.go\\.id\\b|\\.or\\.id\\b|\\.id/\\S*$"))
+    weak = t.contains("issn") & t.rlike("\\bp-?issn\\b|\\be-?issn\\b") & ~t.rlike(PUBLISHERS)
     return F.struct(F.when(local | weak, "local").otherwise("international").alias("origin"), F.when(local, "high").otherwise("low").alias("confidence"))
 
 
 def with_origin(refs: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """References with origin and its confidence; an override (doc_id, line_no, origin) replaces the guess."""
-    out = refs.withColumn("o", origin("raw")).select(*refs.columns, F.col("o.origin").alias("origin"), F.col("o.confidence").alias("origin_confidence"))
+    out = staged(staged(refs, low=F.lower(text_of("raw"))), o=_origin_of(F.col("low"))).select(*refs.columns, F.col("o.origin").alias("origin"), F.col("o.confidence").alias("origin_confidence"))
     if overrides is None:
         return out
     manual = overrides.select("doc_id", "line_no", F.col("origin").alias("manual"))
