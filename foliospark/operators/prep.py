@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import dims
-from foliospark.functions.text import SPACES, joined_runs, let, preview, scan, squeeze, text_of, word_count
+from foliospark.functions.text import SPACES, any_word, joined_runs, let, preview, scan, squeeze, staged, text_of, word_count
+from foliospark.session import settled
 
 # Abbreviations after which a sentence goes on.
 ABBREVIATIONS = "(?iu)(?<![\\p{L}\\p{N}])(et al|e\\.g|i\\.e|vs|cf|no|fig|tabel|dkk|st|dr|prof|misal)\\.$"
@@ -181,7 +182,10 @@ def after_intro(citations: DataFrame, texts: DataFrame, text: str = "article") -
 
 def section_of(text: Column | str) -> Column:
     """key and length of the section heading that a paragraph starts with, null where it doesn't."""
-    t = squeeze(text)
+    return let(squeeze(text), lambda t: _section_of(t, word_count(t)))
+
+
+def _section_of(t: Column, words: Column) -> Column:
     numbered = t.rlike("^(?:(?:[Bb][Aa][Bb]|[Ss]ection|[Cc]hapter)\\s*)?(?:\\d+(?:\\.\\d+)*|[IVXLCDM]+(?=[.:)\\s]))[.:)]?\\s*")
     real = numbered | ((t == F.upper(t)) & t.rlike("[A-Z]"))
     options = []
@@ -191,7 +195,7 @@ def section_of(text: Column | str) -> Column:
         hit = F.struct(F.lit(key).alias("key"), F.length(F.regexp_extract(t, pattern, 1)).alias("length"), F.lit(alone).alias("alone"))
         options.append(F.when(fits, hit))
     found = F.coalesce(*options)
-    return F.when(~(found["alone"] & (word_count(t) > 10)), found)
+    return F.when(~(found["alone"] & (words > 10)), found)
 
 
 def sections(paragraphs: DataFrame) -> DataFrame:
@@ -199,7 +203,10 @@ def sections(paragraphs: DataFrame) -> DataFrame:
 
     paragraphs: doc_id, para_no (from 0), text.
     """
-    hits = paragraphs.select("doc_id", "para_no", squeeze("text").alias("t"), section_of("text").alias("s")).where("s is not null")
+    # Each paragraph is squeezed once; only those that open as some heading does are looked at heading by heading.
+    rows = staged(paragraphs.select("doc_id", "para_no", "text"), t=squeeze("text"))
+    rows = staged(rows.where(F.col("t").rlike(f"(?iu)^{dims.NUMBERING}{any_word(dims.SECTION_OPENINGS)}")), n_words=F.size(F.split("t", " ")))
+    hits = staged(rows, s=_section_of(F.col("t"), F.col("n_words"))).where("s is not null").select("doc_id", "para_no", "t", "s")
     first = hits.groupBy("doc_id", F.col("s.key").alias("key")).agg(
         F.min("para_no").alias("start_para"), F.min_by("s.length", "para_no").alias("start_off"), F.min_by(F.trim(F.expr("substring(t, 1, s.length)")), "para_no").alias("heading")
     )
@@ -226,8 +233,9 @@ def doc_stats(paragraphs: DataFrame, counts: DataFrame | None = None) -> DataFra
 
     counts: doc_id, table_count, image_count where known.
     """
-    found = sections(paragraphs)
-    texts = section_text(found, paragraphs)
+    found = settled(sections(paragraphs))  # a few rows a document, read twice
+    # The texts of other sections aren't read here.
+    texts = found.join(section_text(found.where(F.col("key").isin("abstract", "keywords")), paragraphs).drop("start_para"), ["doc_id", "key"], "left")
     flag = lambda k: F.coalesce(F.max(F.col("key") == k), F.lit(False))
     per_section = texts.groupBy("doc_id").agg(
         flag("abstract").alias("abstract_found"), F.max(F.when(F.col("key") == "abstract", F.col("words"))).alias("abstract_words"),
@@ -239,7 +247,9 @@ def doc_stats(paragraphs: DataFrame, counts: DataFrame | None = None) -> DataFra
             F.when(~(flag("discussion") | flag("results_discussion")), F.lit("discussion")), F.when(~flag("conclusion"), F.lit("conclusion")),
         )).alias("missing"),
     )
-    rows = paragraphs.select("doc_id", "para_no", F.coalesce("text", F.lit("")).alias("text")).withColumn("words", word_count("text"))
+    rows = paragraphs.select("doc_id", "para_no", F.coalesce("text", F.lit("")).alias("text"))
+    rows = staged(rows, __squeezed=squeeze("text"))
+    rows = staged(rows, words=F.when(F.col("__squeezed") == "", 0).otherwise(F.size(F.split("__squeezed", " ")))).drop("__squeezed")
     rows = rows.join(per_section, "doc_id", "left")
     before = F.col("para_no") < F.least(F.lit(10), F.coalesce("first_section", F.lit(10)))
     title = rows.where(before & (F.col("words") >= 3)).groupBy("doc_id").agg(F.min("para_no").alias("title_para"), F.min_by(squeeze("text"), "para_no").alias("title"))

@@ -2,7 +2,7 @@
 
 from foliospark.functions import dims
 from foliospark.functions.text import any_word
-from foliospark.operators import refs, rules
+from foliospark.operators import prep, refs, rules
 
 
 def lines(spark, *raw):
@@ -31,3 +31,14 @@ def test_words_share_beginnings(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
     got = rows.orderBy("k").select(rows.t.rlike(any_word(dims.LOCAL_WORDS)).alias("x")).collect()
     assert [r.x for r in got] == [any(w in t for w in dims.LOCAL_WORDS) for t in texts]
+
+
+def test_every_heading_opens_as_listed(spark):
+    """Paragraphs are looked at by pattern only if they open as some heading does; none may be lost by that."""
+    words = ["Abstract: x", "abſtrak x", "Kata  kunci: x", "KEYWORDS", "1. Pendahuluan", "BAB II LATAR BELAKANG", "3.1 Research Methods", "IV. Metodologi penelitian", "2) Hasil dan Pembahasan", "RESULTS & DISCUSSION", "5 Temuan", "6. Findings",
+             "7: Diskusi", "Chapter 8. Conclusions and Suggestions", "SIMPULAN", "9. Kesimpulan", "PENUTUP", "Acknowledgements", "Ucapan terima kasih", "Daftar Pustaka", "Reference list", "Bibliography", "Nothing here", "", None]
+    rows = spark.createDataFrame([(k, 0, w) for k, w in enumerate(words)], "doc_id int, para_no int, text string")
+    alone = {r.doc_id: r.s.key for r in rows.select("doc_id", prep.section_of("text").alias("s")).collect() if r.s}
+    found = prep.sections(rows)
+    assert {r.doc_id: r.key for r in found.collect()} == alone and len(alone) == 22
+    assert "lambda" not in found._jdf.queryExecution().executedPlan().toString()
