@@ -1,7 +1,9 @@
 """Parsing of reference lines: shapes that count literal parentheses, and steps that Spark can write as code."""
 
+from pyspark.sql import functions as F
+
 from foliospark.functions import dims
-from foliospark.functions.text import any_word
+from foliospark.functions.text import SPACES, any_word, squeeze
 from foliospark.operators import prep, refs, rules
 
 
@@ -42,3 +44,11 @@ def test_every_heading_opens_as_listed(spark):
     found = prep.sections(rows)
     assert {r.doc_id: r.key for r in found.collect()} == alone and len(alone) == 22
     assert "lambda" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_squeezed_texts(spark):
+    """Texts that are left as they are would have been left so by the pattern too."""
+    texts = ["", " ", "a", " a b ", "a  b", "a\tb", "a\n\nb\r", "\x0ba\x0c", "é é", "é  b", "a​b", "﻿a", "a b c d"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").orderBy("k")
+    got = rows.select(squeeze("t").alias("a"), F.trim(F.regexp_replace("t", SPACES, " ")).alias("b")).collect()
+    assert [r.a for r in got] == [r.b for r in got]
