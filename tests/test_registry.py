@@ -111,3 +111,21 @@ def test_doi_candidates_equal_all_pairs(spark, monkeypatch, spread):
     assert sum(got[k][0] == want[k][0] for k in want) >= 0.99 * len(want)  # ties within rounding may change places
     few = {(x.doc_id, x.line_no, x.rank): x.score for x in registry.doi_candidates(r, works, least=0.6).collect()}
     assert few == pytest.approx({k: v[1] for k, v in want.items() if v[1] >= 0.6})
+
+
+def test_copies_are_compared_once(spark, monkeypatch):
+    seen, plain = [], registry.similar_titles
+
+    def counted(left, right, *more):
+        seen.append((left.select("lid").distinct().count(), right.select("rid").distinct().count()))
+        return plain(left, right, *more)
+
+    monkeypatch.setattr(registry, "similar_titles", counted)
+    refs = spark.range(60).selectExpr("id AS doc_id", "1 AS line_no", "CAST(NULL AS string) AS doi", "concat('green widget of steel', id % 2) AS title", "'Smith, A.' AS first_author", "CAST(NULL AS string) AS journal", "'1999' AS year", "CAST(NULL AS string) AS volume", "CAST(NULL AS string) AS pages", "CAST(NULL AS string) AS article_number")
+    docs = refs.selectExpr("concat('10.1/', doc_id + 10) AS doi", "'green widget of steel1' AS title", "first_author", "journal", "year", "volume", "pages", "article_number")
+    best = registry.exact_metadata_matches(refs, docs).collect()
+    none = "CAST(NULL AS int)"
+    works = docs.selectExpr("doi", "title", "array(named_struct('family', 'Smith', 'given', CAST(NULL AS string))) AS authors", "1999 AS issued", f"{none} AS published", f"{none} AS published_print", f"{none} AS published_online", f"{none} AS created")
+    few = registry.doi_candidates(refs, works, least=0.7).where("doc_id = 7").orderBy("rank").collect()
+    assert len(best) == 60 and [x.doi for x in few] == [f"10.1/{n}" for n in range(10, 15)]
+    assert seen and all(a <= 2 and b <= 1 for a, b in seen)
