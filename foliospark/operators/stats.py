@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.functions.text import dice_bigram, first_match, js_round, normalize_doi, normalize_title, staged, text_of, word_count
+from foliospark.functions.text import dice_bigram, first_match, js_round, let, normalize_doi, normalize_title, staged, text_of, word_count
+from foliospark.session import settled
 
 percent = lambda part, whole: F.when(whole > 0, js_round(100.0 * part / whole)).otherwise(0.0).cast("int")
 
@@ -23,27 +24,64 @@ def duplicate_dois(refs: DataFrame) -> DataFrame:
     return refs.where("doi is not null").groupBy("doc_id", F.lower("doi").alias("doi")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("line_no")).alias("lines")).where("n > 1")
 
 
+#: References of a document up to which all its pairs are compared in place; longer lists go through a join.
+IN_PLACE = 64
+
+
 def near_duplicates(refs: DataFrame) -> DataFrame:
     """Pairs in a document with similar titles (25 characters or more, Dice .88) and first authors (.5); a missing author is similar to none.
 
-    Exact: bigrams are numbered by occurrence, so Dice counts common ones. Of titles of x <= y bigrams with Dice .88, 11 y <= 14 x, and at least
+    Exact. Lists of up to ``IN_PLACE`` such titles are compared pair by pair where they are; those of longer lists meet in ``_met_titles``.
+    """
+    r = refs.where("length(title) >= 25 and doc_id is not null").select("doc_id", "line_no", normalize_title("title").alias("t"), normalize_title("first_author").alias("w"))
+    r = settled(r.withColumn("crowd", F.count(F.lit(1)).over(Window.partitionBy("doc_id"))))
+    few = r.where(F.col("crowd") <= IN_PLACE).groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "t", "w")).alias("x")).where("size(x) > 1")
+    entry = lambda x: F.struct(x["line_no"].alias("line_no"), x["t"].alias("t"), x["w"].alias("w"), numbered_bigrams(x["t"]).alias("tg"), numbered_bigrams(x["w"]).alias("wg"))
+
+    def alike(a: Column, b: Column) -> Column:
+        n, m = F.size(a["tg"]), F.size(b["tg"])
+        can = (a["line_no"] < b["line_no"]) & (11 * F.greatest(n, m) <= 14 * F.least(n, m)) & (_alike(a["w"], b["w"], a["wg"], b["wg"]) >= 0.5)
+        return F.when(can, F.struct(a["line_no"].alias("line_no"), b["line_no"].alias("line_b"), _alike(a["t"], b["t"], a["tg"], b["tg"]).alias("similarity")))
+
+    pairs = lambda x: F.flatten(F.transform(x, lambda a: F.filter(F.transform(x, lambda b: alike(a, b)), lambda p: p["similarity"] >= 0.88)))
+    near = few.select("doc_id", F.inline(let(F.transform("x", entry), pairs)))
+    many = r.where(F.col("crowd") > IN_PLACE)
+    b = many.select("doc_id", F.col("line_no").alias("line_b"), F.col("t").alias("t_b"), F.col("w").alias("w_b"))
+    met = _met_titles(many).join(many, ["doc_id", "line_no"]).join(b, ["doc_id", "line_b"])
+    met = met.withColumn("similarity", dice_bigram("t", "t_b")).where(F.col("similarity") >= 0.88).where(dice_bigram("w", "w_b") >= 0.5)
+    return near.unionByName(met.select("doc_id", "line_no", "line_b", "similarity"))
+
+
+def numbered_bigrams(t: Column) -> Column:
+    """Bigrams of a normalised text; those that come again are numbered, so two texts share as many as Dice counts. None under three characters."""
+    again = lambda grams: F.transform(grams, lambda g, k: F.when(F.array_position(grams, g) == k + 1, g).otherwise(F.concat(g, F.size(F.filter(F.slice(grams, F.lit(1), k), lambda h: h == g)).cast("string"))))
+    grams = F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2)))
+    return F.when(F.length(t) >= 3, let(grams, again)).otherwise(F.array().cast("array<string>"))
+
+
+def _alike(x: Column, y: Column, x_grams: Column, y_grams: Column) -> Column:
+    """``dice_bigram`` of two normalised texts whose numbered bigrams are at hand."""
+    shared = 2.0 * F.size(F.array_intersect(x_grams, y_grams)) / (F.length(x) + F.length(y) - 2)
+    return F.when((x == "") | (y == ""), F.lit(0.0)).when(x == y, F.lit(1.0)).when((F.length(x) < 3) | (F.length(y) < 3), F.lit(0.0)).otherwise(shared)
+
+
+def _met_titles(r: DataFrame) -> DataFrame:
+    """doc_id, line_no and line_b of all pairs of titles (t) that may be similar.
+
+    Bigrams are numbered by occurrence, so Dice counts common ones. Of titles of x <= y bigrams with Dice .88, 11 y <= 14 x, and at least
     ceil(11 n / 14) of either's n are common. So they share one of the first n - ceil(11 n / 14) + 1 in any one order; here
     those that fewest titles of the document have come first.
     """
-    r = refs.where(F.length("title") >= 25).select("doc_id", "line_no", "title", F.col("first_author").alias("who"))
     t = F.col("t")
     grams = F.when(F.length(t) < 3, F.filter(F.array(t), lambda x: x != "")).otherwise(F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2))))
-    split = staged(staged(r.select("doc_id", "line_no", "title"), t=normalize_title("title")), grams=grams).select("doc_id", "line_no", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    split = staged(r.select("doc_id", "line_no", "t"), grams=grams).select("doc_id", "line_no", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
     counted = split.groupBy("doc_id", "line_no", "n", "gram").agg(F.count(F.lit(1)).cast("int").alias("times"))
     tokens = counted.select("doc_id", "line_no", "n", "gram", F.explode(F.sequence(F.lit(1), "times")).alias("k"))
     tokens = tokens.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "gram", "k")))
     tokens = tokens.withColumn("at", F.row_number().over(Window.partitionBy("doc_id", "line_no").orderBy("held", "gram", "k")))
     keys = tokens.where("held > 1 and at <= n - (11 * n + 13) div 14 + 1").select("doc_id", "line_no", "n", "gram", "k")
     other = keys.select("doc_id", F.col("line_no").alias("line_b"), F.col("n").alias("n_b"), "gram", "k")
-    pairs = keys.join(other, ["doc_id", "gram", "k"]).where("line_no < line_b and 11 * greatest(n, n_b) <= 14 * least(n, n_b)").select("doc_id", "line_no", "line_b").distinct()
-    b = r.select("doc_id", F.col("line_no").alias("line_b"), F.col("title").alias("title_b"), F.col("who").alias("who_b"))
-    scored = pairs.join(r, ["doc_id", "line_no"]).join(b, ["doc_id", "line_b"])
-    return scored.withColumn("similarity", dice_bigram("title", "title_b")).where(F.col("similarity") >= 0.88).where(dice_bigram("who", "who_b") >= 0.5).select("doc_id", "line_no", "line_b", "similarity")
+    return keys.join(other, ["doc_id", "gram", "k"]).where("line_no < line_b and 11 * greatest(n, n_b) <= 14 * least(n, n_b)").select("doc_id", "line_no", "line_b").distinct()
 
 
 def ambiguous_years(refs: DataFrame) -> DataFrame:

@@ -55,3 +55,14 @@ def test_near_duplicates_query_is_that_of_all_pairs(spark):
     found = queries.QUERIES["a2_near_duplicates"](spark, sf_dir).collect()
     assert {(r.doc_id, r.line_no, r.line_b) for r in found} == set(all_pairs(refs))
     assert len(found) > 1000
+
+
+def test_near_duplicates_of_short_and_long_lists_agree(spark, monkeypatch):
+    rows = [(d, k, f"On the use of item{(k * 37 + d) % 113} in a {'new' if k % 3 else 'new new'} way", [None, "", "Smith, A.", "Smyth, A.", "Garcia, B.", "É"][(k + d) % 6]) for d in range(3) for k in range(1, 20)]
+    rows += [(7, 1, "%%%%%%%%%%%%%%%%%%%%%%%%%%%%%ab", "Smith"), (7, 2, "%%%%%%%%%%%%%%%%%%%%%%%%%%%%%ab", "Smith"), (8, 1, "A title that stands alone in its list", "Smith"), (8, 2, None, "Smith")]
+    r = spark.createDataFrame(rows, "doc_id long, line_no int, title string, first_author string")
+    found = lambda: {(x.doc_id, x.line_no, x.line_b): x.similarity for x in stats.near_duplicates(r).collect()}
+    short = found()
+    monkeypatch.setattr(stats, "IN_PLACE", 1)
+    long = found()
+    assert len(short) > 30 and {k: v for k, v in short.items() if k[0] != 7} == {k: v for k, v in long.items() if k[0] != 7} and short[7, 1, 2] == 1.0
