@@ -113,15 +113,18 @@ def anchors(paragraphs: DataFrame) -> DataFrame:
     """pair_id, old_idx and new_idx of equal paragraphs that both versions have in one order, as many as there can be."""
     ship_package(paragraphs.sparkSession)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("para_no", kind="stable")
-        old, new = (pdf[pdf["side"] == s] for s in ("old", "new"))
-        pairs = _common(old["digest"].tolist(), new["digest"].tolist())
-        a, b = ([p[k] for p in pairs] for k in (0, 1))
-        return pd.DataFrame({"pair_id": pdf["pair_id"].iloc[0], "old_idx": old["para_no"].to_numpy()[a] if a else [], "new_idx": new["para_no"].to_numpy()[b] if b else []})
+    @F.pandas_udf("array<struct<a:int,b:int>>")
+    def common(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for old, new in batches:
+            yield pd.Series([[{"a": i, "b": j} for i, j in _common(list(x), list(y))] for x, y in zip(old, new, strict=True)])
 
-    digests = paragraphs.select("pair_id", "side", "para_no", F.md5(text_of("text").cast("binary")).alias("digest"))
-    return digests.groupBy("pair_id").applyInPandas(one, "pair_id long, old_idx int, new_idx int")
+    # One row for each pair: many small pairs share a batch.
+    own = F.struct("para_no", F.md5(text_of("text").cast("binary")).alias("digest"))
+    of = lambda side: F.array_sort(F.collect_list(F.when(F.col("side") == side, own))).alias(side)
+    both = paragraphs.groupBy("pair_id").agg(of("old"), of("new")).where("size(old) > 0 and size(new) > 0")
+    met = both.select("pair_id", F.col("old.para_no").alias("old"), F.col("new.para_no").alias("new"), common("old.digest", "new.digest").alias("met"))
+    each = F.transform("met", lambda m: F.struct(F.get("old", m["a"]).cast("int").alias("old_idx"), F.get("new", m["b"]).cast("int").alias("new_idx")))
+    return met.select("pair_id", F.inline(each))
 
 
 def _word_entries(rows: DataFrame) -> DataFrame:
@@ -174,41 +177,59 @@ def paired(scored: DataFrame, rounds: int = 1000) -> DataFrame:
     return scored.select("pair_id", "old_idx", "new_idx").where("false") if taken is None else taken
 
 
-def diff_paragraphs(paragraphs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """pair_id, seq, type (same, del, add, modified), old_idx, new_idx and both texts for every pair of versions.
+def _sided(rows: DataFrame) -> DataFrame:
+    return settled(rows.select("pair_id", "side", F.col("para_no").cast("int").alias("para_no"), "text"))
 
-    In each gap, deleted paragraphs come first, then those of the new version in their order. A null text is empty.
-    """
-    ship_package(paragraphs.sparkSession)
-    rows = settled(paragraphs.select("pair_id", "side", F.col("para_no").cast("int").alias("para_no"), "text"))
+
+def diff_rows(paragraphs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """As ``diff_paragraphs``, without the texts."""
+    return _diff_rows(_sided(paragraphs), similar)
+
+
+def _diff_rows(rows: DataFrame, similar: float) -> DataFrame:
+    ship_package(rows.sparkSession)
     fixed = settled(anchors(rows))
     ends = fixed.select("pair_id", F.inline(F.array(F.struct(F.lit("old").alias("side"), F.col("old_idx").alias("para_no")), F.struct(F.lit("new").alias("side"), F.col("new_idx").alias("para_no")))), F.lit(1).alias("anchor"))
     upto = Window.partitionBy("pair_id", "side").orderBy("para_no").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.join(ends, ["pair_id", "side", "para_no"], "left").withColumn("gap", F.coalesce(F.sum(F.coalesce("anchor", F.lit(0))).over(upto), F.lit(0)).cast("int"))
+    # Places are found without texts; only paragraphs that are no anchors are read again with theirs.
+    placed = rows.select("pair_id", "side", "para_no").join(ends, ["pair_id", "side", "para_no"], "left").withColumn("gap", F.coalesce(F.sum(F.coalesce("anchor", F.lit(0))).over(upto), F.lit(0)).cast("int"))
     placed = settled(placed)
-    loose = placed.where("anchor is null").drop("anchor")
+    loose = settled(placed.where("anchor is null").drop("anchor").join(rows, ["pair_id", "side", "para_no"]))
 
     @F.pandas_udf("double")
     def scored(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for old, new in pairs:
             yield pd.Series([similarity(a or "", b or "") for a, b in zip(old, new, strict=True)], dtype="float64")
 
-    texts = lambda side, key, name: rows.where(F.col("side") == side).select("pair_id", F.col("para_no").alias(key), F.col("text").alias(name))
-    met = gap_candidates(loose, similar).join(texts("old", "old_idx", "old_text"), ["pair_id", "old_idx"]).join(texts("new", "new_idx", "new_text"), ["pair_id", "new_idx"])
+    met = gap_candidates(loose, similar).join(_texts(loose, "old"), ["pair_id", "old_idx"]).join(_texts(loose, "new"), ["pair_id", "new_idx"])
     met = met.select("pair_id", "old_idx", "new_idx", scored("old_text", "new_text").alias("similarity")).where(F.col("similarity") >= similar)
     pairs = paired(met)
 
-    new = placed.where("side = 'new'").select("pair_id", "gap", F.col("para_no").alias("new_idx"), F.col("text").alias("new_text"), "anchor")
+    new = placed.where("side = 'new'").select("pair_id", "gap", F.col("para_no").alias("new_idx"), "anchor")
     partner = fixed.select("pair_id", "old_idx", "new_idx").unionByName(pairs)
-    new = new.join(partner, ["pair_id", "new_idx"], "left").join(texts("old", "old_idx", "old_text"), ["pair_id", "old_idx"], "left")
+    new = new.join(partner, ["pair_id", "new_idx"], "left")
     kind = F.when(F.col("anchor") == 1, "same").when(F.col("old_idx").isNotNull(), "modified").otherwise("add")
-    new = new.select("pair_id", "gap", kind.alias("type"), "old_idx", "new_idx", "old_text", "new_text")
-    gone = placed.where("side = 'old'").select("pair_id", "gap", F.col("para_no").alias("old_idx"), F.col("text").alias("old_text")).join(partner.select("pair_id", "old_idx"), ["pair_id", "old_idx"], "left_anti")
-    gone = gone.select("pair_id", "gap", F.lit("del").alias("type"), "old_idx", F.lit(None).cast("int").alias("new_idx"), "old_text", F.lit(None).cast("string").alias("new_text"))
+    new = new.select("pair_id", "gap", kind.alias("type"), "old_idx", "new_idx")
+    gone = placed.where("side = 'old'").select("pair_id", "gap", F.col("para_no").alias("old_idx")).join(partner.select("pair_id", "old_idx"), ["pair_id", "old_idx"], "left_anti")
+    gone = gone.select("pair_id", "gap", F.lit("del").alias("type"), "old_idx", F.lit(None).cast("int").alias("new_idx"))
     place = F.when(F.col("type") == "del", 0).when(F.col("type") == "same", 2).otherwise(1)
     order = Window.partitionBy("pair_id").orderBy("gap", place, F.coalesce("new_idx", "old_idx"))
+    return new.unionByName(gone).select("pair_id", (F.row_number().over(order) - 1).alias("seq"), "type", "old_idx", "new_idx")
+
+
+def _texts(rows: DataFrame, side: str) -> DataFrame:
+    return rows.where(F.col("side") == side).select("pair_id", F.col("para_no").alias(f"{side}_idx"), F.col("text").alias(f"{side}_text"))
+
+
+def diff_paragraphs(paragraphs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """pair_id, seq, type (same, del, add, modified), old_idx, new_idx and both texts for every pair of versions.
+
+    In each gap, deleted paragraphs come first, then those of the new version in their order. A null text is empty.
+    """
+    rows = _sided(paragraphs)
+    found = settled(_diff_rows(rows, similar)).join(_texts(rows, "old"), ["pair_id", "old_idx"], "left").join(_texts(rows, "new"), ["pair_id", "new_idx"], "left")
     texts_ = [F.when(F.col(k).isNotNull(), text_of(t)).alias(t) for k, t in (("old_idx", "old_text"), ("new_idx", "new_text"))]
-    return new.unionByName(gone).select("pair_id", (F.row_number().over(order) - 1).alias("seq"), "type", "old_idx", "new_idx", *texts_)
+    return found.select("pair_id", "seq", "type", "old_idx", "new_idx", *texts_)
 
 
 def word_diff(diff: DataFrame) -> DataFrame:

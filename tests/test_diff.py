@@ -87,3 +87,12 @@ def test_diff_equals_all_comparisons(spark):
     for (k, n), script in scripts.items():
         assert "".join(s["text"] for s in script if s["type"] != "add") == pairs[k][0][n] and "".join(s["text"] for s in script if s["type"] != "del") == pairs[k][1][n]
     assert diff.diff_paragraphs(table(spark, {})).collect() == []
+
+
+def test_pairs_without_texts_are_those_with_texts(spark):
+    rows = [(p, s, k, f"Paragraph {k} of pair {p}" + (" with an end" if s == "new" and k == 2 else "")) for p in range(4) for s in ("old", "new") for k in range(5) if not (s == "new" and k == 3)]
+    p = spark.createDataFrame(rows, "pair_id long, side string, para_no int, text string")
+    whole = diff.diff_paragraphs(p)
+    keys = ["pair_id", "seq", "type", "old_idx", "new_idx"]
+    assert sorted(whole.select(*keys).collect(), key=str) == sorted(diff.diff_rows(p).select(*keys).collect(), key=str)
+    assert "FlatMapGroups" not in diff.anchors(p)._jdf.queryExecution().toString()
