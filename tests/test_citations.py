@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from foliospark.operators import citations, matching, refs
@@ -99,3 +101,13 @@ def test_matching_reads_references_once(spark):
     m = matching.author_date_matches(citations.author_date_citations(docs), r)
     assert "author_form" not in m._jdf.queryExecution().analyzed().toString()
     assert [(x["status"], x["line_no"]) for x in m.collect()] == [("exact", 1)]
+
+
+def test_narrative_matches_are_those_of_the_whole_text(spark):
+    rng, bits = random.Random(5), ["Smith", " and ", "Lee", ", ", " (2001)", " (2001, 2002)", "(n.d.)", " (see", ") ", "(", "et al.", " said. ", "van ", "\n", "É", " [WHO]", "(1999,", "x", " 5 ", "de la ", "& ", " (2010a)", "."]
+    rows = [(k, "".join(rng.choice(bits) for _ in range(rng.randint(0, 40)))) for k in range(3000)] + [(9000, None), (9001, "("), (9002, "Smith (2001)(2002)")]
+    df = spark.createDataFrame(rows, "doc_id long, article string")
+    whole = df.select("doc_id", F.coalesce("article", F.lit("")).alias("t")).select("doc_id", "t", F.explode(citations.find_all("t", citations.NARRATIVE)).alias("m"))
+    whole = whole.select("doc_id", F.col("m.position").alias("start"), F.col("m.raw").alias("found"), F.expr("substring(t, m.position + length(m.raw), 60)").alias("rest"))
+    want = sorted(map(tuple, whole.collect()))
+    assert sorted(map(tuple, citations.narrative_matches(df).collect())) == want and len(want) > 500
