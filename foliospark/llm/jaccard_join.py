@@ -12,8 +12,9 @@ skip work, among lists and among answers:
    come last in the order. A list whose sets are all in one component is skipped whole. In the others, entries are ordered
    by size, so the blocks of sets too small or too large are skipped by a binary search, and only entries outside the list's largest component
    look for partners; pairs of one component, pairs whose
-   positions leave too few shingles, and in lists of frequent shingles pairs with too many different parity bits are skipped; what
-   is left is verified by intersecting whole sets.
+   positions leave too few shingles, and in lists of frequent shingles pairs with too many different parity bits are skipped. What
+   is left is held against sketches (a parity bit for each shingle), which tell most pairs without a link by a small part of the bytes, and
+   then verified by intersecting whole sets.
 4. Verified links join the components. The first pass over the lists names for each entry only its nearest set of another component, by
    these bounds; most links are found so, and the second pass, which names all that is left, finds most lists to be of one component.
 
@@ -304,22 +305,35 @@ class Order:
         return out
 
 
-def parities(hashes: np.ndarray) -> bytes:
-    """256 bits: whether an odd number of hashes falls on each. Two sets differ in at least as many elements as bits."""
-    return np.packbits(np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=256) & 1).tobytes()
+def parities(hashes: np.ndarray, size: int = 256) -> bytes:
+    """``size`` bits, a power of two: whether an odd number of hashes falls on each. Two sets differ in at least as many elements as bits."""
+    return np.packbits(np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).tobytes()
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """As many parity bits as the set has elements, or more, up to twice as many: a 64th or a 32nd of its bytes."""
+    return parities(hashes, max(256, 1 << (len(hashes) - 1).bit_length()))
+
+
+def bits_apart(x: bytes, y: bytes) -> int:
+    """In how many parity bits two sets differ; the longer sketch is folded to the size of the shorter one."""
+    x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(v.reshape(-1, size), axis=0) for v in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def prefixes(docs: DataFrame, frequent, width: int, percent: int) -> DataFrame:
-    """doc_id, n, the prefix (packed hashes, in order) and the parity bits of every row with a set."""
+    """doc_id, n, the prefix (packed hashes, in order), the parity bits and the sketch of every row with a set."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         order = Order(frequent.value)
         for batch in batches:
             for ids, sets in _sets(batch, width):
-                rows = [(int(i), len(s), order.prefix(s, prefix_size(len(s), percent)).tobytes(), parities(s)) for i, s in zip(ids, sets, strict=True) if len(s) and not pd.isna(i)]
-                yield pd.DataFrame(rows, columns=["doc_id", "n", "prefix", "bits"])
+                rows = [(int(i), len(s), order.prefix(s, prefix_size(len(s), percent)).tobytes(), parities(s), sketch(s)) for i, s in zip(ids, sets, strict=True) if len(s) and not pd.isna(i)]
+                yield pd.DataFrame(rows, columns=["doc_id", "n", "prefix", "bits", "sketch"])
 
-    return docs.mapInPandas(cut, "doc_id long, n long, prefix binary, bits binary")
+    return docs.mapInPandas(cut, "doc_id long, n long, prefix binary, bits binary, sketch binary")
 
 
 def list_pairs(token: np.ndarray, doc: np.ndarray, n: np.ndarray, at: np.ndarray, comp: np.ndarray, bits: np.ndarray, percent: int, nearest: bool = False, most: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -435,16 +449,44 @@ def candidates(entries: DataFrame, filter_, percent: int, buckets: int, nearest:
     return lists.mapInPandas(paired, "a long, b long").distinct()
 
 
+def _pair_ids(pairs: DataFrame) -> DataFrame:
+    return written(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "pair-ids")
+
+
+def plausible(pairs: DataFrame, cut: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b), a written table, whose sketches leave room for a link, so the whole sets of the others needn't travel.
+
+    Sets that link differ in few elements; parity bits that differ are no more than these, so no link is lost.
+    """
+    told = _pair_ids(pairs)
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for a, b, n, m, x, y in zip(*[batch[c] for c in ("a", "b", "n", "m", "x", "y")], strict=True):
+                need = -(-(n + m) * percent // (100 + percent))
+                if bits_apart(x, y) <= n + m - 2 * need:
+                    rows.append((a, b))
+            yield pd.DataFrame(rows, columns=["a", "b"])
+
+    sketches = cut.select("doc_id", "n", "sketch").join(small_side(told)[0], "doc_id", "left_semi")
+    left = sketches.select(F.col("doc_id").alias("a"), "n", F.col("sketch").alias("x"))
+    right = sketches.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y"))
+    out = written(pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y").mapInPandas(near, "a long, b long").distinct(), "pairs")
+    forget(told)
+    return out
+
+
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of documents that link, by intersecting their whole sets. ``pairs`` is a written table."""
-    ids, small = small_side(written(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "pair-ids"))
+    """The pairs (a, b) of documents that link, by intersecting their whole sets, as a written table. ``pairs`` is one, too."""
+    told = _pair_ids(pairs)
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for ids, sets in _sets(batch, width):
                 yield pd.DataFrame({"doc_id": ids, "members": [s.tobytes() for s in sets]})
 
-    sets = written(docs.join(ids, "doc_id", "left_semi").mapInPandas(packed, "doc_id long, members binary"), "pair-sets")
+    sets = written(docs.join(small_side(told)[0], "doc_id", "left_semi").mapInPandas(packed, "doc_id long, members binary"), "pair-sets")
 
     def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -457,7 +499,9 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
             yield pd.DataFrame(rows, columns=["a", "b"])
 
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(linked, "a long, b long").distinct()
+    out = written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(linked, "a long, b long").distinct(), "links")
+    forget(told, sets)
+    return out
 
 
 def first_components(classes: DataFrame, docs: DataFrame, links: DataFrame, width: int, percent: int) -> DataFrame:
@@ -478,7 +522,7 @@ def first_components(classes: DataFrame, docs: DataFrame, links: DataFrame, widt
         near = near.groupBy(F.least("class_id", "p.class_id").alias("a"), F.greatest("class_id", "p.class_id").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
         near = near.where(F.col("shared") >= SHARED)
         stars = written(near.select("a", "b"), "stars")
-        found = written(verified(stars, docs, width, percent), "links")
+        found = verified(stars, docs, width, percent)
         if not found.take(1):
             break
         both = written(known.unionByName(found), "links")
@@ -509,19 +553,21 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     cut = written(prefixes(docs, told, width, percent).join(small_side(comps)[0].select("doc_id"), "doc_id"), "prefixes")
     for nearest in [True] * NEAREST_ROUNDS + [False]:
         reps, _ = small_side(comps)
-        pairs = written(candidates(cut.join(reps, "doc_id"), told, percent, buckets, nearest), "pairs")
+        named = written(candidates(cut.drop("sketch").join(reps, "doc_id"), told, percent, buckets, nearest), "pairs")
+        pairs = plausible(named, cut, percent)
         found = verified(pairs, docs, width, percent)
         up = reps.select(F.col("doc_id").alias("node"), "comp")
         between = found.join(up.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(up.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
         tops = components(between.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         joined = written(comps.join(tops, F.col("comp") == F.col("node"), "left").select("doc_id", F.coalesce("root", "comp").alias("comp")), "representatives")
-        forget(pairs, comps)
+        forget(named, pairs, found, comps)
         comps = joined
     forget(cut)
     whole = written(
         classes.join(comps.select(F.col("doc_id").alias("class_id"), F.col("comp").alias("component_id")), "class_id").select("s0", "s1", "class_id", "class_size", "component_id"),
         "class-components",
     )
+    forget(classes)
     out = signed.select("doc_id", "n", "s0", "s1").join(whole, ["s0", "s1"], "left")
     known = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     own = lambda c, other: F.when(known, F.col(c)).otherwise(other).alias(c)
