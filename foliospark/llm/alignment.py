@@ -24,6 +24,8 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -38,10 +40,21 @@ PAIRS = 4_000_000
 HEAD = 1_000_000
 _CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 #: Pieces of text on which merging one by one is slow; tokenizers handles them well.
-_LONG_RUN = re.compile(r"\S{600}|\s{600}")
+LONG_RUN = 600
+_LONG_SPACE = re.compile(r"\s{600}")
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+def has_long_run(text: str) -> bool:
+    """Whether ``LONG_RUN`` characters stand together that all are white space or all are not."""
+    return max(map(len, text.split()), default=0) >= LONG_RUN or _LONG_SPACE.search(text) is not None
+
+
+def joined_bytes(table: list[bytes], ids: list[int]) -> bytes:
+    """The bytes of tokens, one after the other."""
+    return b"".join(itemgetter(*ids)(table)) if len(ids) > 1 else b"".join([table[k] for k in ids])
+
+
 def byte_letters() -> dict[str, int]:
     """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, the others from U+0100 on, in order."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -95,12 +108,19 @@ class ByteSide:
         out: list[int] = []
         for k, part in enumerate(chunks(text)):
             part = part if k else " " + part
-            if self.fast is not None and not _LONG_RUN.search(part):
+            if self.fast is not None and not has_long_run(part):
                 out += self.fast.encode_ordinary(part)
             else:
                 out += self.library.encode(part, add_special_tokens=False).ids
         return out
 
+    def joined(self, ids: list[int]) -> bytes:
+        """The bytes of tokens, one after the other."""
+        try:
+            return joined_bytes(self.bytes, ids) if self.fast is None else self.fast.decode_bytes(ids)
+        except KeyError:  # an id that tiktoken doesn't have
+            return joined_bytes(self.bytes, ids)
+
 
 class PieceSide:
     """A piece model, which puts the space before the text itself."""
@@ -168,7 +188,7 @@ class Aligned:
 
     def __init__(self, a: list[list[int]], b: list[list[int]], a_sizes: np.ndarray, b_sizes: np.ndarray):
         self.n_a, self.n_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-        self.a, self.b = (np.fromiter((i for x in side for i in x), dtype=np.int64, count=int(n.sum())) for side, n in ((a, self.n_a), (b, self.n_b)))
+        self.a, self.b = (np.fromiter(chain.from_iterable(side), dtype=np.int64, count=int(n.sum())) for side, n in ((a, self.n_a), (b, self.n_b)))
         a_ends, b_ends = np.cumsum(a_sizes[self.a]), np.cumsum(b_sizes[self.b])
         stops = np.cumsum(self.n_a)
         cut = shared_ends(a_ends, b_ends, stops - self.n_a, stops)
@@ -196,8 +216,10 @@ class Aligned:
 
 def expanded(a: np.ndarray, a_group: np.ndarray, a_times: np.ndarray, b: np.ndarray, b_group: np.ndarray, b_times: np.ndarray, b_size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(group, pair number, times) of all pairs of an A and a B entry of one group; entries are ordered by group."""
-    start, end = np.searchsorted(b_group, a_group, side="left"), np.searchsorted(b_group, a_group, side="right")
-    many = end - start
+    base = int(b_group[0]) if len(b_group) else 0
+    of_group = np.bincount(b_group - base)
+    many = of_group[a_group - base]
+    start = (np.cumsum(of_group) - of_group)[a_group - base]
     i = np.repeat(np.arange(len(a)), many)
     j = np.arange(len(i)) - np.repeat(np.cumsum(many) - many - start, many)
     return a_group[i], a[i] * b_size + b[j], a_times[i] * b_times[j]
@@ -235,7 +257,7 @@ def linked_pairs(x: Aligned, a_size: int, b_size: int, most: int = PAIRS) -> Ite
         else:
             one = np.ones(max(a_at.stop - a_at.start, b_at.stop - b_at.start), dtype=np.int64)
             group, keys, _ = expanded(x.a[a_at], x.a_group[a_at], one[: a_at.stop - a_at.start], x.b[b_at], x.b_group[b_at], one[: b_at.stop - b_at.start], b_size)
-            text = np.searchsorted(x.first, group, side="right") - 1
+            text = np.repeat(np.arange(begin, end), x.of_text[begin:end])[group - low]
             keys, times = np.unique(text.astype(np.int64) << 32 | keys, return_counts=True)
             bounds = np.searchsorted(keys >> 32, np.arange(begin, end + 1))
             for k in range(begin, end):
@@ -280,9 +302,9 @@ def aligned_rows(docs: DataFrame, a_path: str, b_path: str, most: int = PAIRS) -
                 part, out, kept, a, b = texts[begin:end], [], [], [], []
                 for k, (text, b_ids) in enumerate(zip(part, b_side.encode_all(part), strict=True)):
                     whole = (" " + text).encode("utf-8", "surrogatepass")
-                    good = bool(text) and b"".join(map(b_side.bytes.__getitem__, b_ids)) == whole
+                    good = bool(text) and joined_bytes(b_side.bytes, b_ids) == whole
                     a_ids = a_side.encode(text) if good else []
-                    if good and b"".join(map(a_side.bytes.__getitem__, a_ids)) == whole:
+                    if good and a_side.joined(a_ids) == whole:
                         kept.append(begin + k)
                         a.append(a_ids)
                         b.append(b_ids)
@@ -296,7 +318,7 @@ def aligned_rows(docs: DataFrame, a_path: str, b_path: str, most: int = PAIRS) -
                         if piece:
                             stats = nothing[:5]
                         else:
-                            text = b"".join(map(marks.__getitem__, written_[at[k] - x.n_a[k] - x.n_b[k] : at[k]].tolist()))
+                            text = joined_bytes(marks, written_[at[k] - x.n_a[k] - x.n_b[k] : at[k]].tolist())
                             stats = (int(x.n_a[k]), int(x.n_b[k]), int(x.of_text[k]), int(x.links[k]), hashlib.sha256(text[:-1]).hexdigest())
                         out.append((rows[kept[k]], ids[kept[k]], piece, *stats, packed(pairs, True), packed(times, False)))
                 frame = pd.DataFrame(out, columns=[c.split()[0] for c in ROW.split(", ")])
